@@ -1,6 +1,6 @@
 """Token-ID / binary output: flat unsigned integer files with 64-bit document offsets.
 
-A shard is three files: ``.tokens`` (uint16 or uint32, as the vocabulary needs), ``.offsets`` (uint64, one
+A shard is three files: ``.tokens`` (uint16 or uint32, as the vocabulary needs; ``end_id`` must fit as well), ``.offsets`` (uint64, one
 more than it has documents, from 0 within the shard) and ``.ids`` (int64 document ids, null as INT64_MIN).
 The manifest, a Parquet table, gives each shard's counts; prefix sums over it give each shard's base, so a
 document's global start is base + offset and no shard is ever rewritten.
@@ -12,7 +12,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +30,8 @@ def _store(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-class PieceEncoder:
-    """Token ids of whole texts, with the ids of recent space-separated pieces remembered.
+class PieceEncoder(dict):
+    """Token ids of texts, as bytes, with the ids of a bounded number of space-separated pieces remembered.
 
     White space ends every match of the tokenizer's split pattern and nothing is composed across it, so a
     text's ids are its pieces' ids in a row. Holds for tokenizers that drop white space, as a test confirms
@@ -43,51 +42,36 @@ class PieceEncoder:
     #: the model without the pipeline around it.
     PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
-    def __init__(self, path: str, split: bool = True, most: int = 400_000):
+    def __init__(self, path: str, split: bool = True, most: int = 1_000_000):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.split, self.most = Tokenizer.from_file(path), split, most
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.runs: dict[str, list[int]] = {}
-        self.bytes = {}
-        if split:
-            for c in map(chr, chain(range(33, 127), range(0xC0, 0x100))):
-                self.bytes[c] = self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] if c not in "×÷" else c
-
-    def _run(self, run: str) -> list[int]:
-        return [x.id for x in self.tokenizer.model.tokenize("".join(map(self.bytes.__getitem__, run.lower())))] if run else []
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > self.most:
-            self.known.clear()
-        other = []
-        for piece in pieces:
-            if m := self.PLAIN.fullmatch(piece):
-                marks = self.runs.get(m[2])
-                if marks is None:
-                    marks = self._run(m[2])
-                    if len(m[2]) < 4:
-                        self.runs[m[2]] = marks
-                self.known[piece] = (*self._run(m[1]), *marks)
-            else:
-                other.append(piece)
-        for piece, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            self.known[piece] = tuple(e.ids)
-
-    def __call__(self, texts: list[str]) -> Iterator[list[int]]:
-        if not self.split:
-            yield from (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
-            return
-        for text in texts:
-            pieces = text.replace("\n", " ").split(" ")
-            known = self.known
-            new = [x for x in set(pieces) if x not in known]
-            if new:
-                self._learn(new)
-                if len(known) < len(new):  # they were forgotten and only the new ones are there
-                    self._learn([x for x in set(pieces) if x not in known])
-            yield list(chain.from_iterable(map(known.__getitem__, pieces)))
+        self.model = self.tokenizer.model
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        letters = (chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))
+        self.as_bytes = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters} if split else {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        if m := self.PLAIN.fullmatch(piece):
+            run = m[1].lower()
+            ids = [x.id for x in self.model.tokenize(run if run.isascii() else run.translate(self.as_bytes))]
+            if m[2]:
+                ids += [x.id for x in self.model.tokenize(m[2])]
+            out = np.array(ids, self.kind).tobytes()
+        else:
+            out = self._whole(piece)
+        self[piece] = out
+        return out
+
+    def ids(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if self.split else self._whole(text)
 
 
 _encoders: dict[tuple, PieceEncoder] = {}
@@ -114,7 +98,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path, split)
-        kind = np.uint16 if encoder.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else np.uint32
+        width, end = encoder.kind.itemsize, np.array([end_id], encoder.kind).tobytes()
         task = TaskContext.get()
         shard, attempt = task.partitionId(), task.taskAttemptId()
         store, root = _store(out_dir)
@@ -126,12 +110,9 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
         for batch in slices(batches, 64):
             ids = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
             first = int(ids[0]) if first is None else first
-            lengths = []
-            for tokens in encoder(batch.column(1).to_pylist()):
-                tokens.append(end_id)
-                lengths.append(len(tokens))
-                out["tokens"].write(np.array(tokens, np.dtype(kind).newbyteorder("<")).tobytes())
-            ends = tokens_n + np.cumsum(lengths)
+            each = [encoder.ids(text) + end for text in batch.column(1).to_pylist()]
+            ends = tokens_n + np.cumsum([len(x) // width for x in each])
+            out["tokens"].write(b"".join(each))
             out["offsets"].write(ends.astype("<u8").tobytes())
             out["ids"].write(ids.astype("<i8").tobytes())
             docs_n, tokens_n = docs_n + len(ids), int(ends[-1])
