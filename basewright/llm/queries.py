@@ -1,4 +1,4 @@
-"""The training-data queries, one for each operator, and the pipeline."""
+"""The training-data queries, one for each operator."""
 
 from __future__ import annotations
 
@@ -6,17 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from basewright.llm import url_filter
+from basewright.llm.brown import op2_brown_score
 from basewright.llm.containment import op10_benchmark_items
+from basewright.llm.kneser_ney import op5_quality
 from basewright.llm.lsh_forest import op9_near_duplicates
+from basewright.llm.mixing import op7_mixing
+from basewright.llm.risk_rules import op6_quality_rules
 from basewright.llm.tokens import op1_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_files,
+        op2_brown_score,
+        op5_quality,
+        op6_quality_rules,
+        op7_mixing,
+        url_filter.op8_url_filter,
         op9_near_duplicates,
         op10_benchmark_items,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_url_filter": url_filter.ORACLE_SQL}
