@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basewright.llm import url_filter
+from basewright.llm import revisit, url_filter
 from basewright.llm.brown import op2_brown_score
 from basewright.llm.containment import op10_benchmark_items
+from basewright.llm.extract import op4_main_text
 from basewright.llm.kneser_ney import op5_quality
 from basewright.llm.lsh_forest import op9_near_duplicates
 from basewright.llm.mixing import op7_mixing
@@ -20,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_token_files,
         op2_brown_score,
+        revisit.op3_revisits,
+        op4_main_text,
         op5_quality,
         op6_quality_rules,
         op7_mixing,
@@ -29,4 +32,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_url_filter": url_filter.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_revisits": revisit.ORACLE_SQL, "op8_url_filter": url_filter.ORACLE_SQL}
