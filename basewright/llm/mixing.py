@@ -32,13 +32,16 @@ RIDGE = 0.002
 STEPS = 40
 
 
+_KINDS = bytes(97 if c >= 128 or 97 <= c <= 122 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
+
+
 class Features(dict):
     """Hash buckets of words, their lower-cased forms and their kinds of characters."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 400_000:
             self.clear()
-        kind = bytes(sorted({97 if c >= 128 or 97 <= c <= 122 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in word}))
+        kind = bytes(sorted(set(word.translate(_KINDS))))
         bare = word.lower().strip(b".,;:!?\"'()")
         value = self[word] = zlib.crc32(bare) % (BUCKETS - 1024) << 32 | (BUCKETS - 1024 + zlib.crc32(kind) % 1023)
         return value
@@ -123,17 +126,13 @@ def posteriors(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def rate_after(deviations: list[np.ndarray], step: float, ridge: float, max_rate: float | None) -> Column:
-    """The rate after the steps whose domain deviations are given, from a rate of 1."""
-    if not deviations:
-        return F.lit(1.0)
-    past = F.lit([d.tolist() for d in deviations])
-    dot = lambda d: F.aggregate(F.zip_with("_posterior", d, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-
-    def move(r: Column, d: Column) -> Column:
-        r = F.greatest(F.lit(0.0), r - step * (dot(d) + ridge * (r - 1)))
-        return r if max_rate is None else F.least(F.lit(float(max_rate)), r)
-
-    return F.aggregate(past, F.lit(1.0), move)
+    """The rate after the steps whose domain deviations are given, from a rate of 1: one expression of _posterior."""
+    r = F.lit(1.0)
+    for d in deviations:
+        dot = sum((F.col("_posterior")[i] * float(x) for i, x in enumerate(d)), F.lit(0.0))
+        r = F.greatest(F.lit(0.0), r * (1 - step * ridge) + step * ridge - step * dot)
+        r = r if max_rate is None else F.least(F.lit(float(max_rate)), r)
+    return r
 
 
 def fit_rates(members: DataFrame, present: np.ndarray, targets: np.ndarray, ridge: float = RIDGE, max_rate: float | None = None, steps: int = STEPS) -> tuple[list[np.ndarray], float, np.ndarray]:
@@ -167,8 +166,8 @@ def label_domains(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
     return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "domain")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float | None = MAX_RATE, ridge: float = RIDGE, steps: int = STEPS) -> DataFrame:
-    """``docs(doc_id, text, ...)`` with n_tokens (words), posterior, rate, expected_share and target_share.
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float | None = MAX_RATE, ridge: float = RIDGE, steps: int = STEPS, keep_text: bool = True) -> DataFrame:
+    """``docs(doc_id, text, ...)`` (its text only if ``keep_text``) with n_tokens (words), posterior, rate, expected_share and target_share.
 
     targets: for each domain, its tokens wanted as a share of those expected at a rate of 1. max_rate None: only
     rates >= 0, as for corpora that may repeat documents. Null text has no tokens and the classifier's constant
@@ -178,13 +177,14 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     docs = docs.drop("n_tokens", "posterior", "rate", "expected_share", "target_share")
     weights = fit_classifier(label_domains(docs, labels), len(DOMAINS))
     whole = posteriors(docs, weights)
-    members = written(whole.select("_tokens", "_posterior"))
+    whole = written(whole if keep_text else whole.drop("text"))
+    members = whole.select("_tokens", "_posterior")
     present = np.array([x or 0.0 for x in members.agg(*(F.sum(F.col("_tokens") * F.col("_posterior")[d]) for d in range(len(DOMAINS)))).first()])
     wanted = present * np.array([targets[d] for d in DOMAINS])
     past, step, reached = fit_rates(members, present, wanted, ridge, max_rate, steps)
     total = max(present.sum(), 1.0)
     return whole.select(
-        *docs.columns, F.col("_tokens").alias("n_tokens"), F.col("_posterior").alias("posterior"), rate_after(past, step, ridge, max_rate).alias("rate"),
+        *(c for c in docs.columns if keep_text or c != "text"), F.col("_tokens").alias("n_tokens"), F.col("_posterior").alias("posterior"), rate_after(past, step, ridge, max_rate).alias("rate"),
         F.lit((reached / total).tolist()).alias("expected_share"), F.lit((wanted / total).tolist()).alias("target_share"),
     )
 
@@ -200,4 +200,4 @@ def apply_rates(mixed: DataFrame) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return mix(docs, table(spark, sf_dir, "labels")).drop("text")
+    return mix(docs, table(spark, sf_dir, "labels"), keep_text=False)
