@@ -22,14 +22,16 @@ from pyspark.sql import types as T
 from basewright.llm.common import slices, table, text_or_empty, utf8, written
 
 #: Labelled rows the classifier is fitted on, at most, chosen by a hash of their ids.
-MOST_LABELLED = 20_000
+MOST_LABELLED = 10_000
 BUCKETS = 1 << 15
 DOMAINS = ("clean", "toxic", "low", "low_toxic")
 #: Target tokens of each domain, as shares of what the corpus is expected to hold. Clean text may grow.
 TARGETS = {"clean": 1.05, "toxic": 0.25, "low": 0.25, "low_toxic": 0.0}
 MAX_RATE = 1.0
 RIDGE = 0.002
-STEPS = 40
+STEPS = 20
+#: Change of a domain's relative deviation below which the fit ends.
+TOLERANCE = 5e-4
 
 
 _KINDS = bytes(97 if c >= 128 or 97 <= c <= 122 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
@@ -39,9 +41,12 @@ class Features(dict):
     """Hash buckets of words, their lower-cased forms and their kinds of characters."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 1_000_000:
             self.clear()
-        kind = bytes(sorted(set(word.translate(_KINDS))))
+        if word.isalpha():
+            kind = b"a" if word.islower() else b"Aa" if not word.isupper() else b"A"
+        else:
+            kind = bytes(sorted(set(word.translate(_KINDS))))
         bare = word.lower().strip(b".,;:!?\"'()")
         value = self[word] = zlib.crc32(bare) % (BUCKETS - 1024) << 32 | (BUCKETS - 1024 + zlib.crc32(kind) % 1023)
         return value
@@ -56,7 +61,7 @@ class Features(dict):
         return np.concatenate([found, kinds, [BUCKETS - 1]]), np.concatenate([np.ones(len(found)), 8 * n / max(1, len(each)), [1 + 4 * repeated]])
 
 
-def fit_classifier(labelled: DataFrame, n_domains: int, epochs: int = 15, rate: float = 0.1, decay: float = 1e-4) -> np.ndarray:
+def fit_classifier(labelled: DataFrame, n_domains: int, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4) -> np.ndarray:
     """Weights [BUCKETS, n_domains] of a softmax regression, by AdaGrad on ``labelled(text, domain)``.
 
     A bounded number of rows: their features, not their texts, come to the driver. Without rows all weights are 0.
@@ -68,28 +73,32 @@ def fit_classifier(labelled: DataFrame, n_domains: int, epochs: int = 15, rate:
             pairs = [features.of(t) for t in utf8(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([a.astype(np.int32).tobytes() for a, _ in pairs], pa.binary()), pa.array([w.astype(np.float32).tobytes() for _, w in pairs], pa.binary())], ["domain", "at", "weight"])
 
-    rows = labelled.select("text", "domain").mapInArrow(run, "domain int, at binary, weight binary").collect()
+    found = labelled.select("text", "domain").mapInArrow(run, "domain int, at binary, weight binary").toArrow()
     weights, squares = np.zeros((BUCKETS, n_domains)), np.full((BUCKETS, n_domains), 1e-8)
-    if not rows:
+    if not found.num_rows:
         return weights
-    rows.sort(key=lambda r: (zlib.crc32(bytes(r["at"])), r["domain"]))  # an order that does not depend on partitions
-    at = [np.frombuffer(r["at"], np.int32) for r in rows]
-    value = [np.frombuffer(r["weight"], np.float32).astype(float) for r in rows]
-    domain = np.array([r["domain"] for r in rows])
+    cells = [np.frombuffer(x, kind) for name, kind in (("at", np.int32), ("weight", np.float32)) for x in found[name].to_pylist()]
+    domain = found["domain"].to_numpy()
+    rows = len(domain)
+    order = sorted(range(rows), key=lambda i: (zlib.crc32(cells[i].tobytes()), domain[i]))  # whatever the partitions
+    at, value, domain = [cells[i] for i in order], [cells[rows + i] for i in order], domain[order]
+    del found, cells
     # words count by how much their presence tells one domain from the others, and not at all where that is little
-    seen = np.stack([np.bincount(np.concatenate([np.empty(0, np.int64), *(a for a, k in zip(at, domain, strict=True) if k == d)]).astype(np.int64), minlength=BUCKETS) for d in range(n_domains)], 1)
+    seen = np.zeros((BUCKETS, n_domains))
+    for a, d in zip(at, domain, strict=True):
+        seen[a, d] += 1
     n = np.bincount(domain, minlength=n_domains)
     ratio = np.log((seen + 3) / (n + 6)) - np.log((seen.sum(1, keepdims=True) - seen + 3) / (n.sum() - n + 6))
     told = np.where(n >= 10, np.abs(ratio), 0).max(1)
     told[told < 0.7] = 0
     told[BUCKETS - 1024 :] = 1
     kept = [told[a] > 0 for a in at]
-    value = [v[k] * told[a[k]] for a, v, k in zip(at, value, kept, strict=True)]
+    value = [(v[k] * told[a[k]]).astype(np.float32) for a, v, k in zip(at, value, kept, strict=True)]
     at = [a[k] for a, k in zip(at, kept, strict=True)]
     for epoch in range(epochs):
-        order = np.random.default_rng(epoch).permutation(len(rows))
-        for i in range(0, len(rows), 64):
-            some = order[i : i + 64]
+        order = np.random.default_rng(epoch).permutation(rows)
+        for i in range(0, rows, 128):
+            some = order[i : i + 128]
             flat = np.concatenate([at[k] for k in some])
             x = np.concatenate([value[k] for k in some])
             owner = np.repeat(np.arange(len(some)), [len(at[k]) for k in some])
@@ -126,16 +135,39 @@ def posteriors(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def rate_after(deviations: list[np.ndarray], step: float, ridge: float, max_rate: float | None) -> Column:
-    """The rate after the steps whose domain deviations are given, from a rate of 1: one expression of _posterior."""
-    r = F.lit(1.0)
-    for d in deviations:
-        dot = sum((F.col("_posterior")[i] * float(x) for i, x in enumerate(d)), F.lit(0.0))
+    """The rate after the steps whose domain deviations are given, from a rate of 1, as a function of _posterior."""
+    if not deviations:
+        return F.lit(1.0)
+
+    def move(r: Column, d: Column) -> Column:
+        dot = sum((F.col("_posterior")[i] * d[i] for i in range(1, len(deviations[0]))), F.col("_posterior")[0] * d[0])
         r = F.greatest(F.lit(0.0), r * (1 - step * ridge) + step * ridge - step * dot)
-        r = r if max_rate is None else F.least(F.lit(float(max_rate)), r)
-    return r
+        return r if max_rate is None else F.least(F.lit(float(max_rate)), r)
+
+    return F.aggregate(F.lit([d.tolist() for d in deviations]), F.lit(1.0), move)
 
 
-def fit_rates(members: DataFrame, present: np.ndarray, targets: np.ndarray, ridge: float = RIDGE, max_rate: float | None = None, steps: int = STEPS) -> tuple[list[np.ndarray], float, np.ndarray]:
+def _reached(members: DataFrame, past: list[np.ndarray], step: float, ridge: float, max_rate: float | None, n: int) -> np.ndarray:
+    """Expected domain tokens at the rates after ``past``: a row of sums from each task."""
+    most = np.inf if max_rate is None else max_rate
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n)
+        for batch in batches:
+            p = batch.column(1).flatten().to_numpy().reshape(-1, n)
+            r = np.ones(len(p))
+            for d in past:
+                r = np.clip(r * (1 - step * ridge) + step * ridge - step * (p @ d), 0, most)
+            total += (r * batch.column(0).to_numpy()) @ p
+        yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(total)], ["d", "s"])
+
+    out = np.zeros(n)
+    for d, s in members.select("_tokens", "_posterior").mapInArrow(run, "d int, s double").groupBy("d").agg(F.sum("s")).collect():
+        out[d] = s
+    return out
+
+
+def fit_rates(members: DataFrame, present: np.ndarray, targets: np.ndarray, ridge: float = RIDGE, max_rate: float | None = None, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], float, np.ndarray]:
     """(deviations of each step, step size, expected domain tokens reached) for ``members(_tokens, _posterior)``.
 
     Minimises sum_d (S_d - T_d)^2 / (2 P_d) + ridge / 2 * sum_i n_i (r_i - 1)^2 over rates between 0 and max_rate,
@@ -146,12 +178,9 @@ def fit_rates(members: DataFrame, present: np.ndarray, targets: np.ndarray, ridg
     n = len(targets)
     step, past, reached = 1 / (1 + ridge), [], np.zeros(n)
     for _ in range(steps + 1):
-        rate = rate_after(past, step, ridge, max_rate)
-        each = members.select((rate * F.col("_tokens")).alias("w"), "_posterior")
-        row = each.agg(*(F.sum(F.col("w") * F.col("_posterior")[d]) for d in range(n))).first()
-        reached = np.array([x or 0.0 for x in row])
+        reached = _reached(members, past, step, ridge, max_rate, n)
         deviation = (reached - targets) / np.maximum(present, 1e-9)
-        if len(past) == steps or (past and np.abs(deviation - past[-1]).max() < 1e-4):
+        if len(past) == steps or (past and np.abs(deviation - past[-1]).max() < tolerance):
             break
         past.append(deviation)
     return past, step, reached
@@ -179,7 +208,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     whole = posteriors(docs, weights)
     whole = written(whole if keep_text else whole.drop("text"))
     members = whole.select("_tokens", "_posterior")
-    present = np.array([x or 0.0 for x in members.agg(*(F.sum(F.col("_tokens") * F.col("_posterior")[d]) for d in range(len(DOMAINS)))).first()])
+    present = _reached(members, [], 1.0, ridge, None, len(DOMAINS))
     wanted = present * np.array([targets[d] for d in DOMAINS])
     past, step, reached = fit_rates(members, present, wanted, ridge, max_rate, steps)
     total = max(present.sum(), 1.0)

@@ -180,7 +180,7 @@ def test_rates_meet_targets(spark):
     members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "_tokens long, _posterior array<double>")
     present = (n[:, None] * p).sum(0)
     targets = present * np.array([1.5, 0.5, 0.2])
-    past, step, reached = mixing.fit_rates(members, present, targets, ridge=1e-4, max_rate=None, steps=60)
+    past, step, reached = mixing.fit_rates(members, present, targets, ridge=1e-4, max_rate=None, steps=150, tolerance=1e-9)
     assert np.allclose(reached, targets, rtol=0.02)
     r = np.ones(400)
     for d in past:
