@@ -36,12 +36,17 @@ def deltas(intervals: DataFrame, keys: Sequence[str], **counters: Column) -> Dat
     return rows.select(*keys, F.col("e.pos").alias("pos"), *((F.col(n) * F.col("e.sign")).alias(n) for n in counters))
 
 
-def segments(events: DataFrame, keys: Sequence[str], counters: Sequence[str], bin_size: int = BIN) -> DataFrame:
-    """(keys, start, end, counters) between positions at which some counter changes."""
+def segments(events: DataFrame, keys: Sequence[str], counters: Sequence[str], bin_size: int = BIN, mark: str | None = None) -> DataFrame:
+    """(keys, start, end, counters) between positions at which some counter changes.
+
+    mark: a column of the events whose greatest value at a segment's start is returned as well. Events are shuffled
+    once, by key and bin; what is shuffled by key alone is a row a bin.
+    """
     keys, counters = list(keys), list(counters)
     changed = " OR ".join(f"{c} != 0" for c in counters)
-    e = events.groupBy(*keys, "pos").agg(*(F.sum(c).alias(c) for c in counters)).where(changed)
-    e = e.withColumn("bin", F.floor(F.col("pos") / bin_size))
+    e = events.withColumn("bin", F.floor(F.col("pos") / bin_size)).repartition(*keys, "bin")
+    marks = [] if mark is None else [F.max(mark).alias(mark)]
+    e = e.groupBy(*keys, "bin", "pos").agg(*(F.sum(c).alias(c) for c in counters), *marks).where(changed)
     bins = e.groupBy(*keys, "bin").agg(*(F.sum(c).alias(c) for c in counters), F.min("pos").alias("first"))
     over = Window.partitionBy(*keys).orderBy("bin")
     before = over.rowsBetween(Window.unboundedPreceding, -1)
@@ -50,7 +55,7 @@ def segments(events: DataFrame, keys: Sequence[str], counters: Sequence[str], bi
     rows = e.join(bins, [*keys, "bin"])
     out = rows.select(
         *keys, F.col("pos").alias("start"), (F.coalesce(F.lead("pos").over(within), "following") - 1).alias("end"),
-        *((F.col(f"{c}_before") + F.sum(c).over(within.rowsBetween(Window.unboundedPreceding, 0))).alias(c) for c in counters),
+        *((F.col(f"{c}_before") + F.sum(c).over(within.rowsBetween(Window.unboundedPreceding, 0))).alias(c) for c in counters), *([] if mark is None else [mark]),
     )
     return out.where(F.col("end").isNotNull())
 
@@ -61,10 +66,11 @@ def coalesce_runs(pieces: DataFrame, keys: Sequence[str], bin_size: int = BIN) -
 
 
 def _stranded(pieces: DataFrame, keys: Sequence[str], bin_size: int) -> DataFrame:
-    """Coalesced runs of ``pieces(keys, start, end, plus)`` with the strand of their first base."""
-    runs = coalesce_runs(pieces, keys, bin_size)
-    first = pieces.select(*keys, "start", "plus")
-    return runs.join(first, [*keys, "start"]).select(*keys, "start", "end", F.when(F.col("plus") > 0, "+").otherwise("-").alias("strand"))
+    """Coalesced runs of disjoint ``pieces(keys, start, end, plus)`` with the strand of their first base."""
+    ends = F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("n"), F.col("plus").alias("plus")), F.struct((F.col("end") + 1).alias("pos"), F.lit(-1).alias("n"), F.lit(None).cast("long").alias("plus")))
+    events = pieces.withColumn("plus", F.col("plus").cast("long")).select(*keys, F.explode(ends).alias("e")).select(*keys, "e.*")
+    runs = segments(events, keys, ["n"], bin_size, "plus").where("n > 0")
+    return runs.select(*keys, "start", "end", F.when(F.col("plus") > 0, "+").otherwise("-").alias("strand"))
 
 
 def _plus() -> Column:
