@@ -6,14 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basewright.llm import revisit, url_filter
+from basewright.llm import revisit, risk_rules, url_filter
 from basewright.llm.brown import op2_brown_score
 from basewright.llm.containment import op10_benchmark_items
 from basewright.llm.extract import op4_main_text
 from basewright.llm.kneser_ney import op5_quality
 from basewright.llm.lsh_forest import op9_near_duplicates
 from basewright.llm.mixing import op7_mixing
-from basewright.llm.risk_rules import op6_quality_rules
 from basewright.llm.tokens import op1_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,7 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         revisit.op3_revisits,
         op4_main_text,
         op5_quality,
-        op6_quality_rules,
+        risk_rules.op6_quality_rules,
         op7_mixing,
         url_filter.op8_url_filter,
         op9_near_duplicates,
@@ -32,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_revisits": revisit.ORACLE_SQL, "op8_url_filter": url_filter.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_revisits": revisit.ORACLE_SQL, "op6_quality_rules": risk_rules.ORACLE_SQL, "op8_url_filter": url_filter.ORACLE_SQL}

@@ -160,3 +160,34 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("rejected_by")
+
+
+def _oracle() -> str:
+    """The query in DuckDB SQL, with binomial sums term by term."""
+    rules = list(GRID)
+    grid = ", ".join(f"('{r}', {i}, {float(c)!r}::DOUBLE)" for r in rules for i, c in enumerate(GRID[r]))
+    p, level = ALPHA / len(rules), f"{DELTA!r} / ({len(rules)} * (SELECT count(DISTINCT stratum) FROM good))"
+    space = r"[\x20\x09-\x0D]+"
+    return rf"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+a AS (SELECT *, list_filter(string_split_regex(text, '{space}'), lambda w: w <> '') AS words, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM t),
+b AS (SELECT doc_id, stratum, words, len(words) AS n_words, length(regexp_replace(text, '{space}', '', 'g')) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines, length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) AS n_capitals FROM a),
+w AS (SELECT doc_id, i, words[i : i + 4] AS win FROM (SELECT doc_id, words, unnest(range(1, n_words - 3)) AS i FROM b WHERE n_words >= 5)),
+twice AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+covered AS (SELECT doc_id, sum(n)::BIGINT AS n_repeat_words FROM (SELECT doc_id, least(5, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 5)) AS n FROM twice) GROUP BY 1),
+s AS (SELECT b.* EXCLUDE (words), coalesce(n_repeat_words, 0) AS n_repeat_words FROM b LEFT JOIN covered USING (doc_id)),
+m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CASE WHEN n_words > 0 THEN n_symbols::DOUBLE / n_words ELSE 0 END AS symbol_share, CASE WHEN word_chars > 0 THEN n_capitals::DOUBLE / word_chars ELSE 0 END AS capital_share,
+  CASE WHEN n_lines > 0 THEN n_dup_lines::DOUBLE / n_lines ELSE 0 END AS dup_line_share, CASE WHEN n_words > 0 THEN word_chars::DOUBLE / n_words ELSE 0 END AS mean_word_chars FROM s),
+long AS (SELECT doc_id, stratum, base_failed, unnest([{", ".join(f"{{'rule': '{r}', 'x': {r}}}" for r in rules)}], recursive := true) FROM m),
+good AS (SELECT * FROM long WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+grid(rule, i, cutoff) AS (VALUES {grid}),
+k AS (SELECT stratum, g.rule, i, cutoff, count(*) AS n, count(*) FILTER (WHERE x > cutoff) AS k FROM good JOIN grid g USING (rule) GROUP BY ALL),
+ok AS (SELECT *, k < n * {p!r} AND list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p!r}) + (n - j) * ln(1 - {p!r})))) <= {level} AS passed FROM k),
+used AS (SELECT stratum, rule, arg_max(cutoff, i) AS cutoff FROM (SELECT *, min(CASE WHEN NOT passed THEN i END) OVER (PARTITION BY stratum, rule) AS failed FROM ok) WHERE failed IS NULL OR i < failed GROUP BY ALL),
+bad AS (SELECT DISTINCT doc_id FROM long JOIN used USING (stratum, rule) WHERE x > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM m
+"""
+
+
+ORACLE_SQL = _oracle()
