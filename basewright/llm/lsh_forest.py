@@ -26,8 +26,8 @@ TREES = 12
 LABEL_DEPTH = 8
 RECALL = 0.998
 #: Bytes of text in one block of a heavy group.
-BLOCK_BYTES = 4 << 20
-#: What a text counts at least, so that a block has at most some 2,000 texts.
+BLOCK_BYTES = 2 << 20
+#: What a text counts at least, so that a block has at most some 1,000 texts.
 LEAST_WEIGHT = 2048
 
 

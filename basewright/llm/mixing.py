@@ -41,7 +41,7 @@ class Features(dict):
     """Hash buckets of words, their lower-cased forms and their kinds of characters."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 500_000:
             self.clear()
         if word.isalpha():
             kind = b"a" if word.islower() else b"Aa" if not word.isupper() else b"A"

@@ -42,7 +42,7 @@ class PieceEncoder(dict):
     #: the model without the pipeline around it.
     PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
-    def __init__(self, path: str, split: bool = True, most: int = 1_000_000):
+    def __init__(self, path: str, split: bool = True, most: int = 500_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer

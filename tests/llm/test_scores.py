@@ -1,3 +1,4 @@
+import functools
 import math
 import random
 import re
@@ -103,14 +104,18 @@ def kn_brute(train, order):
     return p
 
 
-def test_kneser_ney_against_the_definition(spark):
+def test_kneser_ney_against_the_definition(spark, monkeypatch):
     train = texts(12, 3)
-    tests = ["ka le", "", None, "zzz", "KAé ka", train[0]]
-    p = kn_brute(train, 5)
+    tests = ["ka le", "", None, "zzz", "KAé ka", train[0], "lo ka zu " * 400]
+    monkeypatch.setattr(kneser_ney, "MOST_POSITIONS", 1000)
+    p = functools.cache(kn_brute(train, 5))
+    small = kneser_ney.fit(spark.createDataFrame([(t,) for t in train], "text string"))
+    in_parts = kneser_ney.Scorer(*small.sent.value[1:])([t or "" for t in tests])[0]
     want = []
     for t in tests:
         x = kneser_ney.START * 4 + (t or "") + kneser_ney.END
         want.append(sum(math.log(p(x[i - 4 : i + 1])) for i in range(4, len(x))))
+    assert np.allclose(in_parts, want, rtol=1e-5)
     df = spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string").withColumn("log_p", F.lit("clash"))
     for most in (1 << 20, 60):  # all entries broadcast, and most through the join
         model = kneser_ney.fit(spark.createDataFrame([(t,) for t in train], "text string"), most_sent=most)
