@@ -38,11 +38,9 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_sp
 def locate_metacoord(points: DataFrame, partitions: DataFrame) -> DataFrame:
     """``points(partition, point)`` with the feature of ``partitions`` (with metacoordinates) that holds each, its
     bounds and strand ("0" if the partition has none); found is false, and these null, for points in no feature."""
-    rows = points.withColumn("_point", F.monotonically_increasing_id())
     spans = partitions.select("partition", "seqid", "start", "end", "meta_start", "meta_end", F.coalesce("strand", F.lit("0")).alias("strand"))
-    hit = overlap_join(rows.select("_point", "partition", "point"), spans, ["partition"], ("point", "point"), ("meta_start", "meta_end"))
-    out = rows.join(hit.drop("partition", "point"), "_point", "left").withColumn("found", F.col("seqid").isNotNull())
-    return out.drop("_point")
+    hit = overlap_join(points.select("partition", "point").distinct(), spans, ["partition"], ("point", "point"), ("meta_start", "meta_end"))
+    return points.join(hit, ["partition", "point"], "left").withColumn("found", F.col("seqid").isNotNull())
 
 
 def meta_to_scaffold(windows: DataFrame, partitions: DataFrame) -> DataFrame:
@@ -61,16 +59,16 @@ def orientation(strand: Column, seed: int | None, *key: Column) -> Column:
 
 def fetch_sequence(regions: DataFrame, tiles: DataFrame, seed: int | None = None, tile: int = TILE) -> DataFrame:
     """``regions(seqid, start, end, strand, ...)`` with sequence and orientation; regions off the tiles are dropped."""
-    rows = regions.withColumn("_region", F.monotonically_increasing_id())
-    spots = rows.where("start <= end").select("_region", "seqid", "start", "end", F.explode(F.sequence(F.floor((F.col("start") - 1) / tile), F.floor((F.col("end") - 1) / tile))).alias("tile"))
+    rows = regions.where("start <= end").select(F.monotonically_increasing_id().alias("_region"), F.struct(*regions.columns).alias("_row"), "seqid", "start", "end")
+    spots = rows.withColumn("tile", F.explode(F.sequence(F.floor((F.col("start") - 1) / tile), F.floor((F.col("end") - 1) / tile))))
     joined = spots.join(tiles, ["seqid", "tile"])
     first = F.greatest(F.col("start"), F.col("tile_start"))
     piece = F.substring("seq", (first - F.col("tile_start") + 1).cast("int"), (F.col("end") - first + 1).cast("int"))
-    pieces = joined.groupBy("_region").agg(F.collect_list(F.struct("tile", piece.alias("piece"))).alias("pieces"))  # of one region
-    whole = F.array_join(F.transform(F.array_sort("pieces"), lambda p: p["piece"]), "")
-    turned = orientation(F.col("strand"), seed, F.col("seqid"), F.col("start"), F.col("end"))
-    out = rows.join(pieces.select("_region", whole.alias("sequence")), "_region").withColumn("orientation", turned)
-    return out.withColumn("sequence", F.when(F.col("orientation") == "-", reverse_complement(F.col("sequence"))).otherwise(F.col("sequence"))).drop("_region")
+    pieces = joined.groupBy("_region").agg(F.first("_row").alias("_row"), F.collect_list(F.struct("tile", piece.alias("piece"))).alias("_pieces"))  # of one region
+    whole = F.array_join(F.transform(F.array_sort("_pieces"), lambda p: p["piece"]), "")
+    out = pieces.select("_row.*", whole.alias("sequence"))
+    out = out.withColumn("orientation", orientation(F.col("strand"), seed, F.col("seqid"), F.col("start"), F.col("end")))
+    return out.withColumn("sequence", F.when(F.col("orientation") == "-", reverse_complement(F.col("sequence"))).otherwise(F.col("sequence")))
 
 
 def pad_positions(positions: DataFrame, scaffolds: DataFrame, tiles: DataFrame, pad: int, tile: int = TILE) -> DataFrame:
