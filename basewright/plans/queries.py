@@ -386,11 +386,13 @@ def positional_log_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def background_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every base scored under its partition's model, summed by position."""
     lit = lambda x: F.lit(x) if not isinstance(x, list) else F.array(*map(lit, x))
     frags = fragment_by_partition(spark, sf_dir)
     names = spark.createDataFrame([(p,) for p in intervals.PARTITIONS], "obs_id string")
     models = names.select("obs_id", F.lit(2).alias("K"), F.lit(0).alias("order"), F.lit(1).alias("replicate"), lit(_A2).alias("initial"), lit(_MOVES2).alias("transition"), lit(_B2).alias("emission"))
-    return hmm.background_likelihood(frags, models)
+    scored = hmm.background_likelihood(frags, models)
+    return scored.groupBy("pos_id").agg(F.count("*").alias("n"), F.round(F.sum("log_lh"), 4).alias("log_lh"))
 
 
 @query(
