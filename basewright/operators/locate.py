@@ -11,25 +11,24 @@ from basewright.functions.sequences import reverse_complement
 from basewright.operators.intervals import PARTITIONS, coalesce_runs, deltas, segments
 from basewright.sources.genome import TILE
 
-LEAST_LEVEL = 8
+#: Powers of two of the bin sizes of range joins.
+LEVELS = (8, 11, 14, 17, 20, 23, 26, 29)
 STRANDED = {"exon": True, "periexonic": True, "intergenic": False}
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_span: tuple[str, str], right_span: tuple[str, str]) -> DataFrame:
     """Pairs of rows of equal ``keys`` whose spans overlap, by an equi-join on bins.
 
-    A right row stands in bins of a power of two no less than its length, so in two at most; a left row looks into
-    the bins it touches at each level that occurs. A pair is taken in the first bin that both have. Columns of the
-    two sides must differ but for the keys.
+    A right row stands in bins of the least level, a power of two, that is no less than its length, so in two at most
+    (more only if it is longer than the greatest); a left row looks into the bins it touches at every level. A pair
+    is taken in the first bin that both have. Columns of the two sides must differ but for the keys.
     """
     lo, hi = F.col(right_span[0]), F.col(right_span[1])
-    level = F.greatest(F.lit(LEAST_LEVEL), F.ceil(F.log2((hi - lo + 1).cast("double"))).cast("int"))
-    right = right.where(lo <= hi).withColumn("_level", level)
-    levels = [r[0] for r in right.select("_level").distinct().collect()]  # 55 at most
+    level = F.coalesce(*(F.when(hi - lo + 1 <= 1 << x, x) for x in LEVELS), F.lit(LEVELS[-1]))
     size = F.pow(F.lit(2.0), F.col("_level")).cast("long")
-    right = right.withColumn("_bin", F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size))))
+    right = right.where(lo <= hi).withColumn("_level", level).withColumn("_bin", F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size))))
     a, b = F.col(left_span[0]), F.col(left_span[1])
-    left = left.where(a <= b).withColumn("_level", F.explode(F.array(*(F.lit(x) for x in levels)) if levels else F.array().cast("array<int>")))
+    left = left.where(a <= b).withColumn("_level", F.explode(F.array(*map(F.lit, LEVELS))))
     left = left.withColumn("_bin", F.explode(F.sequence(F.floor(a / size), F.floor(b / size))))
     joined = left.join(right, [*keys, "_level", "_bin"])
     return joined.where((a <= hi) & (lo <= b) & (F.col("_bin") == F.floor(F.greatest(a, lo) / size))).drop("_level", "_bin")
