@@ -47,15 +47,16 @@ def segments(events: DataFrame, keys: Sequence[str], counters: Sequence[str], bi
     e = events.withColumn("bin", F.floor(F.col("pos") / bin_size)).repartition(*keys, "bin")
     marks = [] if mark is None else [F.max(mark).alias(mark)]
     e = e.groupBy(*keys, "bin", "pos").agg(*(F.sum(c).alias(c) for c in counters), *marks).where(changed)
-    bins = e.groupBy(*keys, "bin").agg(*(F.sum(c).alias(c) for c in counters), F.min("pos").alias("first"))
+    # bins read all that e has, so that one shuffle of the events serves both
+    bins = e.groupBy(*keys, "bin").agg(*(F.sum(c).alias(c) for c in counters), F.min("pos").alias("first"), *([] if mark is None else [F.max(mark).alias("most")]))
     over = Window.partitionBy(*keys).orderBy("bin")
     before = over.rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select(*keys, "bin", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in counters), F.lead("first").over(over).alias("following"))
+    bins = bins.select(*keys, "bin", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in counters), F.lead("first").over(over).alias("following"), *([] if mark is None else ["most"]))
     within = Window.partitionBy(*keys, "bin").orderBy("pos")
     rows = e.join(bins, [*keys, "bin"])
     out = rows.select(
         *keys, F.col("pos").alias("start"), (F.coalesce(F.lead("pos").over(within), "following") - 1).alias("end"),
-        *((F.col(f"{c}_before") + F.sum(c).over(within.rowsBetween(Window.unboundedPreceding, 0))).alias(c) for c in counters), *([] if mark is None else [mark]),
+        *((F.col(f"{c}_before") + F.sum(c).over(within.rowsBetween(Window.unboundedPreceding, 0))).alias(c) for c in counters), *([] if mark is None else [F.least(mark, "most").alias(mark)]),
     )
     return out.where(F.col("end").isNotNull())
 
