@@ -2,10 +2,10 @@
 
 A softmax classifier over hashed words and character patterns, fitted on a bounded sample of labelled rows, gives
 every document posteriors over domains. Document rates r >= 0 are fitted so that the expected tokens of each domain,
-sum of r * tokens * posterior, meet targets: projected gradient on the squared deviations, each relative to what the
-domain holds, plus RIDGE times the token-weighted squared distance of the rates from 1. The gradient of a document is its posteriors times the domains'
-deviations, so a step needs one sum per domain over all documents, and a rate is a function of the posteriors and
-the (few) past deviations: nothing but these is kept between steps.
+sum of r * tokens * posterior, meet targets: the least sum of the squared deviations, each relative to what the
+domain holds, plus RIDGE times the token-weighted squared distance of the rates from 1. At the optimum a rate is
+1 - (posterior . deviations) / RIDGE within its bounds, so only one number per domain is sought, by Newton steps on
+the dual: a step needs a few sums per domain over all documents, and nothing but these numbers is kept between steps.
 """
 
 from __future__ import annotations
@@ -22,17 +22,20 @@ from pyspark.sql import types as T
 from basewright.llm.common import slices, table, text_or_empty, utf8, written
 
 #: Labelled rows the classifier is fitted on, at most, chosen by a hash of their ids.
-MOST_LABELLED = 10_000
+MOST_LABELLED = 20_000
 BUCKETS = 1 << 15
 DOMAINS = ("clean", "toxic", "low", "low_toxic")
-#: Target tokens of each domain, as shares of what the corpus is expected to hold. Clean text may grow.
-TARGETS = {"clean": 1.05, "toxic": 0.25, "low": 0.25, "low_toxic": 0.0}
+#: Target tokens of each domain, as shares of what the corpus is expected to hold. With rates of MAX_RATE at most clean
+#: text cannot grow, and as posteriors are never 0, some of it goes with the rest, and some of each domain stays.
+TARGETS = {"clean": 0.98, "toxic": 0.25, "low": 0.25, "low_toxic": 0.1}
 MAX_RATE = 1.0
 RIDGE = 0.002
-STEPS = 20
-#: Change of a domain's relative deviation below which the fit ends.
-TOLERANCE = 5e-4
-
+#: Newton steps at most; some ten are needed.
+STEPS = 200
+#: The fit ends when no domain's relative deviation differs by more from the one its rates were made of (KKT residual).
+TOLERANCE = 1e-6
+#: Shares of a Newton step that are tried in the same pass.
+SHARES = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 1e-3, 1e-4)
 
 _KINDS = bytes(97 if c >= 128 or 97 <= c <= 122 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
 
@@ -61,7 +64,7 @@ class Features(dict):
         return np.concatenate([found, kinds, [BUCKETS - 1]]), np.concatenate([np.ones(len(found)), 8 * n / max(1, len(each)), [1 + 4 * repeated]])
 
 
-def fit_classifier(labelled: DataFrame, n_domains: int, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4) -> np.ndarray:
+def fit_classifier(labelled: DataFrame, n_domains: int, epochs: int = 15, rate: float = 0.1, decay: float = 1e-4) -> np.ndarray:
     """Weights [BUCKETS, n_domains] of a softmax regression, by AdaGrad on ``labelled(text, domain)``.
 
     A bounded number of rows: their features, not their texts, come to the driver. Without rows all weights are 0.
@@ -97,8 +100,8 @@ def fit_classifier(labelled: DataFrame, n_domains: int, epochs: int = 12, rate:
     at = [a[k] for a, k in zip(at, kept, strict=True)]
     for epoch in range(epochs):
         order = np.random.default_rng(epoch).permutation(rows)
-        for i in range(0, rows, 128):
-            some = order[i : i + 128]
+        for i in range(0, rows, 64):
+            some = order[i : i + 64]
             flat = np.concatenate([at[k] for k in some])
             x = np.concatenate([value[k] for k in some])
             owner = np.repeat(np.arange(len(some)), [len(at[k]) for k in some])
@@ -147,43 +150,59 @@ def rate_after(deviations: list[np.ndarray], step: float, ridge: float, max_rate
     return F.aggregate(F.lit([d.tolist() for d in deviations]), F.lit(1.0), move)
 
 
-def _reached(members: DataFrame, past: list[np.ndarray], step: float, ridge: float, max_rate: float | None, n: int) -> np.ndarray:
-    """Expected domain tokens at the rates after ``past``: a row of sums from each task."""
-    most = np.inf if max_rate is None else max_rate
+def _sums(members: DataFrame, tries: list[np.ndarray], ridge: float, max_rate: float | None, n: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For each of the domain deviations tried: expected domain tokens at the rates they make, these tokens by pairs of
+    domains for rates between their bounds, and the documents' part of the dual. A row of sums comes from each task."""
+    most, width = np.inf if max_rate is None else max_rate, n + n * n + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n)
+        total = np.zeros((len(tries), width))
         for batch in batches:
-            p = batch.column(1).flatten().to_numpy().reshape(-1, n)
-            r = np.ones(len(p))
-            for d in past:
-                r = np.clip(r * (1 - step * ridge) + step * ridge - step * (p @ d), 0, most)
-            total += (r * batch.column(0).to_numpy()) @ p
-        yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(total)], ["d", "s"])
-
-    out = np.zeros(n)
+            tokens, p = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, n)
+            for out, d in zip(total, tries, strict=True):
+                dot = p @ d
+                free = 1 - dot / ridge
+                r = np.clip(free, 0, most)
+                out[:n] += (r * tokens) @ p
+                inside = p[(free > 0) & (free < most)]
+                out[n:-1] += (inside.T @ (inside * tokens[(free > 0) & (free < most), None])).ravel()
+                out[-1] += tokens @ (r * dot + ridge / 2 * (r - 1) ** 2)
+        yield pa.RecordBatch.from_arrays([pa.array(range(total.size), pa.int32()), pa.array(total.ravel())], ["d", "s"])
+
+    out = np.zeros((len(tries), width))
     for d, s in members.select("_tokens", "_posterior").mapInArrow(run, "d int, s double").groupBy("d").agg(F.sum("s")).collect():
-        out[d] = s
-    return out
+        out.ravel()[d] = s
+    return [(x[:n], x[n:-1].reshape(n, n), x[-1]) for x in out]
 
 
 def fit_rates(members: DataFrame, present: np.ndarray, targets: np.ndarray, ridge: float = RIDGE, max_rate: float | None = None, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], float, np.ndarray]:
-    """(deviations of each step, step size, expected domain tokens reached) for ``members(_tokens, _posterior)``.
+    """(deviations that make the rates, one row; step size; expected domain tokens reached) for ``members(_tokens, _posterior)``.
 
     Minimises sum_d (S_d - T_d)^2 / (2 P_d) + ridge / 2 * sum_i n_i (r_i - 1)^2 over rates between 0 and max_rate,
-    with S_d the expected tokens of domain d, and P_d those at rates of 1 (``present``). In rates scaled by the root
-    of the tokens the Hessian's largest eigenvalue is 1 + ridge, as the roots of P are an eigenvector of the domains'
-    Gram matrix, hence the step.
+    with S_d the expected tokens of domain d, and P_d those at rates of 1 (``present``); ridge > 0. The rates are
+    those of the deviations y, and it is their optimum where y_d = (S_d - T_d) / P_d: the maximum of the dual, which
+    is concave. A fit that does not come within the tolerance is an error.
     """
     n = len(targets)
-    step, past, reached = 1 / (1 + ridge), [], np.zeros(n)
-    for _ in range(steps + 1):
-        reached = _reached(members, past, step, ridge, max_rate, n)
-        deviation = (reached - targets) / np.maximum(present, 1e-9)
-        if len(past) == steps or (past and np.abs(deviation - past[-1]).max() < tolerance):
+    scale = np.maximum(present, 1e-9)
+
+    def tried(tries: list[np.ndarray]) -> list[tuple]:
+        """(dual, residual, y, S, Hessian) of each."""
+        found = zip(tries, _sums(members, tries, ridge, max_rate, n), strict=True)
+        return [(part - y @ targets - scale @ y**2 / 2, np.abs(y - (s - targets) / scale).max(), y, s, np.diag(scale) + pairs / ridge) for y, (s, pairs, part) in found]
+
+    (now,) = tried([np.zeros(n)])
+    for _ in range(steps):
+        _, residual, y, reached, hessian = now
+        if residual < tolerance:
             break
-        past.append(deviation)
-    return past, step, reached
+        move = np.linalg.solve(hessian, reached - targets - scale * y)
+        each = tried([y + share * move for share in SHARES])
+        best = max(x[0] for x in each)
+        now = min((x for x in each if x[0] >= best - 1e-13 * (abs(best) + scale.sum() * ridge)), key=lambda x: x[1])
+    if now[1] >= tolerance:
+        raise ArithmeticError(f"rates not fitted within {steps} steps: residual {now[1]}")
+    return [now[2]], 1 / ridge, now[3]
 
 
 def label_domains(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
@@ -208,7 +227,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     whole = posteriors(docs, weights)
     whole = written(whole if keep_text else whole.drop("text"))
     members = whole.select("_tokens", "_posterior")
-    present = _reached(members, [], 1.0, ridge, None, len(DOMAINS))
+    present = _sums(members, [np.zeros(len(DOMAINS))], ridge, None, len(DOMAINS))[0][0]
     wanted = present * np.array([targets[d] for d in DOMAINS])
     past, step, reached = fit_rates(members, present, wanted, ridge, max_rate, steps)
     total = max(present.sum(), 1.0)

@@ -194,6 +194,34 @@ def test_rates_meet_targets(spark):
     assert np.allclose(np.sort(got), np.sort(r)) and (got >= 0).all()
 
 
+def test_rates_meet_targets_with_production_parameters(spark):
+    rng = np.random.default_rng(1)
+    own = rng.choice(4, 2000, p=[0.8, 0.1, 0.09, 0.01])
+    p = 0.15 * np.eye(4)[own] + 0.85 * rng.dirichlet([80, 10, 9, 1], 2000)  # domains overlap, one is rare
+    n = rng.integers(1, 500, 2000)
+    members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "_tokens long, _posterior array<double>")
+    present = (n[:, None] * p).sum(0)
+    targets = (n * np.where(own == 0, 0.95, 0.4)) @ p  # met by rates within the bounds
+    past, step, reached = mixing.fit_rates(members, present, targets, max_rate=mixing.MAX_RATE)
+    r = np.ones(2000)
+    for d in past:
+        r = np.clip(r * (1 - step * mixing.RIDGE) + step * mixing.RIDGE - step * p @ d, 0, mixing.MAX_RATE)
+    assert np.allclose(reached, (r * n) @ p) and np.allclose(reached, targets, rtol=0.01)  # RIDGE holds the rest back
+    deviation = (reached - targets) / present
+    gradient = p @ deviation + mixing.RIDGE * (r - 1)
+    assert np.abs(np.clip(r - gradient, 0, mixing.MAX_RATE) - r).max() < 1e-5
+
+
+def test_mixing_reaches_its_targets(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(4))
+    docs = [(i, " ".join(word() for _ in range(30)) + " idiot trash" * (i % 4 == 0) + " spam junk" * (i % 5 == 0)) for i in range(600)]
+    labels = [(i, int(i % 5 > 0), int(i % 4 == 0)) for i in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    r = mixing.mix(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).first()
+    assert np.allclose(r["expected_share"], r["target_share"], atol=0.002)
+
+
 def test_mixing_and_applying(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdef") for _ in range(4))
