@@ -268,6 +268,15 @@ def mask_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("obs_id").agg(F.count("*").alias("n"), F.count_if(sequences.mask_check(F.col("s"))).alias("accepted"))
 
 
+@query()
+def mask_check_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acceptance of every window of 50 bases of each sequence; a shorter sequence is one window."""
+    rows = views.seqs(spark, sf_dir, views.BASES_N)
+    rows = rows.select("obs_id", "seq", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("seq") - 49))).alias("_at"))
+    rows = rows.select("obs_id", F.col("seq").substr(F.col("_at"), F.lit(50)).alias("s"))
+    return rows.groupBy("obs_id").agg(F.count("*").alias("n"), F.count_if(sequences.mask_check(F.col("s"))).alias("accepted"))
+
+
 _KMERS = """km AS (SELECT obs_id, substring(seq, i, 3) AS kmer FROM (SELECT obs_id, seq, unnest(range(1, length(seq) - 1)) AS i FROM v_seqs WHERE length(seq) > 2))"""
 
 
@@ -325,6 +334,12 @@ def obs_log_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("obs_id", "seq_id", F.round("log_p", 6).alias("log_p"))
 
 
+@query()
+def obs_log_likelihood_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each whole sequence."""
+    return hmm.obs_log_likelihood(_coded(spark, sf_dir), _models(spark, sf_dir, 2)).select("obs_id", "seq_id", "log_p")
+
+
 @query()
 def set_log_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.set_log_likelihood(_coded(spark, sf_dir), _models(spark, sf_dir, 2))
@@ -332,7 +347,7 @@ def set_log_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def state_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hmm.state_posteriors(_coded(spark, sf_dir, 300), _models(spark, sf_dir, 2))
+    return hmm.state_posteriors(_coded(spark, sf_dir), _models(spark, sf_dir, 2))
 
 
 @query(

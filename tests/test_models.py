@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basewright.operators import coding, hmm, jobs, kernels, locate, reports
+from basewright.plans import queries, views
 from basewright.sources.genome import read_chain_steps, write_chain_steps
 
 CODES = [4, 3, 3, 2, 3, 2, 1, 1, 2, 3, 3, 3, 4, 4, 2, 3, 2, 3, 4, 3, 2]
@@ -177,3 +178,22 @@ def test_models_jobs_and_diagnostics(spark):
     assert not kernels.heidelberger_welch(np.linspace(0, 100, 400))[0]
     values = spark.createDataFrame([("k", 1, 2.0), ("k", 1, 1.0), ("k", 3, 1.0)], "key string, symbol int, weight double")
     assert [(r["symbol"], r["p"]) for r in hmm.weighted_categorical_mle(values, 4).orderBy("symbol").collect()] == [(1, 0.75), (2, 0.0), (3, 0.25), (4, 0.0)]
+
+
+def test_queries_take_whole_texts(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n)) for n in (30, 700, 1500)] + ["a" * 400]
+    spark.createDataFrame([(i, "xx", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    m = kernels.Model.of(queries._A2, queries._MOVES2, queries._B2)
+    bases = {r["seq_id"]: r["seq"] for r in views.seqs(spark, str(tmp_path)).collect()}
+    wanted = {i: brute(m, ["ACGT".index(c) + 1 for c in s]) for i, s in bases.items()}
+    assert max(map(len, bases.values())) > 1000
+    got = {r["seq_id"]: r["log_p"] for r in queries.QUERIES["obs_log_likelihood_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: pytest.approx(w[0]) for i, w in wanted.items()}
+    gamma = {r["seq_id"]: r for r in queries.QUERIES["state_posteriors"](spark, str(tmp_path)).collect()}
+    assert {i: len(next(x for x in r if isinstance(x, list))) for i, r in gamma.items()} == {i: len(s) for i, s in bases.items()}
+    assert all(np.allclose(next(x for x in r if isinstance(x, list)), wanted[i][1]) for i, r in gamma.items())
+    windows = [s[i : i + 50] for s in (r["seq"] for r in views.seqs(spark, str(tmp_path), views.BASES_N).collect()) for i in range(max(1, len(s) - 49))]
+    good = [w for w in windows if set(w) <= set("ACGT") and not any(b * (len(w) // 10) in w for b in "ACGT")]
+    (r,) = queries.QUERIES["mask_check_windows"](spark, str(tmp_path)).collect()
+    assert (r["n"], r["accepted"]) == (len(windows), len(good))
