@@ -2,8 +2,8 @@
 
 A page becomes a tree of its block elements; text between two block boundaries is a segment of the block it stands
 in. Segments pass points for their length and commas to their block and its ancestors, less with each level, and a
-block's points are discounted by its share of link text. The best block and those siblings that score near it are
-kept; menus, headers, footers, notices, adverts, forms, comments and the like are left out by tag, role or name.
+block's points are discounted by its share of link text. The best block, or the container of the text that it lies
+in, is kept whole, and those siblings that score near it; menus, headers, footers, notices, adverts, forms, comments and the like are left out by tag, role or name.
 """
 
 from __future__ import annotations
@@ -149,6 +149,25 @@ def segments(page: str) -> list[tuple[Block, str, int]]:
     return out
 
 
+def _container(best: Block) -> Block:
+    """The nearest article that a block is or lies in, else the nearest main, else the outermost wrapper reached
+    without taking in text that is dense with links."""
+    above = [best]
+    while above[-1].parent is not None:
+        above.append(above[-1].parent)
+    for tag in ("article", "main"):
+        for b in above:
+            if b.tag == tag:
+                return b
+    top = best
+    for b in above[1:]:
+        chars, links = b.chars - top.chars, b.link_chars - top.link_chars
+        if b.tag not in ("div", "section") or links > 0.25 * chars:
+            break
+        top = b
+    return top
+
+
 def main_text(page: str) -> str:
     """Blocks of the main text, joined by an empty line; empty if there is none."""
     found = segments(page)
@@ -174,9 +193,10 @@ def main_text(page: str) -> str:
 
     best = max(containers, key=score)  # of equals the first, which is the inner one
     near = max(5.0, 0.2 * score(best))
-    kept = {id(best)}
+    top = _container(best)
+    kept = {id(top)}
     for b in scored.values():
-        if b is not best and b.parent is best.parent and b.tag != "html":
+        if b is not top and b.parent is top.parent and b.tag != "html":
             dense = b.link_chars / b.chars
             if score(b) >= near or (b.tag in ("p", "h1", "h2") and dense < 0.25 and b.chars > 80):
                 kept.add(id(b))

@@ -22,6 +22,17 @@ def test_extraction_cases():
     assert extract.main_text("") == "" and extract.main_text("<p> </p>") == "" and extract.main_text("1 < 2 &lt; 3") == "1 < 2 < 3"
 
 
+def test_long_sections_do_not_drop_the_rest():
+    para = "A sentence with words, commas, and more words that go on and on, until it is long enough to count. " * 3
+    links = "".join(f"<li><a href=/{i}>Another headline {i}</a></li>" for i in range(9))
+    for n in (1, 12, 40):
+        long = f"<p>{para}</p>" * n
+        want = ["The title", "Short lead.", *[para.strip()] * n, "Small section", "Few words here.", "The end."]
+        inside = f"<h1>The title</h1><p>Short lead.</p><div class=a>{long}</div><section><h3>Small section</h3><p>Few words here.</p></section><div>The end.</div>"
+        for page in (f"<body><article>{inside}</article><div><ul>{links}</ul></div></body>", f"<body><main><div>{inside}</div></main><ul>{links}</ul></body>", f"<body><div>{inside}</div><div><ul>{links}</ul></div></body>"):
+            assert extract.main_text(page) == "\n\n".join(want)
+
+
 def test_links_do_not_win():
     links = "".join(f"<li><a href=/{i}>A rather long headline, number {i}, with commas, and words</a></li>" for i in range(30))
     page = f"<body><div><ul>{links}</ul></div><div><p>The only real paragraph, which is of some length, stands here, and says something.</p></div>"
