@@ -150,18 +150,23 @@ def rank_symbols(steps: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def replicate_report(steps: DataFrame) -> DataFrame:
-    """(chain, iterate, rank, state, autotransition, emissions): every step of a replicate set with states renamed to
-    those of the first replicate that they match. The steps must be of one obs set, K and order; a step twice in a
-    replicate is an error."""
+    """``replicate_reports`` of steps that must be of one obs set, K and order."""
     sets = steps.select(*REPSET).distinct().limit(2).count()
     if sets != 1:
         raise ValueError("a replicate set has one obs set, K and order")
+    return replicate_reports(steps)
+
+
+def replicate_reports(steps: DataFrame) -> DataFrame:
+    """(chain, iterate, rank, state, autotransition, emissions): every step of each replicate set (obs set, K and order)
+    with states renamed to those of the set's first replicate that they match. A step twice in a replicate is an error."""
     if steps.groupBy(*CHAIN, "iterate").count().where("count > 1").head(1):
         raise ValueError("replicates must be unique")
     matches = match_states(steps)
-    first = steps.agg(F.min("replicate")).first()[0]
-    own = matches.select(*REPSET, F.lit(first).cast("int").alias("replicate"), "rank", "state", F.col("state").alias("other")).distinct()
-    matches = matches.where(F.col("replicate") != first).unionByName(own)
+    first = steps.groupBy(*REPSET).agg(F.min("replicate").alias("first"))
+    matches = matches.join(first, REPSET)
+    own = matches.select(*REPSET, F.col("first").alias("replicate"), "rank", "state", F.col("state").alias("other")).distinct()
+    matches = matches.where("replicate != first").drop("first").unionByName(own)
     each = steps.select(*CHAIN, "iterate", F.posexplode("emission").alias("_k", "emissions"), "transition").withColumn("other", F.col("_k") + 1)
     each = each.withColumn("autotransition", F.element_at(F.element_at("transition", F.col("other")), F.col("other")))
     return each.join(matches, [*CHAIN, "other"]).select(*CHAIN, "iterate", "rank", "state", "autotransition", "emissions")
@@ -169,14 +174,17 @@ def replicate_report(steps: DataFrame) -> DataFrame:
 
 def matched_state_coords(steps: DataFrame) -> DataFrame:
     """(chain, iterate, x, y, z): at each step the probability of the first symbol in three states: the first three of
-    the first chain, and in other chains the nearest to each of these in turn by final emissions, no state twice."""
+    the obs set's first chain, and in its other chains the nearest to each of these in turn by final emissions, no state
+    twice."""
     last = latest_step(steps)
     if last.where("K < 3").head(1):
         raise ValueError("states must be three or more")
     final = last.select(*CHAIN, "emission").collect()  # one row a chain
     final.sort(key=lambda r: tuple(r[c] for c in CHAIN))
-    reference, rows = np.array(final[0]["emission"])[:3], []
-    for n, r in enumerate(final):
+    references, rows = {}, []
+    for r in final:
+        n = r["obs_id"] in references  # not the first chain of its obs set
+        reference = references.setdefault(r["obs_id"], np.array(r["emission"])[:3])
         d = np.linalg.norm(reference[:, None, :] - np.array(r["emission"])[None, :, :], axis=2) if n else None
         picks: list[int] = []
         for k in range(3):
@@ -200,7 +208,8 @@ def greedy_pairs(distances: DataFrame) -> DataFrame:
 
 
 def generate_reports(steps: DataFrame, test_coded: DataFrame, test_obs: DataFrame) -> dict[str, DataFrame]:
-    """Reports by name: chains, orders, partitions, and replicates of each partition's best chain, keyed by obs_id.
+    """Reports by name: chains, orders, partitions, and replicates (every step, matched states and symbols) of each
+    partition's best chain, keyed by obs_id.
 
     Needs steps, at least two of every chain, and test sequences for every obs set.
     """
@@ -216,4 +225,4 @@ def generate_reports(steps: DataFrame, test_coded: DataFrame, test_obs: DataFram
     best = partitions.select(*REPSET)
     sets = steps.join(best, REPSET, "left_semi")
     matches = match_states(sets)
-    return {"chains": chains, "orders": order_report(chains), "partitions": partitions, "states": matches, "symbols": rank_symbols(sets, matches), "convergence": convergence_summary(steps)}
+    return {"chains": chains, "orders": order_report(chains), "partitions": partitions, "replicates": replicate_reports(sets), "states": matches, "symbols": rank_symbols(sets, matches), "convergence": convergence_summary(steps)}

@@ -570,12 +570,12 @@ def rank_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def replicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.replicate_report(_steps(spark, sf_dir).where("obs_id = 'N' AND K = 3 AND order = 1"))
+    return reports.replicate_reports(_steps(spark, sf_dir))
 
 
 @query()
 def matched_state_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.matched_state_coords(_steps(spark, sf_dir).where("obs_id = 'N' AND K >= 3"))
+    return reports.matched_state_coords(_steps(spark, sf_dir).where("K >= 3"))
 
 
 @query(

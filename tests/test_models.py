@@ -197,3 +197,30 @@ def test_queries_take_whole_texts(spark, tmp_path):
     good = [w for w in windows if set(w) <= set("ACGT") and not any(b * (len(w) // 10) in w for b in "ACGT")]
     (r,) = queries.QUERIES["mask_check_windows"](spark, str(tmp_path)).collect()
     assert (r["n"], r["accepted"]) == (len(windows), len(good))
+
+
+def test_replicate_sets_are_reported_each_for_itself(spark):
+    b1 = [[0.7, 0.1, 0.1, 0.1], [0.1, 0.7, 0.1, 0.1], [0.1, 0.1, 0.7, 0.1]]
+    b2 = [[0.12, 0.1, 0.68, 0.1], [0.69, 0.11, 0.1, 0.1], [0.1, 0.6, 0.15, 0.15]]
+    row = lambda obs, order, rep, it, b: (obs, 3, order, rep, it, [1 / 3] * 3, [[0.8, 0.1, 0.1], [0.1, 0.7, 0.2], [0.2, 0.2, 0.6]], b, -5.0, 0.0, True)
+    sets = [[row("x", 0, 1, 1, b1), row("x", 0, 2, 1, b2)], [row("x", 1, 2, 1, b2), row("x", 1, 3, 1, b1)], [row("y", 0, 1, i, b2) for i in (1, 2)]]
+    every = spark.createDataFrame([r for s in sets for r in s], hmm.STEPS)
+    each = [spark.createDataFrame(s, hmm.STEPS) for s in sets]
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(reports.replicate_reports(every)) == sorted(r for s in each for r in rows(reports.replicate_report(s)))
+    coords = {tuple(r)[:5]: tuple(r)[5:] for r in reports.matched_state_coords(every).collect()}
+    assert coords["x", 3, 0, 2, 1] == (0.69, 0.1, 0.12) and coords["y", 3, 0, 1, 2] == (0.12, 0.69, 0.1)
+    coded = spark.createDataFrame([(o, k, 1, [1, 2, 3, 4]) for o in "xy" for k in (0, 1)], OBS)
+    obs = spark.createDataFrame([("x", 1, "ACGT"), ("y", 1, "ACGT")], "obs_id string, seq_id long, seq string")
+    both = every.unionByName(every.withColumn("iterate", F.col("iterate") + 2))
+    got = reports.generate_reports(both, coded, obs)
+    best = got["partitions"].select("obs_id", "K", "order")
+    want = both.join(best, ["obs_id", "K", "order"], "left_semi").select("obs_id", "order", "replicate", "iterate")
+    assert rows(got["replicates"].select(*want.columns).distinct()) == rows(want)
+
+
+def test_replicate_queries_take_all_steps(spark):
+    steps = queries._steps(spark, "/root/testdata/sf0.001")
+    chains = lambda df: df.select(*jobs.CHAIN, "iterate").distinct().count()
+    assert chains(queries.QUERIES["replicate_report"](spark, "/root/testdata/sf0.001")) == chains(steps)
+    assert chains(queries.QUERIES["matched_state_coords"](spark, "/root/testdata/sf0.001")) == chains(steps.where("K >= 3"))
