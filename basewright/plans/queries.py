@@ -16,6 +16,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 PAD = 500
 TILE = 4096
+#: Of each partition's bases that are sampled for training and tests, as in the reference's tests.
+SHARE = 0.1
 
 
 def query(sql: str | None = None, *needs: str) -> Callable:
@@ -237,7 +239,7 @@ def take_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.seqs(spark, sf_dir)
     parts = docs.select(F.col("obs_id").alias("partition"), F.col("seq_id").cast("string").alias("seqid"), F.lit(1).cast("long").alias("start"), F.length("seq").cast("long").alias("end"), F.lit(None).cast("string").alias("strand"))
-    return sampling.sample_partitions(parts, views.doc_tiles(spark, sf_dir, TILE), 5000, 50, 300, tile=TILE)
+    return sampling.sample_partitions(parts, views.doc_tiles(spark, sf_dir, TILE), 5000, 50, 300, tile=TILE, share=SHARE)
 
 
 @query()
@@ -380,12 +382,12 @@ def em_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampled windows to trained chains: a grid over states and orders, five steps a chain at most."""
+    """Sampled windows to trained chains: a grid over states and orders, each chain until it converges."""
     samples = sampling.split_obs_sets(_samples(spark, sf_dir)).where("split = 'train'")
     obs = samples.select(F.col("partition").alias("obs_id"), F.xxhash64("seqid", "start").alias("seq_id"), F.col("sequence").alias("seq"))
     grid = jobs.job_grid(obs, (1, 2), (0, 1), 1)
     none = spark.createDataFrame([], hmm.STEPS)
-    return hmm.train(grid, coding.code_job_obs(grid, obs), none, jobs.init_models(grid), 1e-3, 5)
+    return hmm.train(grid, coding.code_job_obs(grid, obs), none, jobs.init_models(grid))
 
 
 @query(

@@ -224,3 +224,16 @@ def test_replicate_queries_take_all_steps(spark):
     chains = lambda df: df.select(*jobs.CHAIN, "iterate").distinct().count()
     assert chains(queries.QUERIES["replicate_report"](spark, "/root/testdata/sf0.001")) == chains(steps)
     assert chains(queries.QUERIES["matched_state_coords"](spark, "/root/testdata/sf0.001")) == chains(steps.where("K >= 3"))
+
+
+def test_train_query_goes_on_to_convergence_on_a_share_of_the_bases(spark, monkeypatch):
+    dir_ = "/root/testdata/sf0.001"
+    given = []
+    monkeypatch.setattr(hmm, "train", lambda *args, **options: given.append((args, options)))
+    queries.QUERIES["train"](spark, dir_)
+    ((args, options),) = given
+    assert len(args) == 4 and not options  # the operator's own threshold and limit
+    bases = dict(views.seqs(spark, dir_).groupBy("obs_id").agg(F.sum(F.length("seq"))).collect())
+    taken = dict(queries._samples(spark, dir_).groupBy("partition").agg(F.sum(F.length("sequence"))).collect())
+    assert all(taken[k] >= 0.1 * n for k, n in bases.items()) and max(taken.values()) > 20_000
+    assert all(taken[k] <= max(5000, 0.1 * n) + 301 for k, n in bases.items())
