@@ -11,7 +11,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,43 +31,69 @@ def _store(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
+#: Texts that show whether a tokenizer's ids of a text are its pieces' ids in a row.
+PROBES = ("two words", " a  b\nc \n d ", "The End.", "Él, été: ÀÇ!", "x\ty\r\nz", "a #b# (c) -- d/e", "it's 12 o'clock", "abc abc\nabc", "日本 語", "e\u0301 o\u0308", "A-B c_d!?", "$$$ %% x***")
+
+
 class PieceEncoder(dict):
     """Token ids of texts, as bytes, with the ids of a bounded number of space-separated pieces remembered.
 
-    White space ends every match of the tokenizer's split pattern and nothing is composed across it, so a
-    text's ids are its pieces' ids in a row. Holds for tokenizers that drop white space, as a test confirms
-    for the one used; pass ``split=False`` for others.
+    Where white space ends every match of a tokenizer's split pattern and nothing is composed across it, a text's ids
+    are its pieces' ids in a row. Whether this holds is tried with PROBES; whole texts are encoded where it does not.
+    Pieces are remembered in two generations of ``most`` each: one that is met again outlives those that are not.
     """
 
     #: Pieces of one run of Latin letters and an optional run of marks are two splits at most and are given to
-    #: the model without the pipeline around it.
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+    #: the model without the pipeline around it, if the probes say that this gives the same ids.
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
-    def __init__(self, path: str, split: bool = True, most: int = 500_000):
+    def __init__(self, path: str, split: bool = True, most: int = 400_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.split, self.most = Tokenizer.from_file(path), split, most
-        self.model = self.tokenizer.model
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model, self.older = self.tokenizer.model, {}
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        letters = (chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))
-        self.as_bytes = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters} if split else {}
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.split = self.plain = split
+        if split:
+            letters = (chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))
+            self.as_bytes = {ord(c): (self.tokenizer.pre_tokenizer.pre_tokenize_str(c) or [(c, 0)])[0][0] if self.tokenizer.pre_tokenizer else c for c in letters}
+            self.plain = self._holds()
+            self.split = self.plain or self._holds()
+            self._forget()
+
+    def _holds(self) -> bool:
+        self._forget()
+        return all(self.ids(x) == self._whole(x) for x in PROBES)
+
+    def _forget(self) -> None:
+        self.clear()
+        self.older = {}
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
+        return self._packed(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+
+    def _one(self, run: str) -> bytes:
+        return self._packed([x.id for x in self.model.tokenize(run if run.isascii() else run.translate(self.as_bytes))])
 
     def __missing__(self, piece: str) -> bytes:
+        out = self.older.get(piece)
+        if out is None:
+            if self.plain and (m := self.PLAIN.fullmatch(piece)):
+                run, marks = m[1].lower(), m[2]
+                out = self._one(run) if run == piece else self[run] + self[marks] if marks else self[run]
+            elif self.plain and piece and piece.isascii() and not piece.isalnum() and self.PLAIN.fullmatch("a" + piece):
+                out = self._one(piece)
+            else:
+                out = self._whole(piece)
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        if m := self.PLAIN.fullmatch(piece):
-            run = m[1].lower()
-            ids = [x.id for x in self.model.tokenize(run if run.isascii() else run.translate(self.as_bytes))]
-            if m[2]:
-                ids += [x.id for x in self.model.tokenize(m[2])]
-            out = np.array(ids, self.kind).tobytes()
-        else:
-            out = self._whole(piece)
         self[piece] = out
         return out
 
@@ -136,34 +163,39 @@ def read_manifest(spark: SparkSession, out_dir: str) -> DataFrame:
     return shards.select("*", *(F.coalesce(F.sum(f"n_{x}").over(before), F.lit(0)).alias(f"{x}_before") for x in ("docs", "tokens")))
 
 
-def _array(store: fs.FileSystem, path: str, kind: str) -> np.ndarray:
+def _reader(store: fs.FileSystem, path: str, kind: str) -> Callable[[int, int], np.ndarray]:
+    """Values [from, to) of a file: of the mapped file where the store is local, else of the bytes read for them."""
     if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, dtype=kind, mode="r")
-    with store.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype=kind)
+        mapped = np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.empty(0, kind)
+        return lambda lo, hi: mapped[lo:hi]
+    file, width = store.open_input_file(path), np.dtype(kind).itemsize
+    return lambda lo, hi: np.frombuffer(file.read_at((hi - lo) * width, lo * width), dtype=kind)
 
 
 def read_token_files(spark: SparkSession, out_dir: str, ids: bool = False) -> DataFrame:
     """Documents of the files: doc_id, start, n_tokens, ids_crc32, and the ids themselves if asked for.
 
-    Shards are mapped into memory; only shard names are shuffled.
+    Shards are mapped into memory, or read by ranges of documents where the store is not local; only shard names are
+    shuffled.
     """
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int64()))] * ids
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _store(out_dir)
         for batch in batches:
-            for shard, total, base in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                offsets, doc_ids = (_array(store, f"{root}/{shard:06d}.{x}", k) for x, k in (("offsets", "<u8"), ("ids", "<i8")))
+            for shard, n_docs, total, base in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 size = store.get_file_info(path := f"{root}/{shard:06d}.tokens").size
-                tokens = _array(store, path, "<u2" if size == 2 * total else "<u4")
-                for i in range(0, len(doc_ids), 1024):
-                    part = doc_ids[i : i + 1024]
-                    each = [tokens[int(offsets[k]) : int(offsets[k + 1])].astype("<u4") for k in range(i, i + len(part))]
-                    columns = [pa.array(part, mask=part == NULL_ID), pa.array(base + offsets[i : i + len(part)].astype(np.int64)), pa.array([len(x) for x in each], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in each], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns + [pa.array([x.tolist() for x in each], pa.list_(pa.int64()))] * ids, schema=pa.schema(fields))
-
-    shards = read_manifest(spark, out_dir).select("shard", "n_tokens", "tokens_before")
+                offsets, doc_ids, tokens = (_reader(store, f"{root}/{shard:06d}.{x}", k) for x, k in (("offsets", "<u8"), ("ids", "<i8"), ("tokens", "<u2" if size == 2 * total else "<u4")))
+                for i in range(0, n_docs, 256):
+                    part = np.array(doc_ids(i, min(i + 256, n_docs)))
+                    at = offsets(i, i + len(part) + 1).astype(np.int64)
+                    flat = tokens(int(at[0]), int(at[-1])).astype("<u4")
+                    inside, view = at - at[0], memoryview(flat).cast("B")
+                    crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(inside.tolist(), inside[1:].tolist())]
+                    columns = [pa.array(part, mask=part == NULL_ID), pa.array(base + at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns + [pa.ListArray.from_arrays(pa.array(inside.astype(np.int32)), pa.array(flat.astype(np.int64)))] * ids, schema=pa.schema(fields))
+
+    shards = read_manifest(spark, out_dir).select("shard", "n_docs", "n_tokens", "tokens_before")
     parts = max(1, spark.read.parquet(f"{out_dir}/manifest").count())
     return shards.repartition(parts, "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids)
 

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyarrow import fs
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -46,4 +47,19 @@ def test_forgetting_pieces_changes_nothing():
     whole = Tokenizer.from_file(PATH)
     for x in filter(None, TEXTS):
         assert np.frombuffer(small.ids(x), small.kind).tolist() == whole.encode(x, add_special_tokens=False).ids
-    assert len(small) <= 3
+    assert len(small) <= 3 and len(small.older) <= 3
+
+
+def test_tokenizers_that_keep_white_space_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, whole = tokens.PieceEncoder(path), Tokenizer.from_file(path)
+    assert not encoder.split and tokens.PieceEncoder(PATH).plain
+    for x in filter(None, TEXTS):
+        assert np.frombuffer(encoder.ids(x), encoder.kind).tolist() == whole.encode(x, add_special_tokens=False).ids
+
+
+def test_ranges_of_files_in_stores(tmp_path):
+    local = fs.LocalFileSystem()
+    np.arange(100, dtype="<u2").tofile(tmp_path / "a")
+    for store, path in ((local, str(tmp_path / "a")), (fs.SubTreeFileSystem(str(tmp_path), local), "a")):
+        assert tokens._reader(store, path, "<u2")(7, 11).tolist() == [7, 8, 9, 10]
