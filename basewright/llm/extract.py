@@ -3,7 +3,8 @@
 A page becomes a tree of its block elements; text between two block boundaries is a segment of the block it stands
 in. Segments pass points for their length and commas to their block and its ancestors, less with each level, and a
 block's points are discounted by its share of link text. The best block, or the container of the text that it lies
-in, is kept whole, and those siblings that score near it; menus, headers, footers, notices, adverts, forms, comments and the like are left out by tag, role or name.
+in, is kept whole, and those siblings that score near it or are prose; menus, headers, footers, notices, adverts, forms,
+comments and the like are left out by tag, role or name, but no name leaves out an element around the best block.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from basewright.llm.common import slices, table
 
 # Elements by what they are.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math select button object audio video canvas".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg select object audio video canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-OUT = frozenset("head nav footer aside form menu dialog fieldset".split())
+OUT = frozenset("head nav footer menu dialog".split())
+#: Left out unless the best block lies within.
+OUT_UNLESS_BEST = frozenset("aside form fieldset".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 OUT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion outbrain taboola"
@@ -32,6 +35,10 @@ OUT_NAMES = frozenset(
     " cookie cookies consent gdpr notice popup modal overlay alert disclaimer"
     " share sharing social newsletter subscribe subscription signup login form".split()
 )
+#: A class or id counts if its parts are names of OUT_NAMES and of these only, so "form-factor" or "has-sidebar" do not.
+QUALIFIERS = frozenset("left right top bottom main site page global primary secondary inner outer list area box container wrapper wrap section block item items bar button buttons link links unit slot content posts articles stories the".split())
+#: What points of text within a named element are multiplied by.
+NAMED = 0.1
 #: What starts an element ends an open one of these.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 #: Where the search for an element to end stops.
@@ -44,32 +51,38 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Block:
-    __slots__ = ("chars", "inside", "link_chars", "out", "parent", "points", "tag")
+    __slots__ = ("chars", "inside", "link_chars", "named", "out", "parent", "points", "tag", "within")
 
-    def __init__(self, tag: str, parent: Block | None, out: bool):
-        self.tag, self.parent, self.out = tag, parent, out
+    def __init__(self, tag: str, parent: Block | None, out: bool, named: bool = False):
+        self.tag, self.parent, self.out, self.named = tag, parent, out, named
         self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
+        self.within = named + (0 if parent is None else parent.within)  # named elements around, itself included
         self.points, self.chars, self.link_chars = 0.0, 0, 0
 
 
-def _left_out(tag: str, attributes: str, parent: Block) -> bool:
+def _names(value: str) -> Iterator[set[str]]:
+    for token in value.split():
+        yield {x.lower() for x in _NAME.findall(token)}
+
+
+def _left_out(tag: str, attributes: str, parent: Block) -> tuple[bool, bool]:
+    """Whether an element is left out in any case, and whether it is unless the best block lies within."""
     if tag in OUT or (tag == "header" and not parent.inside):
-        return True
+        return True, False
+    named = tag in OUT_UNLESS_BEST
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, named
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
+            return True, False
         if name == "role" and value.lower() in OUT_ROLES:
-            return True
-        if name == "style" and _HIDDEN.search(value):
-            return True
+            named = True
         if name in ("class", "id"):
-            names = {x.lower() for x in _NAME.findall(value)}
-            if names & OUT_NAMES or ("header" in names and not parent.inside):
-                return True
-    return False
+            for parts in _names(value):
+                if (parts & OUT_NAMES and parts <= OUT_NAMES | QUALIFIERS) or ("header" in parts and parts <= QUALIFIERS | {"header"} and not parent.inside):
+                    named = True
+    return False, named
 
 
 def segments(page: str) -> list[tuple[Block, str, int]]:
@@ -141,7 +154,8 @@ def segments(page: str) -> list[tuple[Block, str, int]]:
                 close(len(stack) - 1)
             if tag not in VOID and not (tag in ("html", "body") and len(stack) > 2):
                 parent = stack[-1]
-                stack.append(Block(tag, parent, parent.out or _left_out(tag, m[3], parent)))
+                gone, named = _left_out(tag, m[3], parent)
+                stack.append(Block(tag, parent, parent.out or gone, named))
     if at < len(page):
         rest = page[at:]
         text(rest)
@@ -168,6 +182,9 @@ def _container(best: Block) -> Block:
     return top
 
 
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+
+
 def main_text(page: str) -> str:
     """Blocks of the main text, joined by an empty line; empty if there is none."""
     found = segments(page)
@@ -176,7 +193,7 @@ def main_text(page: str) -> str:
     scored: dict[int, Block] = {}
     for block, text, links in found:
         points = (1 if len(text) >= 25 else 0) + min(len(text) / 100, 3) + 0.5 * (text.count(",") + text.count("、") + text.count("，"))
-        points *= 1 - links / len(text)
+        points *= (1 - links / len(text)) * NAMED ** min(block.within, 4)
         at, level = block, 0
         while at is not None:
             at.chars += len(text)
@@ -185,30 +202,50 @@ def main_text(page: str) -> str:
                 at.points += points / (1, 1, 2, 4, 8, 16)[level]
                 scored[id(at)] = at
             at, level = at.parent, level + 1
-    containers = [b for b in scored.values() if b.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "html")] or list(scored.values())
+    containers = [b for b in scored.values() if b.tag not in ("p", *HEADINGS, "li", "html")] or list(scored.values())
     bonus = {"article": 25.0, "main": 15.0}
 
     def score(b: Block) -> float:
-        return (b.points + bonus.get(b.tag, 0.0)) * (1 - b.link_chars / b.chars)
+        return (b.points + bonus.get(b.tag, 0.0) * NAMED ** min(b.within, 4)) * (1 - b.link_chars / b.chars)
 
     best = max(containers, key=score)  # of equals the first, which is the inner one
-    near = max(5.0, 0.2 * score(best))
+    at: Block | None = best
+    while at is not None:  # no name leaves out the best block
+        at.named, at = False, at.parent
     top = _container(best)
+    whole, near = top.tag in ("article", "main"), 0.2 * score(best)
     kept = {id(top)}
+    last: dict[int, str] = {}
+    for block, text, _ in found:
+        at = block
+        while at is not None and at.parent is not top.parent:
+            at = at.parent
+        if at is not None:
+            last[id(at)] = text
     for b in scored.values():
-        if b is not top and b.parent is top.parent and b.tag != "html":
-            dense = b.link_chars / b.chars
-            if score(b) >= near or (b.tag in ("p", "h1", "h2") and dense < 0.25 and b.chars > 80):
-                kept.add(id(b))
-    out = []
+        if b is top or b.parent is not top.parent or b.tag == "html" or b.named or b.link_chars >= 0.25 * b.chars:
+            continue
+        ends = last.get(id(b), "").endswith((".", "!", "?", "…", "。"))
+        prose = b.tag in ("section", "blockquote", "pre", "table", "ul", "ol", *HEADINGS) or (b.tag in ("p", "div") and ends)
+        if score(b) >= near or b.tag == "h1" or (prose and not whole) or (b.tag in ("p", "h2") and b.chars > 80):
+            kept.add(id(b))
+    out: list[tuple[str, bool, bool]] = []
     for block, text, links in found:
         at = block
-        while at is not None and id(at) not in kept:
+        while at is not None and id(at) not in kept and not at.named:
             at = at.parent
-        listed = block.tag in ("li", "ul", "ol", "div", "td", "section") and links > 0.6 * len(text)
-        if at is not None and not listed:
-            out.append(text)
-    return "\n\n".join(out)
+        if at is None or at.named:
+            continue
+        listed = not whole and links > 0.6 * len(text) and block.tag in ("li", "ul", "ol", "dd", "div", "td")
+        out.append((text, listed, block.tag in HEADINGS))
+    # outside article and main, links before the text and after it are menus, unless they stand under a heading
+    first = next((i for i, x in enumerate(out) if not x[1]), len(out))
+    end = len(out)
+    while end > first and out[end - 1][1]:
+        end -= 1
+    if end > first and out[end - 1][2]:
+        end = len(out)
+    return "\n\n".join(x[0] for x in (out[first:end] or out))
 
 
 def extract(pages: DataFrame) -> DataFrame:
