@@ -33,6 +33,58 @@ def test_long_sections_do_not_drop_the_rest():
             assert extract.main_text(page) == "\n\n".join(want)
 
 
+def test_names_leave_out_no_article_text():
+    para = "A sentence with words, commas, and more words that go on and on, until it is long enough to count. " * 3
+    p = f"<p>{para}</p>"
+    want = [para.strip()]
+    text = lambda x: extract.main_text(x).split("\n\n")
+    assert text(f"<article>{p}<div class='form-factor'>Small is fine.</div><section id='social-history'>Long ago.</section></article>") == [*want, "Small is fine.", "Long ago."]
+    assert text(f"<body><div class='page has-sidebar'>{p}{p}</div><div class='sidebar'>{p}</div></body>") == want * 2
+    assert text(f"<body><div class='sidebar widget'><div>{p}{p}</div></div></body>") == want * 2
+    assert text(f"<body><form><div class='comments'>{p}</div>{p}{p}</form></body>") == want * 2
+    links = "<li><a href=/1>First source</a><li><a href=/2>Second source</a>"
+    assert text(f"<article><h2><a href=/x>Linked heading</a></h2>{p}<h3>Sources</h3><ul>{links}</ul></article>") == ["Linked heading", *want, "Sources", "First source", "Second source"]
+    assert text(f"<body><div>{p}{p}<h3>Sources</h3><ul>{links}</ul></div></body>")[-3:] == ["Sources", "First source", "Second source"]
+    assert text(f"<body><div>{p}{p}{p}</div><section>Short last part</section><div>And an end.</div></body>")[-2:] == ["Short last part", "And an end."]
+    assert text(f"<article>{p}<p>a <math><mi>x</mi></math> and <button>press</button></p></article>")[-1] == "a x and press"
+
+
+def random_page(rng):
+    """A page and its main text."""
+    sentence = lambda: " ".join(rng.choice(["word", "other", "thing", "more"]) + rng.choice(["", "", ","]) for _ in range(rng.randrange(6, 20))).rstrip(",") + "."
+    want, body = [], []
+
+    def block(tag, text):
+        want.append(text)
+        return f"<{tag}>{text}</{tag}>"
+
+    body.append(block("h1", "Title of it"))
+    for _ in range(rng.randrange(2, 6)):
+        inner = block("h2", "Part of it") if rng.random() < 0.5 else ""
+        inner += "".join(block("p", " ".join(sentence() for _ in range(rng.randrange(1, 5)))) for _ in range(rng.randrange(1, 5)))
+        if rng.random() < 0.3:
+            inner += "<ul>" + "".join(block("li", sentence()) for _ in range(3)) + "</ul>"
+        body.append(rng.choice(["{}", "<section>{}</section>", "<div class='part share-price'>{}</div>"]).format(inner))
+        if rng.random() < 0.4:
+            name = rng.choice(["ad", "comments", "share-buttons", "related-posts", "newsletter signup", "sidebar-right"])
+            body.append(f"<div class='{name}'><p>{sentence()}</p></div>")
+        if rng.random() < 0.2:
+            body.append(rng.choice(["<form><p>{}</p></form>", "<aside>{}</aside>", "<script>{}</script>", "<nav>{}</nav>"]).format(sentence()))
+    page = rng.choice(["<article>{}</article>", "<main><div>{}</div></main>", "<div id=content>{}</div>"]).format("".join(body))
+    page = rng.choice(["{}", "<div class='wrapper no-sidebar'>{}</div>"]).format(page)
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Go there {i}</a></li>" for i in range(8)) + "</ul>"
+    before = rng.choice([f"<nav>{links}</nav>", f"<div class=menu>{links}</div>", f"<header>{links}<p>{sentence()}</p></header>"])
+    after = rng.choice([f"<footer><p>{sentence()}</p></footer>", f"<div id=site-footer>{sentence()}</div>", f"<div class='cookie-notice'><p>{sentence()}</p></div>"])
+    return f"<html><head><title>t</title></head><body>{before}{page}{after}</body></html>", "\n\n".join(want)
+
+
+def test_pages_with_known_main_text():
+    rng = random.Random(11)
+    for _ in range(400):
+        page, want = random_page(rng)
+        assert extract.main_text(page) == want, page
+
+
 def test_links_do_not_win():
     links = "".join(f"<li><a href=/{i}>A rather long headline, number {i}, with commas, and words</a></li>" for i in range(30))
     page = f"<body><div><ul>{links}</ul></div><div><p>The only real paragraph, which is of some length, stands here, and says something.</p></div>"
@@ -88,7 +140,7 @@ def resolved(records):
         if r["kind"] != "revisit":
             continue
         key = r["url"]
-        earlier = [x for x in records if x["kind"] == "response" and x["url"] == key and x["ts"] is not None and r["ts"] is not None and x["ts"] < r["ts"]]
+        earlier = [x for x in records if x["kind"] == "response" and key is not None and x["url"] == key and x["ts"] is not None and r["ts"] is not None and x["ts"] < r["ts"]]
         if not earlier:
             out.append((r["record_id"], "no_earlier", None))
             continue
@@ -106,12 +158,12 @@ def resolved(records):
 def test_revisits_against_brute_force(spark):
     rng = random.Random(3)
     records = [
-        {"record_id": i, "url": rng.choice(["a", "a", "a", "b/x", ""]), "ts": rng.choice([None, *range(1, 60)]), "kind": rng.choice(["response", "revisit", "revisit", "warcinfo", None]), "etag": rng.choice([None, '"1"', 'W/"1"', '"2"']), "last_modified": rng.choice([None, "m", "n"]), "headers": None}
+        {"record_id": i, "url": rng.choice(["a", "a", "a", "b/x", "", None]), "ts": rng.choice([None, *range(1, 60)]), "kind": rng.choice(["response", "revisit", "revisit", "warcinfo", None]), "etag": rng.choice([None, '"1"', 'W/"1"', '"2"']), "last_modified": rng.choice([None, "m", "n"]), "headers": None}
         for i in range(400)
     ]
     schema = "record_id long, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>"
     df = spark.createDataFrame([tuple(r.values()) for r in records], schema).withColumn("status", F.lit("clash"))
-    for seconds in (7, 86_400):
+    for seconds in ((7,), (5, 20), revisit.BLOCK_SECONDS):
         got = sorted(((r["record_id"], r["status"], r["response_id"]) for r in revisit.resolve(df, seconds).collect()), key=str)
         assert got == resolved(records)
     assert revisit.resolve(df.limit(0)).count() == 0
@@ -124,6 +176,18 @@ def test_headers_and_keys(spark):
     assert (r["url_key"], r["status"], r["headers"]) == ("a.com/p", "resolved", 'content-type: t\ndate: 2\netag: "e"\nvary: v')
 
 
+def test_revisit_query_meets_every_status(spark):
+    import os
+
+    import pytest
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    found = {r["status"]: r["count"] for r in revisit.op3_revisits(spark, d).groupBy("status").count().collect()}
+    assert set(found) == {"resolved", "mismatch", "no_validator", "no_earlier"} and min(found.values()) >= 2
+
+
 def test_page_queries_against_sql(spark):
     import os
 
