@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from basewright.llm import containment, lsh_forest
 from basewright.llm.common import SIMILARITY
 
@@ -115,7 +117,11 @@ def test_containment_against_all_pairs(spark):
         docs.append((i, " ".join(w)))
     docs += [(100, items[5][1]), (101, None), (102, "only four words here"), (103, "x only four words here"), (104, " ".join(items[7][1].split()[:40]) + " gap " + " ".join(items[7][1].split()[40:]))]
     d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
-    for size in (containment.BLOCK_BYTES, 300):  # one block of items, and several
-        got = {(r["doc_id"], r["item_id"], r["n_shared"], r["n_item"]) for r in containment.contained_items(d, b, block_bytes=size).collect()}
-        assert got == contained(docs, items)
+    for bits in (containment.MOST_BITS, 8):  # and with a filter that holds nearly everything
+        got = [(r["doc_id"], r["item_id"], r["n_shared"], r["n_item"]) for r in containment.contained_items(d, b, most_bits=bits).collect()]
+        assert len(got) == len(set(got)) and set(got) == contained(docs, items)
+    again = spark.createDataFrame([(None, items[5][1]), (None, items[5][1]), (None, "clean " * 20), (7, items[6][1]), (7, "clean " * 20)], "doc_id long, text string").withColumn("row", F.lit(1))
+    twins = spark.createDataFrame([(None, items[5][1]), (8, items[5][1]), (8, items[6][1])], "item_id long, text string")
+    got = sorted(str((r["doc_id"], r["item_id"])) for r in containment.contained_items(again, twins).collect())
+    assert got == ["(7, 8)", "(None, 8)", "(None, 8)", "(None, None)", "(None, None)"]
     assert containment.contained_items(d, b.limit(0)).count() == 0 and containment.contained_items(d.limit(0), b).count() == 0
