@@ -219,10 +219,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
 
     targets: for each domain, its tokens wanted as a share of those expected at a rate of 1. max_rate None: only
     rates >= 0, as for corpora that may repeat documents. Null text has no tokens and the classifier's constant
-    posterior. Without labels all domains are equally likely. Namesakes among the other columns are replaced;
-    repeated rows have their own rates, equal ones; an empty table stays empty.
+    posterior. Without labels all domains are equally likely. Namesakes among the other columns are replaced,
+    and _tokens and _posterior dropped; repeated rows have their own rates, equal ones; an empty table stays empty.
     """
-    docs = docs.drop("n_tokens", "posterior", "rate", "expected_share", "target_share")
+    docs = docs.drop("n_tokens", "posterior", "rate", "expected_share", "target_share", "_tokens", "_posterior")
     weights = fit_classifier(label_domains(docs, labels), len(DOMAINS))
     whole = posteriors(docs, weights)
     whole = written(whole if keep_text else whole.drop("text"))
