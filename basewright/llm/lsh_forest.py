@@ -1,14 +1,18 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
-Every distinct text gets one label per tree, a sequence of MinHash values of its word shingles. Labels are
-prefixes of a trie: texts that share the first d values of a tree's label stand together when the tree is
-sorted. The prefix starts at the label's full depth and is shortened until a pair at the threshold shares it in
-at least one tree with the target recall, 1 - (1 - t^d)^trees. Each group that shares such a prefix is then
-verified exactly by its shingle sets, a pair only in the first tree where it meets.
-
-Exact copies are one class from the start. A group heavier than a block is split into blocks by hash, and every
-pair of blocks is a unit of work of its own; within a unit, pairs are counted by matrix products and leave it as
-one row per text (its links and a local root), never as pairs.
+Every distinct text gets one label per tree, a sequence of LABEL_DEPTH MinHash values of its word shingles. A tree
+sorted by its labels is a prefix trie, and two texts meet in it at the length of their labels' common prefix. A pair
+belongs to the tree in which it meets deepest, the first of several, so it is verified once. Each region of a tree,
+the labels below one shortest prefix, starts at full depth and shortens the matched prefix step by step: it stops once
+the pairs found tell that the target recall is reached, namely when they are enough to rule out with 95 % confidence
+that more than 1 - recall of all pairs are less similar than the least similar one found, and pairs as that one meet
+at this depth with the target recall; else it goes on to the shortest prefix, at which a pair at the threshold t
+meets with 1 - (1 - t^depth)^trees, the target. Pairs are verified exactly by their shingle sets.
+
+Exact copies are one class from the start. A region whose texts all share a whole label in an earlier tree has no
+pairs of its own and is left out. A region heavier than a block is split into blocks by hash, and every pair of
+blocks is a unit of work of its own; within a unit, pairs are counted by matrix products and leave it as one row per
+text (its links and a local root), never as pairs.
 """
 
 from __future__ import annotations
@@ -31,10 +35,15 @@ BLOCK_BYTES = 2 << 20
 LEAST_WEIGHT = 2048
 
 
+def meeting(similarity: float, depth: int, trees: int = TREES) -> float:
+    """The chance that a pair's labels share a prefix of ``depth`` in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
 def prefix_depth(threshold: float = SIMILARITY, trees: int = TREES, label_depth: int = LABEL_DEPTH, recall: float = RECALL) -> int:
     """The longest prefix at which a pair at the threshold meets in some tree with the target recall."""
     depth = label_depth
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+    while depth > 1 and meeting(threshold, depth, trees) < recall:
         depth -= 1
     return depth
 
@@ -43,25 +52,30 @@ def _multipliers(n: int) -> np.ndarray:
     return np.random.default_rng(20_240_501).integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def tree_prefixes(sets: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """One 64-bit value per tree: the first ``depth`` MinHash values of its label, folded."""
-    lowest = np.empty(trees * depth, np.uint64)
-    for i, m in enumerate(_multipliers(trees * depth)):
-        x = sets * m
-        lowest[i] = (x ^ (x >> np.uint64(29))).min()
-    lowest = mix(lowest).reshape(trees, depth)
-    out = lowest[:, 0].copy()
-    for i in range(1, depth):
-        out = mix(out * np.uint64(3) + lowest[:, i])
-    return out
-
-
-def forest(texts: DataFrame, trees: int, depth: int) -> DataFrame:
-    """(key, weight, prefixes): the prefixes of each text with at least one word, as uint64 bytes."""
-    fields = pa.schema([("key", pa.binary()), ("weight", pa.int64()), ("prefixes", pa.binary())])
+def tree_labels(sets: np.ndarray, multipliers: np.ndarray, trees: int, shortest: int) -> np.ndarray:
+    """[trees, depths]: each label's prefixes of ``shortest`` and more values, each folded to 64 bits."""
+    lowest = None
+    for i in range(0, len(sets), 256):
+        x = np.multiply.outer(multipliers, sets[i : i + 256])
+        x ^= x >> np.uint64(29)
+        low = x.min(1)
+        lowest = low if lowest is None else np.minimum(lowest, low)
+    values = mix(lowest).reshape(trees, -1)
+    fold, out = values[:, 0].copy(), []
+    for i in range(1, values.shape[1] + 1):
+        if i >= shortest:
+            out.append(fold)
+        if i < values.shape[1]:
+            fold = mix(fold * np.uint64(3) + values[:, i])
+    return np.stack(out, 1)
+
+
+def forest(texts: DataFrame, trees: int, shortest: int, label_depth: int = LABEL_DEPTH) -> DataFrame:
+    """(key, weight, labels): the labels of each text with at least one word, as uint64 bytes."""
+    fields = pa.schema([("key", pa.binary()), ("weight", pa.int64()), ("labels", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, multipliers = WordHashes(), _multipliers(trees * label_depth)
         for batch in slices(batches):
             keys, weights, labels = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
@@ -69,14 +83,14 @@ def forest(texts: DataFrame, trees: int, depth: int) -> DataFrame:
                 if len(sets):
                     keys.append(key)
                     weights.append(max(len(text), LEAST_WEIGHT))
-                    labels.append(tree_prefixes(sets, trees, depth).tobytes())
+                    labels.append(tree_labels(sets, multipliers, trees, shortest).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(weights, pa.int64()), pa.array(labels, pa.binary())], schema=fields)
 
-    return texts.select("key", "text").mapInArrow(run, "key binary, weight long, prefixes binary")
+    return texts.select("key", "text").mapInArrow(run, "key binary, weight long, labels binary")
 
 
-def similar(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) -> np.ndarray:
-    """Whether |x & y| / |x | y| reaches the threshold, for every x of ``a`` and y of ``b`` (``a`` if none)."""
+def similarities(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
+    """|x & y| / |x | y| for every x of ``a`` and y of ``b`` (``a`` if none)."""
     every = a if b is None else a + b
     sizes = np.array([len(x) for x in every])
     flat, row = np.concatenate(every), np.repeat(np.arange(len(every)), sizes)
@@ -94,69 +108,91 @@ def similar(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) -
         part = np.zeros((len(every), min(step, len(names) - i)), np.float32)
         part[row[lo:hi], where[lo:hi] - i] = 1
         common += part[:n] @ (part if b is None else part[n:]).T
-    other = sizes if b is None else sizes[n:]
-    together = sizes[:n, None] + other[None, :] - common
-    return common >= threshold * together - 1e-6
+    together = sizes[:n, None].astype(np.float32) + (sizes if b is None else sizes[n:])[None, :] - common
+    return common / together
+
+
+def meeting_levels(a: np.ndarray, b: np.ndarray, tree: int) -> np.ndarray:
+    """[len(a), len(b)]: how many of the prefixes of labels ``a`` and ``b`` [texts, trees, prefixes] agree in ``tree``,
+    0 for pairs that belong to another tree."""
+    own = None
+    deepest = np.zeros((len(a), len(b)), np.int8)
+    for t in [tree, *(u for u in range(a.shape[1]) if u != tree)]:
+        level = np.zeros_like(deepest)
+        for j in range(a.shape[2]):
+            same = a[:, t, j][:, None] == b[:, t, j][None, :]
+            if not same.any():
+                break
+            level += same
+        if own is None:
+            own = level
+        else:
+            own[(level >= own) if t < tree else (level > own)] = 0
+    return own
 
 
-def _roots(linked: np.ndarray) -> np.ndarray:
-    """The least index of each one's component."""
-    label = np.arange(len(linked))
+def _roots(linked: np.ndarray, crossed: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The least index of the component of each row and column; columns count on after rows if ``crossed``."""
+    rows, none = np.arange(linked.shape[0], dtype=np.int32), np.int32(np.iinfo(np.int32).max)
+    columns = rows if not crossed else np.arange(linked.shape[0], sum(linked.shape), dtype=np.int32)
     while True:
-        least = np.where(linked, label[None, :], len(label)).min(1, initial=len(label))
-        new = np.minimum(label, least)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+        new = np.minimum(rows, np.where(linked, columns[None, :], none).min(1, initial=none))
+        new_columns = new if not crossed else np.minimum(columns, np.where(linked, new[:, None], none).min(0, initial=none))
+        if (new == rows).all() and (new_columns == columns).all():
+            return rows, columns
+        rows, columns = new, new_columns
 
 
-def verify(units: DataFrame, trees: int, threshold: float) -> DataFrame:
-    """(key, links, root) of the texts with a link, for each unit of ``units`` (sorted by its five columns).
+def verify(units: DataFrame, trees: int, threshold: float, shortest: int, recall: float = RECALL) -> DataFrame:
+    """(key, links, root) of the texts with a link, for each unit of ``units`` (sorted by its first four columns).
 
-    units: tree, prefix, low, high, block, key, prefixes, text.
+    units: tree, prefix, low, high, block, key, labels, text.
     """
     fields = pa.schema([("key", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
 
     def unit(tree: int, crossed: bool, rows: list[tuple]) -> pa.RecordBatch | None:
         rows = list({(r[0], r[1]): r for r in rows}.values())  # equal rows of the input
         rows.sort(key=lambda r: r[:2])
-        blocks = np.array([r[0] for r in rows])
-        prefixes = np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(len(rows), trees)
-        new = (blocks[:, None] != blocks[None, :]) if crossed else ~np.eye(len(rows), dtype=bool)
-        for t in range(tree):
-            new &= prefixes[:, None, t] != prefixes[None, :, t]
-        if not (used := np.flatnonzero(new.any(1))).size:
-            return None
-        hashes = WordHashes()
-        sets = [shingles(rows[i][3], hashes) for i in used]
-        new = new[np.ix_(used, used)]
-        if crossed:
-            n = int((blocks[used] == blocks[used[0]]).sum())
-            linked = np.zeros_like(new)
-            linked[:n, n:] = similar(sets[:n], sets[n:], threshold)
-            linked |= linked.T
-        else:
-            linked = similar(sets, None, threshold)
-        linked &= new
-        links = linked.sum(1)
-        roots = _roots(linked)
-        some = np.flatnonzero(links)
-        if not some.size:
+        labels = np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(len(rows), trees, -1)
+        cut = sum(r[0] == rows[0][0] for r in rows) if crossed else 0
+        level = meeting_levels(labels[:cut] if crossed else labels, labels[cut:], tree)
+        if not crossed:
+            np.fill_diagonal(level, 0)
+        hashes, sets = WordHashes(), {}
+        linked = np.zeros(level.shape, bool)
+        found, least = 0, 1.0
+        for now in range(labels.shape[2], 0, -1):  # shorten the matched prefix
+            todo = level == now
+            i, j = np.flatnonzero(todo.any(1)), np.flatnonzero(todo.any(0))
+            if not i.size:
+                continue
+            for k in (*i, *(j + cut)):
+                if k not in sets:
+                    sets[k] = shingles(rows[k][3], hashes)
+            like = similarities([sets[k] for k in i], [sets[k + cut] for k in j] if crossed else None)
+            near = (like >= threshold - 1e-6) & todo[np.ix_(i, j)]
+            linked[np.ix_(i, j)] |= near
+            if near.any():
+                found, least = found + int(near.sum()) // (1 if crossed else 2), min(least, float(like[near].min()))
+            if found * (1 - recall) >= 3 and meeting(least, shortest + now - 1, trees) >= recall:
+                break
+        if not linked.any():
             return None
-        keys = [rows[used[i]][1] for i in range(len(used))]
-        return pa.RecordBatch.from_arrays([pa.array([keys[i] for i in some], pa.binary()), pa.array(links[some]), pa.array([keys[roots[i]] for i in some], pa.binary())], schema=fields)
+        root, column_root = _roots(linked, crossed)
+        parts = [(linked.sum(1), root, 0)] + ([(linked.sum(0), column_root, cut)] if crossed else [])
+        some = [(k + at, n[k], r[k]) for n, r, at in parts for k in np.flatnonzero(n)]
+        return pa.RecordBatch.from_arrays([pa.array([rows[k][1] for k, _, _ in some], pa.binary()), pa.array([n for _, n, _ in some], pa.int64()), pa.array([rows[r][1] for _, _, r in some], pa.binary())], schema=fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
         for batch in slices(batches):
             columns = [batch.column(i).to_pylist() for i in range(7)] + [utf8(batch.column(7))]
-            for *now, block, key, prefixes, text in zip(*columns, strict=True):
+            for *now, block, key, labels, text in zip(*columns, strict=True):
                 if now != at:
                     if len(rows) > 1 and (out := unit(at[0], at[2] != at[3], rows)) is not None:
                         yield out
                     at, rows = now, []
-                rows.append((block, key, prefixes, text))
+                rows.append((block, key, labels, text))
         if len(rows) > 1 and (out := unit(at[0], at[2] != at[3], rows)) is not None:
             yield out
 
@@ -205,25 +241,30 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, trees: int =
     fewer than five words is one shingle; an empty one has no links, but equal rows share a class. Null ids are
     returned and never chosen as class_id unless a class has no other. An empty table gives no rows.
     """
-    depth = prefix_depth(threshold, trees, recall=recall)
+    shortest = prefix_depth(threshold, trees, recall=recall)
+    width = 8 * (LABEL_DEPTH - shortest + 1)  # bytes of a tree's label
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("key", F.unhex(F.md5("text")))
     classes = written(rows.groupBy("key").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies")))
-    labels = written(forest(rows, trees, depth).dropDuplicates(["key"]))
+    labels = written(forest(rows, trees, shortest).dropDuplicates(["key"]))
 
-    prefix = F.expr(f"transform(sequence(0, {trees - 1}), t -> struct(t AS tree, substring(prefixes, 8 * t + 1, 8) AS prefix))")
+    prefix = F.expr(f"transform(sequence(0, {trees - 1}), t -> struct(t AS tree, substring(labels, {width} * t + 1, 8) AS prefix))")
     spots = labels.select("key", "weight", F.explode(prefix).alias("s")).select("key", "weight", "s.tree", "s.prefix")
-    groups = spots.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.sum("weight").alias("bytes")).where("n > 1")
-    groups = groups.select("tree", "prefix", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("blocks"))
-    met = spots.join(groups, ["tree", "prefix"]).groupBy("key").agg(F.collect_list(F.struct("tree", "prefix", "blocks")).alias("spots"))
-    met = written(met.join(labels.select("key", "prefixes"), "key").join(classes.select("key", "copy_id"), "key"))
+    regions = spots.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.sum("weight").alias("bytes")).where("n > 1")
+    met = written(spots.join(regions, ["tree", "prefix"]).join(labels.select("key", "labels"), "key"))
+    whole = [F.substring("labels", width * (t + 1) - 7, 8) for t in range(trees)]
+    regions = met.groupBy("tree", "prefix").agg(F.first("bytes").alias("bytes"), *((F.min(x) == F.max(x)).alias(f"same{t}") for t, x in enumerate(whole)))
+    own = regions.where(~F.exists(F.array(*(F.col(f"same{t}") & (F.col("tree") > t) for t in range(trees))), lambda x: x))
+    own = own.select("tree", "prefix", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("blocks"))
+    spots = met.select("key", "labels", "tree", "prefix").join(own, ["tree", "prefix"]).groupBy("key").agg(F.first("labels").alias("labels"), F.collect_list(F.struct("tree", "prefix", "blocks")).alias("spots"))  # one a tree
+    spots = written(spots.join(classes.select("key", "copy_id"), "key"))
 
     one = F.coalesce("doc_id", F.lit(0)) == F.coalesce("copy_id", F.lit(0))  # of a text's copies, the row it is known by
-    units = rows.withColumnRenamed("key", "k").join(met, (F.col("k") == F.col("key")) & one).select("key", "text", "prefixes", F.explode("spots").alias("s"))
-    units = units.select("key", "text", "prefixes", "s.*").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    units = rows.withColumnRenamed("key", "k").join(spots, (F.col("k") == F.col("key")) & one).select("key", "text", "labels", F.explode("spots").alias("s"))
+    units = units.select("key", "text", "labels", "s.*").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("tree", "prefix", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "prefixes", "text")
+    units = units.select("tree", "prefix", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "labels", "text")
     unit = ["tree", "prefix", "low", "high"]
-    links = written(verify(units.repartition(*unit).sortWithinPartitions(*unit), trees, threshold))
+    links = written(verify(units.repartition(*unit).sortWithinPartitions(*unit), trees, threshold, shortest, recall))
 
     roots = components(links.select("key", "root"))
     linked = links.groupBy("key").agg(F.sum("links").alias("n_links"))

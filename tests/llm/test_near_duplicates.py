@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from basewright.llm import containment, lsh_forest
@@ -74,6 +75,40 @@ def test_a_large_group_of_near_copies(spark):
     assert 0 <= missed <= 0.005 * sum(w for _, w in want.values())
 
 
+def test_pairs_belong_to_the_tree_they_meet_deepest_in():
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 2, (40, 3, 4))
+    labels = np.stack([[[hash(tuple(v[:k])) & 0xFFFFFFFF for k in (2, 3, 4)] for v in x] for x in values]).astype(np.uint64)
+    common = lambda x, y: next((k for k in range(4) if x[k] != y[k]), 4)
+    levels = [lsh_forest.meeting_levels(labels, labels, t) for t in range(3)]
+    for i in range(40):
+        for j in range(40):
+            each = [max(0, common(values[i, t], values[j, t]) - 1) for t in range(3)]
+            want = [0, 0, 0]
+            want[each.index(max(each))] = max(each)
+            assert [int(x[i, j]) for x in levels] == want
+
+
+def test_prefixes_are_shortened_until_enough_is_known(spark):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(400)]
+    near, far = [], []
+    for i in range(120):  # 7,140 pairs at 0.95 or so
+        copy = base[:]
+        copy[rng.randrange(400)] = f"x{i}"
+        near.append((i, " ".join(copy)))
+    for i in range(200, 212):  # and some near the threshold
+        copy = base[:]
+        for _ in range(6):
+            copy[rng.randrange(400)] = f"y{i}{rng.random()}"
+        far.append((i, " ".join(copy)))
+    for docs in (near, near + far):
+        want = brute(docs)
+        got = lsh_forest.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        missed = sum(w for _, w in want.values()) - sum(r["n_links"] for r in got)
+        assert 0 <= missed <= 0.004 * sum(w for _, w in want.values())
+
+
 def test_depth_and_edges(spark):
     assert 1 - (1 - 0.8 ** lsh_forest.prefix_depth()) ** lsh_forest.TREES >= lsh_forest.RECALL
     assert lsh_forest.prefix_depth(0.8, 12, 8, 0.9999999) < lsh_forest.prefix_depth(0.8, 12, 8, 0.5)
