@@ -22,33 +22,104 @@ def held(i):
     return zlib.crc32(str(i).encode()) % 5 == 1
 
 
+def brown_words(t):
+    return [w for w in re.split(rb"[\x20\x09-\x0d]+", (t or "").encode().lower()) if w]
+
+
+def brown_brute(docs, m, type_of):
+    """Scores by definition, given the classes that the exchange found."""
+    end = len(m.mass) - 1
+    kind = lambda w: type_of.get(w, m.n_core + zlib.crc32(w.decode()[-3:].encode()) % brown.ENDINGS)
+    classes = lambda w: [m.of_type[end]] * 2 + [m.of_type[kind(x)] for x in w] + [m.of_type[end]]
+    train = [brown_words(t) for i, t in docs if not held(i)]
+    c = Counter(x for w in train for x in w)
+    mass, once, width = Counter(), Counter(), int(m.of_type[end]) + 1
+    for x, n in c.items():
+        mass[kind(x)] += n
+        once[kind(x)] += (n == 1) * (x not in type_of)
+    in_class = Counter()
+    for t in range(end):
+        in_class[m.of_type[t]] += mass[t] + 0.5
+    trigrams = np.zeros((width, width, width), int)
+    for w in train:
+        path = classes(w)
+        for x in zip(path, path[1:], path[2:]):
+            trigrams[x] += 1
+    steps, out = brown.transitions(trigrams), []
+    for i, t in docs:
+        w = brown_words(t)
+        path = classes(w)
+        value = sum(steps[x] for x in zip(path, path[1:], path[2:]))
+        for x in w:
+            t = kind(x)
+            value += math.log10((mass[t] + 0.5) / in_class[m.of_type[t]])
+            if x not in type_of:
+                unknown = (once[t] + 0.5) / (mass[t] + 1) if mass[t] else 1
+                value += math.log10((1 - unknown) * c[x] / mass[t] if c[x] else unknown)
+        out.append((i, value))
+    return out
+
+
 def test_brown_scores(spark):
-    docs = [(i, t) for i, t in enumerate(texts(300))] + [(1000, None), (1001, ""), (1002, "KA KaÉ ka\u0085x"), (5, "repeated id")]
+    docs = [(i, t) for i, t in enumerate(texts(300))] + [(1000, None), (1001, ""), (1002, "KA KaÉ ka\u0085x"), (5, "repeated id"), (1003, "ka ka ka le le novel " * 30)]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("word", F.lit(1)).repartition(3)
-    got = brown.score(df, classes=4, core_share=0.02, sent_share=0.01, rounds=6).collect()
-    assert len(got) == len(docs)
-    words = lambda t: [w for w in re.split(r"[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] + [None]
-    c = Counter(w for i, t in docs if not held(i) for w in words(t))
+    c = Counter(w for i, t in docs if not held(i) for w in [*brown_words(t), None])
     total, distinct = sum(c.values()), len(c)
     want = Counter()
     for i, t in docs:
-        w = words(t)
+        w = [*brown_words(t), None]
         want[i, held(i), len(w), sum(c[x] > 0 for x in w), total, round(sum(math.log10((c[x] + 0.5) / (total + 0.5 * (distinct + 1))) for x in w), 6)] += 1
-    assert want == Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got)
-    out = [r for r in got if r["held_out"]]
-    assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out) and all(r["score"] < 0 for r in got)
-    parts = brown.score(df, classes=4, core_share=0.02, sent_share=0.5, rounds=6).collect()  # all words by the join
-    assert sorted(round(r["score"], 4) for r in parts) == sorted(round(r["score"], 4) for r in got)
+    all_scores = []
+    for most_sent in (brown.MOST_SENT, 5):  # all words of the core sent, and most of them joined
+        m, scores = brown.fit_and_score(df, 4, 3, 0.095, most_sent, brown.TOLERANCE)
+        assert m.whole == (most_sent > 5) and 0 < m.n_head < 11 < m.n_core
+        got = scores.collect()
+        assert want == Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got)
+        type_of = {bytes(w): t for w, _, t in m.top} | {bytes(r["word"]): r["type"] for r in m.lexicon.where("type IS NOT NULL").collect()}
+        assert set(type_of) == {w for w, n in c.items() if w and n >= 3} and sorted(type_of.values()) == list(range(m.n_core))
+        assert Counter((i, round(v, 3)) for i, v in brown_brute(docs, m, type_of)) == Counter((r["doc_id"], round(r["score"], 3)) for r in got)
+        out = [r for r in got if r["held_out"]]
+        assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out) and all(r["score"] < 0 for r in got)
+        all_scores.append(Counter((r["doc_id"], round(r["score"], 3)) for r in got))
+    assert all_scores[0] == all_scores[1]
 
 
 def test_brown_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
-    assert brown.score(empty, classes=2, rounds=1).count() == 0
+    assert brown.score(empty, classes=2).count() == 0
     i = next(i for i in range(100) if held(i))
-    r = brown.score(spark.createDataFrame([(i, "a b")], "doc_id long, text string"), classes=2, rounds=1).collect()[0]
+    r = brown.score(spark.createDataFrame([(i, "a b")], "doc_id long, text string"), classes=2).collect()[0]
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (3, 0, 0, 0.0) and math.isfinite(r["score"])
 
 
+def test_exchange_of_middle_words_against_plain_counts(spark):
+    rng = np.random.default_rng(2)
+    n, first, width = 40, 4, 4  # types 4 .. 33 are the middle, 39 the end
+    fixed = np.append(rng.integers(0, width - 1, n - 1), width - 1).astype(np.uint8)
+    seqs = [rng.choice(n - 1, rng.integers(0, 30), p=np.r_[np.full(20, 1.5), np.full(19, 0.5)] / 39.5).astype(np.int32) for _ in range(200)]
+    coded = spark.createDataFrame([(bytearray(x.tobytes()),) for x in seqs], "codes binary").repartition(3)
+    middle = brown.Middle(first, 30, 100)
+    middle.parts, middle.size = 4, 8
+    near, between = brown.count_neighbours(coded, fixed, middle, width)
+    flat = np.concatenate([[n - 1], *(np.append(x, n - 1) for x in seqs)])
+    values = lambda of: np.bincount(of[flat[:-1]].astype(int) * width + of[flat[1:]], minlength=width * width).reshape(width, width)
+    seen = []
+    inner = brown.Rounds.ended
+
+    def spy(self, matrix, now):
+        assert (matrix == values(now)).all()
+        seen.append(brown.likelihood(matrix))
+        return inner(self, matrix, now)
+
+    brown.Rounds.ended = spy
+    try:
+        best = brown.exchange_middle(near, between, fixed, middle, width, tolerance=1e-4)
+    finally:
+        brown.Rounds.ended = inner
+    assert brown.likelihood(values(best)) == max(seen) > seen[0] and len(seen) > 2
+    assert (best[:first] == fixed[:first]).all() and (best[34:] == fixed[34:]).all() and (best[first:34] < width - 1).all()
+
+
 def test_exchange_gain_is_the_likelihood_change():
     rng = np.random.default_rng(0)
     n, classes = 12, 3
