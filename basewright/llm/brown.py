@@ -39,7 +39,7 @@ MOST_CORE = 1 << 26
 TOLERANCE = 1e-3
 MOST_ROUNDS = 100
 #: Training tokens for each part of the neighbours of words below the head.
-PART_TOKENS = 4_000_000
+PART_TOKENS = 2_000_000
 #: No word holds white space, so this stands for the end of a text.
 END = b" "
 
@@ -265,19 +265,29 @@ class Middle:
         return self.first + np.arange(part, self.n, self.parts)
 
 
-_NEAR = pa.schema([("part", pa.int32()), ("slot", pa.binary()), ("slot_n", pa.binary()), ("at", pa.binary()), ("other", pa.binary()), ("other_n", pa.binary())])
-_NEAR_SQL = "part int, slot binary, slot_n binary, at binary, other binary, other_n binary"
+_NEAR = pa.schema([("part", pa.int32()), ("slot", pa.binary()), ("slot_n", pa.binary()), ("at_n", pa.binary()), ("other", pa.binary()), ("other_n", pa.binary())])
+_NEAR_SQL = "part int, slot binary, slot_n binary, at_n binary, other binary, other_n binary"
 
 
 def _near_row(part: int, slots: tuple, others: tuple) -> pa.RecordBatch:
+    """Slots and their counts; and neighbours by ``at``, their numbers and the neighbours with their counts, of 65,535
+    at most (greater ones are split)."""
     slot, slot_n = slots
     other, other_n = others
-    cells = [slot.astype("<u4"), slot_n.astype("<u4"), (other >> 32).astype("<u4"), (other & 0xFFFFFFFF).astype("<u4"), other_n.astype("<u4")]
+    if len(other_n) and other_n.max() > 65_535:
+        times = -(-other_n // 65_535)
+        last = np.cumsum(times) - 1
+        other, rest = np.repeat(other, times), other_n - (times - 1) * 65_535
+        other_n = np.full(len(other), 65_535)
+        other_n[last] = rest
+    cells = [slot.astype("<u4"), slot_n.astype("<u4"), np.bincount(other >> 32).astype("<u4"), (other & 0xFFFFFFFF).astype("<u4"), other_n.astype("<u2")]
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], schema=_NEAR)
 
 
-def _cells(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
-    return [np.frombuffer(batch.column(i)[k].as_buffer(), "<u4").astype(np.int64) for i in range(1, 6)]
+def _cells(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, ...]:
+    """slot, slot_n, at, other, other_n of a row."""
+    slot, slot_n, at_n, other, other_n = (np.frombuffer(batch.column(i)[k].as_buffer(), "<u2" if i == 5 else "<u4") for i in range(1, 6))
+    return slot, slot_n.astype(np.int64), np.repeat(np.arange(len(at_n), dtype=np.int32), at_n), other, other_n
 
 
 def count_neighbours(coded: DataFrame, fixed: np.ndarray, middle: Middle, width: int) -> tuple[DataFrame, np.ndarray]:
@@ -335,7 +345,7 @@ def count_neighbours(coded: DataFrame, fixed: np.ndarray, middle: Middle, width:
         def fold() -> None:
             slots[:], others[:] = ([_summed([x for x, _ in y], [x for _, x in y])] for y in (slots, others))
 
-        for batch in slices(batches, 16):
+        for batch in batches:
             for k, p in enumerate(batch.column(0).to_pylist()):
                 if p != part and part is not None:
                     fold()
@@ -343,12 +353,12 @@ def count_neighbours(coded: DataFrame, fixed: np.ndarray, middle: Middle, width:
                     slots, others, size = [], [], 0
                 part = p
                 slot, slot_n, at, other, other_n = _cells(batch, k)
-                slots.append((slot, slot_n))
-                others.append((at << 32 | other, other_n))
+                slots.append((slot.astype(np.int64), slot_n))
+                others.append((at.astype(np.int64) << 32 | other, other_n.astype(np.int64)))
                 size += len(slot) + len(at)
-                if size > 8_000_000:
+                if size > 3_000_000:
                     fold()
-                    size = len(slots[0][0]) // 2
+                    size = (len(slots[0][0]) + len(others[0][0])) // 2
         if part is not None:
             fold()
             yield _near_row(part, slots[0], others[0])
@@ -379,7 +389,9 @@ def exchange_middle(near: DataFrame, between: np.ndarray, start: np.ndarray, mid
             x = np.zeros(len(types) * per)
             x[slot] = slot_n
             alone = x.reshape(-1, per)[:, sides[0]].copy()
-            x += np.bincount((at >> 1) * per + (at & 1) * width + of[other], other_n, len(x))
+            for i in range(0, len(at), 500_000):
+                some = slice(i, i + 500_000)
+                x += np.bincount((at[some] >> 1) * per + (at[some] & 1) * width + of[other[some]], other_n[some], len(x))
             return types, x.reshape(-1, per), alone
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
