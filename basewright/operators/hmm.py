@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from basewright.operators import kernels
 from basewright.operators.jobs import CHAIN, plan_training
-from basewright.sources.genome import STEPS
+from basewright.sources.genome import STEPS, read_chain_steps, write_chain_steps
 
 CHAIN_TYPES = "obs_id string, K int, order int, replicate int"
 _CHAIN_FIELDS = [("obs_id", pa.string()), ("K", pa.int32()), ("order", pa.int32()), ("replicate", pa.int32())]
@@ -78,11 +78,12 @@ def positional_log_likelihood(obs: DataFrame, models: DataFrame) -> DataFrame:
     return _per_sequence(obs, models, "log_lh", "array<double>", pa.list_(pa.float64()), each)
 
 
-def expected_counts(obs: DataFrame, models: DataFrame) -> DataFrame:
+def expected_counts(obs: DataFrame, models: DataFrame, kernel: Callable = kernels.expected_counts) -> DataFrame:
     """(chain, kind, i, j, value): sums over sequences. kind "a": gamma_1 of state i; "A": moves from i to j; "B":
     symbol j in state i (j from 1); "log_p" and "n": log P and the number of sequences.
 
-    Each task gives one partial row per chain and entry; only these are shuffled.
+    Each task gives one partial row per chain and entry; only these are shuffled. kernel: the sums of a batch; those
+    of kernels.expected_counts need memory with the root of a sequence's length, those of expected_counts_whole with it.
     """
     sent = obs.sparkSession.sparkContext.broadcast(_sent(models))
     fields = [*_CHAIN_FIELDS, ("kind", pa.string()), ("i", pa.int32()), ("j", pa.int32()), ("value", pa.float64())]
@@ -92,7 +93,7 @@ def expected_counts(obs: DataFrame, models: DataFrame) -> DataFrame:
         for batch in batches:
             for key, _, sequences in _groups(batch):
                 for chain, model in sent.value.get(key, ()):
-                    held[chain] = kernels.expected_counts(model, sequences, held.get(chain))
+                    held[chain] = kernel(model, sequences, held.get(chain))
         for chain, c in held.items():
             b = np.argwhere(c.symbols)
             a = np.ndindex(c.moves.shape)
@@ -142,13 +143,15 @@ def _model_rows(spark: SparkSession, models: dict[tuple, kernels.Model]) -> Data
 def em_step(obs: DataFrame, models: DataFrame) -> DataFrame:
     """(chain, initial, transition, emission, log_p): the models after one step, and log P under the models before it."""
     live = {c: m for group in _sent(models).values() for c, m in group}
-    new = _assembled(expected_counts(obs, models), live)
+    new = _assembled(expected_counts(obs, _model_rows(obs.sparkSession, live)), live)
     rows = [(*c, m.a.tolist(), m.A.tolist(), m.B.tolist(), p) for c, (m, p) in new.items()]
     return obs.sparkSession.createDataFrame(rows, f"{CHAIN_TYPES}, initial array<double>, transition array<array<double>>, emission array<array<double>>, log_p double")
 
 
-def train(jobs: DataFrame, obs: DataFrame, steps: DataFrame, initial: DataFrame, delta_thresh: float = 1e-3, max_iterates: int = 5000, sink: Callable[[DataFrame], None] | None = None) -> DataFrame:
-    """All steps made, as a chain-step table; ``sink`` is given each iteration's steps as they come.
+def train(jobs: DataFrame, obs: DataFrame, steps: DataFrame, initial: DataFrame, delta_thresh: float = 1e-3, max_iterates: int = 5000, sink: Callable[[DataFrame], None] | None = None, em_counts: Callable[[DataFrame, DataFrame], DataFrame] = expected_counts, path: str | None = None) -> DataFrame:
+    """All steps made, as a chain-step table; ``sink`` is given each iteration's steps as they come. With a ``path``
+    each iteration is appended to the table there, which is returned as it is read back, and the driver keeps none.
+    em_counts: what gives an iteration's expected counts of (obs, models).
 
     Each chain goes on until the change of log P is below the threshold or it has max_iterates steps. Its first step
     is the initial model with its log P and delta 0; a later step has the log P of the model before it. The first
@@ -170,7 +173,7 @@ def train(jobs: DataFrame, obs: DataFrame, steps: DataFrame, initial: DataFrame,
     obs = obs.persist()
     out, made = [], set()
     while models:
-        new = _assembled(expected_counts(obs, _model_rows(spark, models)), models)
+        new = _assembled(em_counts(obs, _model_rows(spark, models)), models)
         if missing := models.keys() - new.keys():
             raise ValueError(f"no observations for {sorted(missing)[0]}")
         rows = []
@@ -194,9 +197,12 @@ def train(jobs: DataFrame, obs: DataFrame, steps: DataFrame, initial: DataFrame,
         step = spark.createDataFrame(rows, STEPS)
         if sink is not None:
             sink(step)
-        out += rows
+        if path is not None:
+            write_chain_steps(step, path)
+        else:
+            out += rows
     obs.unpersist()
-    return spark.createDataFrame(out, STEPS)
+    return spark.createDataFrame(out, STEPS) if path is None else read_chain_steps(spark, path)
 
 
 def weighted_categorical_mle(values: DataFrame, size: int) -> DataFrame:
@@ -210,7 +216,8 @@ def weighted_categorical_mle(values: DataFrame, size: int) -> DataFrame:
 def background_likelihood(fragments: DataFrame, models: DataFrame, order: int = 0) -> DataFrame:
     """(pos_id, position, log_lh): fragments scored under their partition's model, at sequence positions.
 
-    fragments: of ``fragment_by_partition``. models: one per partition name in obs_id, all of ``order``. The k-mer is
+    fragments: of ``fragment_by_partition``. models: one per partition name in obs_id, all of ``order``; none or several
+    for a partition that occurs are an error. The k-mer is
     scored at its first base in the fragment's orientation; its last ``order`` bases have no row. A single last base
     of a sequence is scored as any other.
     """
@@ -225,10 +232,12 @@ def background_likelihood(fragments: DataFrame, models: DataFrame, order: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, at, sequences in _groups(pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(range(batch.num_rows)), batch.column(2)], ["o", "n", "s", "c"])):
-                for _, model in sent.value.get(key, ())[:1]:
-                    values = kernels.positional(model, sequences)
-                    picked = [batch.column(i).take(pa.array(at)) for i in range(3, 7)]
-                    yield pa.RecordBatch.from_arrays([*picked, pa.array([v.tolist() for v in values], pa.list_(pa.float64()))], ["pos_id", "frag_start", "frag_end", "strand", "log_lh"])
+                found = sent.value.get(key, ())
+                if len(found) != 1:
+                    raise ValueError(f"{len(found)} models for {key[0]} of order {key[1]}, one is needed")
+                values = kernels.positional(found[0][1], sequences)
+                picked = [batch.column(i).take(pa.array(at)) for i in range(3, 7)]
+                yield pa.RecordBatch.from_arrays([*picked, pa.array([v.tolist() for v in values], pa.list_(pa.float64()))], ["pos_id", "frag_start", "frag_end", "strand", "log_lh"])
 
     scored = coded.select("obs_id", "order", "codes", "pos_id", "frag_start", "frag_end", "strand").mapInArrow(run, "pos_id long, frag_start long, frag_end long, strand int, log_lh array<double>")
     each = scored.select("pos_id", "frag_start", "frag_end", "strand", F.posexplode("log_lh").alias("i", "log_lh"))

@@ -132,9 +132,11 @@ def add_metacoordinates(features: DataFrame, key: str = "partition", bin_size: i
     """``features`` with meta_start and meta_end, their places in the gapless row of a key's features by (seqid, start,
     end)."""
     rows = features.withColumn("_length", F.col("end") - F.col("start") + 1).withColumn("_bin", F.floor(F.col("start") / bin_size))
-    bins = rows.groupBy(key, "seqid", "_bin").agg(F.sum("_length").alias("_bases"))
+    rows = rows.repartition(key, "seqid", "_bin")
+    # bins read all that rows have, so that one shuffle serves both
+    bins = rows.groupBy(key, "seqid", "_bin").agg(F.sum("_length").alias("_bases"), F.max(F.struct(*features.columns)).alias("_most"))
     before = Window.partitionBy(key).orderBy("seqid", "_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select(key, "seqid", "_bin", F.coalesce(F.sum("_bases").over(before), F.lit(0)).alias("_before"))
+    bins = bins.select(key, "seqid", "_bin", F.when(F.col("_most").isNotNull(), F.coalesce(F.sum("_bases").over(before), F.lit(0))).alias("_before"))
     within = Window.partitionBy(key, "seqid", "_bin").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.join(bins, [key, "seqid", "_bin"]).withColumn("meta_end", F.col("_before") + F.sum("_length").over(within))
     return rows.withColumn("meta_start", F.col("meta_end") - F.col("_length") + 1).select(*features.columns, "meta_start", "meta_end")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHAIN = ["obs_id", "K", "order", "replicate"]
@@ -91,7 +91,3 @@ def plan_training(jobs: DataFrame, steps: DataFrame, delta_thresh: float = 1e-3)
     rows = jobs.select(*CHAIN).join(last, CHAIN, "left")
     action = F.when(F.col("last").isNull(), "new").when(~F.col("last.converged") | (F.col("last.delta") > delta_thresh), "resume").otherwise("skip")
     return rows.select(*CHAIN, action.alias("action"), "last.iterate", "last.log_p", "last.initial", "last.transition", "last.emission")
-
-
-def models_from(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, MODELS)

@@ -113,7 +113,64 @@ class Counts:
 
 
 def expected_counts(m: Model, sequences: list[np.ndarray], into: Counts | None = None) -> Counts:
-    """Sums over sequences of gamma_1, xi and state-by-symbol counts, of log P, and their number."""
+    """Sums over sequences of gamma_1, xi and state-by-symbol counts, of log P, and their number.
+
+    Forward messages are kept at the ends of stretches of about the root of the length only, and are made again for
+    one stretch at a time on the way back.
+    """
+    states, size = m.B.shape
+    c = into or Counts(np.zeros(states), np.zeros((states, states)), np.zeros((states, size)))
+    emit = m.B.T
+
+    def onward(before: np.ndarray | None, lengths: np.ndarray, codes: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        alpha, scale = np.zeros((last - first, codes.shape[1], states)), np.zeros((last - first, codes.shape[1]))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for t in range(first, last):
+                live = int((lengths > t).sum())
+                now = (m.a if t == 0 else before[:live] @ m.A) * emit[codes[t, :live]]
+                total = now.sum(1, keepdims=True)
+                alpha[t - first, :live] = np.where(total > 0, now / total, 0)
+                scale[t - first, :live] = np.log(total[:, 0])
+                before = alpha[t - first]
+        return alpha, scale
+
+    for some, lengths, codes in batches([s for s in sequences if len(s)], states):
+        steps, n = codes.shape
+        stretch = max(64, int(np.ceil(np.sqrt(steps))))
+        ends: list[np.ndarray | None] = [None]
+        for first in range(0, steps, stretch):
+            alpha, scale = onward(ends[-1], lengths, codes, first, min(first + stretch, steps))
+            ends.append(alpha[-1].copy())
+            c.log_p += float(scale.sum())
+        beta = np.zeros((n, states))
+        for i in range(len(ends) - 2, -1, -1):
+            first, last = i * stretch, min((i + 1) * stretch, steps)
+            alpha, _ = onward(ends[i], lengths, codes, first, last)
+            gamma = np.zeros_like(alpha)
+            for t in range(last - 1, first - 1, -1):
+                live = int((lengths > t + 1).sum())
+                at = alpha[t - first]
+                if live:
+                    right = emit[codes[t + 1, :live]] * beta[:live]
+                    norm = ((at[:live] @ m.A) * right).sum(1)
+                    c.moves += (at[:live] / np.where(norm > 0, norm, 1)[:, None]).T @ right * m.A
+                    now = right @ m.A.T
+                    total = now.sum(1, keepdims=True)
+                    beta[:live] = np.where(total > 0, now / np.where(total > 0, total, 1), 0)
+                beta[live : int((lengths > t).sum())] = 1 / states
+                g = at * beta
+                gamma[t - first] = g / np.where((total := g.sum(1, keepdims=True)) > 0, total, 1)
+            if i == 0:
+                c.first += gamma[0].sum(0)
+            flat = codes[first:last].ravel()
+            for k in range(states):
+                c.symbols[k] += np.bincount(flat, gamma[:, :, k].ravel(), size)
+        c.n += n
+    return c
+
+
+def expected_counts_whole(m: Model, sequences: list[np.ndarray], into: Counts | None = None) -> Counts:
+    """As expected_counts, with all messages of a batch in memory."""
     states, size = m.B.shape
     c = into or Counts(np.zeros(states), np.zeros((states, states)), np.zeros((states, size)))
     emit = m.B.T
@@ -142,16 +199,6 @@ def positional(m: Model, sequences: list[np.ndarray]) -> list[np.ndarray]:
         return [np.log((g * m.B[:, np.asarray(s, int) - 1].T).sum(1)) if len(s) else np.empty(0) for g, s in zip(posteriors(m, sequences), sequences, strict=True)]
 
 
-def greedy_match(distances: np.ndarray) -> list[tuple[int, int]]:
-    """(row, column) pairs from the least distance on, each row and column once; ties by row, then column."""
-    d, out = distances.astype(float).copy(), []
-    for _ in range(min(d.shape)):
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        out.append((int(i), int(j)))
-        d[i, :] = d[:, j] = np.inf
-    return out
-
-
 def cramer_von_mises_p(x: float) -> float:
     """P(W > x) of the limiting Cramer-von Mises statistic (Anderson and Darling's series, with K_1/4 by quadrature)."""
     if x <= 0:

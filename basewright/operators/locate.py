@@ -57,15 +57,18 @@ def orientation(strand: Column, seed: int | None, *key: Column) -> Column:
 
 
 def fetch_sequence(regions: DataFrame, tiles: DataFrame, seed: int | None = None, tile: int = TILE) -> DataFrame:
-    """``regions(seqid, start, end, strand, ...)`` with sequence and orientation; regions off the tiles are dropped."""
+    """``regions(seqid, start, end, strand, ...)`` with sequence and orientation; a region that does not lie within its
+    scaffold is an error."""
     rows = regions.where("start <= end").select(F.monotonically_increasing_id().alias("_region"), F.struct(*regions.columns).alias("_row"), "seqid", "start", "end")
     spots = rows.withColumn("tile", F.explode(F.sequence(F.floor((F.col("start") - 1) / tile), F.floor((F.col("end") - 1) / tile))))
-    joined = spots.join(tiles, ["seqid", "tile"])
+    joined = spots.join(tiles, ["seqid", "tile"], "left")
     first = F.greatest(F.col("start"), F.col("tile_start"))
     piece = F.substring("seq", (first - F.col("tile_start") + 1).cast("int"), (F.col("end") - first + 1).cast("int"))
     pieces = joined.groupBy("_region").agg(F.first("_row").alias("_row"), F.collect_list(F.struct("tile", piece.alias("piece"))).alias("_pieces"))  # of one region
     whole = F.array_join(F.transform(F.array_sort("_pieces"), lambda p: p["piece"]), "")
-    out = pieces.select("_row.*", whole.alias("sequence"))
+    size = F.col("_row.end") - F.col("_row.start") + 1
+    off = F.raise_error(F.concat(F.lit("region off its scaffold: "), F.coalesce("_row.seqid", F.lit("null")), F.lit(":"), F.col("_row.start"), F.lit("-"), F.col("_row.end")))
+    out = pieces.select("_row.*", F.when(F.length(whole) == size, whole).otherwise(off).alias("sequence"))
     out = out.withColumn("orientation", orientation(F.col("strand"), seed, F.col("seqid"), F.col("start"), F.col("end")))
     return out.withColumn("sequence", F.when(F.col("orientation") == "-", reverse_complement(F.col("sequence"))).otherwise(F.col("sequence")))
 
@@ -102,10 +105,11 @@ def partition_mask(positions: DataFrame, partitions: DataFrame, strict: bool = T
     pieces = s.select("pos_id", "start", "end", code.alias("partition_code"), strand.alias("strand")).where("partition_code IS NOT NULL")
     runs = coalesce_runs(pieces, ["pos_id", "partition_code", "strand"]).select("pos_id", F.col("start").alias("run_start"), F.col("end").alias("run_end"), "partition_code", "strand")
     if strict:
-        have = runs.groupBy("pos_id").agg(F.sum(F.col("run_end") - F.col("run_start") + 1).alias("_have"))
-        need = positions.select("pos_id", (F.col("end") - F.col("pad_start") + 1).alias("_need")).join(have, "pos_id", "left")
-        bad = need.where("coalesce(_have, 0) != _need").select(F.raise_error(F.concat(F.lit("bases in no partition at "), F.col("pos_id").cast("string"))).cast("int").alias("_bad"))
-        runs = runs.join(bad, F.lit(False), "left_anti") if bad.head(1) else runs
+        have = F.sum(F.col("run_end") - F.col("run_start") + 1).over(Window.partitionBy("pos_id"))
+        need = positions.groupBy("pos_id").agg(F.max(F.col("end") - F.col("pad_start") + 1).alias("_need"))
+        bad = F.raise_error(F.concat(F.lit("bases in no partition at "), F.col("pos_id").cast("string")))
+        whole = runs.withColumn("_have", have).join(need, "pos_id", "right")
+        runs = whole.withColumn("run_start", F.when(F.coalesce("_have", F.lit(0)) == F.col("_need"), F.col("run_start")).otherwise(bad.cast("long"))).select(*runs.columns)
     return runs
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from basewright.functions.numbers import mean_run_length
 from basewright.operators.hmm import set_log_likelihood
 from basewright.operators.jobs import CHAIN
-from basewright.operators.kernels import greedy_match, heidelberger_welch
+from basewright.operators.kernels import heidelberger_welch
 
 REPSET = ["obs_id", "K", "order"]
 
@@ -197,16 +197,6 @@ def matched_state_coords(steps: DataFrame) -> DataFrame:
     return steps.join(picked, CHAIN).select(*CHAIN, "iterate", first(1).alias("x"), first(2).alias("y"), first(3).alias("z"))
 
 
-def greedy_pairs(distances: DataFrame) -> DataFrame:
-    """(chain, rank, state, other) by globally least distance, for pairs of two replicates (``state_distances``)."""
-
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        d = rows.pivot(index="state", columns="other", values="distance").to_numpy()
-        return pd.DataFrame([[*key, n, i + 1, j + 1] for n, (i, j) in enumerate(greedy_match(d), 1)], columns=[*CHAIN, "rank", "state", "other"])
-
-    return distances.groupBy(*CHAIN).applyInPandas(one, "obs_id string, K int, order int, replicate int, rank int, state int, other int")
-
-
 def generate_reports(steps: DataFrame, test_coded: DataFrame, test_obs: DataFrame) -> dict[str, DataFrame]:
     """Reports by name: chains, orders, partitions, and replicates (every step, matched states and symbols) of each
     partition's best chain, keyed by obs_id.

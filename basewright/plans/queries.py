@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from basewright.functions import numbers, sequences
 from basewright.operators import coding, hmm, intervals, jobs, locate, reports, sampling
 from basewright.plans import views
+from basewright.sources import genome
 from basewright.plans.views import VIEW_SQL, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -256,6 +258,36 @@ def split_obs_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.split_obs_sets(rows, key=(F.col("seqid") * 31) % 1009).select("partition", F.col("seqid").alias("seq_id"), "split")
 
 
+# Files: written from the tables to the shared folder, and read
+
+
+@query("SELECT CAST(seq_id AS VARCHAR) AS id, 'set ' || obs_id AS description, length(seq) AS n, md5(seq) AS digest FROM v_seqs", "seqs")
+def read_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences as FASTA records of 80 bases a line, lower-cased."""
+    path = views.shared_path(spark)
+    lines = F.regexp_replace(F.lower("seq"), "(.{80})", "$1\n")
+    views.seqs(spark, sf_dir).select(F.concat(F.lit(">"), F.col("seq_id"), F.lit(" set "), F.col("obs_id"), F.lit("\n"), lines).alias("value")).write.text(path)
+    return genome.read_fasta(spark, path).select("id", "description", F.length("sequence").cast("long").alias("n"), F.md5("sequence").alias("digest"))
+
+
+@query('SELECT seqid, type, strand, count(*) AS n, sum("start")::BIGINT AS starts, sum("end")::BIGINT AS ends FROM v_features GROUP BY ALL', "features")
+def read_gff3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = views.shared_path(spark)
+    dot = F.lit(".")
+    rows = views.features(spark, sf_dir).select("seqid", F.lit("made").alias("source"), "type", "start", "end", dot.alias("score"), "strand", dot.alias("phase"), F.lit("ID=x").alias("attributes"))
+    rows.write.csv(path, sep="\t")
+    return genome.read_gff3(spark, path).groupBy("seqid", "type", "strand").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
+
+
+@query("SELECT CAST(seq_id AS VARCHAR) AS seqid, seq_id * 3 + 1 AS pos_start, seq_id * 3 + length(seq) AS pos_end, md5(seq) AS digest FROM v_seqs", "seqs")
+def read_position_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = views.shared_path(spark)
+    start = F.col("seq_id") * 3 + 1
+    head = F.concat(F.lit(">"), F.col("seq_id"), F.lit(" start "), start, F.lit(" end "), start + F.length("seq") - 1)
+    views.seqs(spark, sf_dir).select(F.concat(head, F.lit("\n"), "seq").alias("value")).write.text(path)
+    return genome.read_position_fasta(spark, path).select("seqid", "pos_start", "pos_end", F.md5("sequence").alias("digest"))
+
+
 # Sequences and codes
 
 
@@ -380,14 +412,75 @@ def em_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.em_step(_coded(spark, sf_dir), _models(spark, sf_dir, 2))
 
 
+_FORWARD = """fw AS (
+      SELECT obs_id, seq_id, substring(seq, 1, 60) AS s, 1 AS t, 0.6e0 * (0.5e0 - 0.1e0 * instr('ACGT', seq[1])) AS f1, 0.4e0 * (0.1e0 * instr('ACGT', seq[1])) AS f2, 0.0::DOUBLE AS lp FROM v_seqs
+      UNION ALL SELECT obs_id, seq_id, s, t + 1, (f1 * 0.9e0 + f2 * 0.2e0) / (f1 + f2) * (0.5e0 - 0.1e0 * instr('ACGT', s[t + 1])), (f1 * 0.1e0 + f2 * 0.8e0) / (f1 + f2) * (0.1e0 * instr('ACGT', s[t + 1])), lp + ln(f1 + f2) FROM fw WHERE t < length(s))"""
+_BACKWARD = """bw AS (
+      SELECT obs_id, seq_id, substring(seq, 1, 60) AS s, least(60, length(seq)) AS t, 0.5e0 AS b1, 0.5e0 AS b2, 0.5e0 - 0.1e0 * instr('ACGT', seq[least(60, length(seq))]) AS e1, 0.1e0 * instr('ACGT', seq[least(60, length(seq))]) AS e2 FROM v_seqs
+      UNION ALL SELECT obs_id, seq_id, s, t - 1, (0.9e0 * e1 * b1 + 0.1e0 * e2 * b2) / (1.1e0 * e1 * b1 + 0.9e0 * e2 * b2), (0.2e0 * e1 * b1 + 0.8e0 * e2 * b2) / (1.1e0 * e1 * b1 + 0.9e0 * e2 * b2), 0.5e0 - 0.1e0 * instr('ACGT', s[t - 1]), 0.1e0 * instr('ACGT', s[t - 1]) FROM bw WHERE t > 1)"""
+_GAMMA = "ga AS (SELECT obs_id, seq_id, t, length(s) AS len, fw.s[t] AS x, f1, f2, lp, b1, b2, e1, e2, f1 * b1 / (f1 * b1 + f2 * b2) AS g1 FROM fw JOIN (SELECT seq_id, t, b1, b2, e1, e2 FROM bw) bw USING (seq_id, t))"
+_COUNTS2 = """xi AS (SELECT f.obs_id, f.f1 * 0.9e0 * b.e1 * b.b1 AS x00, f.f1 * 0.1e0 * b.e2 * b.b2 AS x01, f.f2 * 0.2e0 * b.e1 * b.b1 AS x10, f.f2 * 0.8e0 * b.e2 * b.b2 AS x11 FROM ga f JOIN ga b ON f.seq_id = b.seq_id AND b.t = f.t + 1),
+    ec AS (
+      SELECT obs_id, 'a' AS kind, 0::BIGINT AS i, 0::BIGINT AS j, sum(g1) AS value FROM ga WHERE t = 1 GROUP BY ALL UNION ALL SELECT obs_id, 'a', 1, 0, sum(1 - g1) FROM ga WHERE t = 1 GROUP BY ALL
+      UNION ALL SELECT obs_id, 'A', 0, 0, sum(x00 / (x00 + x01 + x10 + x11)) FROM xi GROUP BY ALL UNION ALL SELECT obs_id, 'A', 0, 1, sum(x01 / (x00 + x01 + x10 + x11)) FROM xi GROUP BY ALL
+      UNION ALL SELECT obs_id, 'A', 1, 0, sum(x10 / (x00 + x01 + x10 + x11)) FROM xi GROUP BY ALL UNION ALL SELECT obs_id, 'A', 1, 1, sum(x11 / (x00 + x01 + x10 + x11)) FROM xi GROUP BY ALL
+      UNION ALL SELECT obs_id, 'B', 0, instr('ACGT', x), sum(g1) FROM ga GROUP BY ALL UNION ALL SELECT obs_id, 'B', 1, instr('ACGT', x), sum(1 - g1) FROM ga GROUP BY ALL
+      UNION ALL SELECT obs_id, 'n', 0, 0, count(*) FROM ga WHERE t = 1 GROUP BY ALL UNION ALL SELECT obs_id, 'log_p', 0, 0, sum(lp + ln(f1 + f2)) FROM ga WHERE t = len GROUP BY ALL)"""
+
+
+@query("SELECT obs_id, seq_id, t::BIGINT AS position, round(g1, 6) AS state_1 FROM ga", "seqs", _FORWARD, _BACKWARD, _GAMMA)
+def state_posteriors_60(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the first 60 bases, for the SQL beside it; whole sequences: ``state_posteriors``."""
+    out = hmm.state_posteriors(_coded(spark, sf_dir, 60), _models(spark, sf_dir, 2))
+    each = out.select("obs_id", "seq_id", F.posexplode("gamma").alias("t", "g"))
+    return each.select("obs_id", "seq_id", (F.col("t") + 1).cast("long").alias("position"), F.round(F.col("g")[0], 6).alias("state_1"))
+
+
+@query("SELECT obs_id, seq_id, round(sum(ln(g1 * (0.5e0 - 0.1e0 * instr('ACGT', x)) + (1 - g1) * 0.1e0 * instr('ACGT', x))), 5) AS total FROM ga GROUP BY ALL", "seqs", _FORWARD, _BACKWARD, _GAMMA)
+def positional_log_likelihood_60(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With two states, of the first 60 bases."""
+    out = hmm.positional_log_likelihood(_coded(spark, sf_dir, 60), _models(spark, sf_dir, 2))
+    return out.select("obs_id", "seq_id", F.round(F.aggregate("log_lh", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+
+
+@query("SELECT obs_id, kind, i, j, round(value, 4) AS value FROM ec", "seqs", _FORWARD, _BACKWARD, _GAMMA, _COUNTS2)
+def expected_counts_60(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With two states, of the first 60 bases."""
+    out = hmm.expected_counts(_coded(spark, sf_dir, 60), _models(spark, sf_dir, 2))
+    return _wide(out.select("obs_id", "kind", "i", "j", F.round("value", 4).alias("value")))
+
+
+@query(
+    "SELECT obs_id, kind, i, j, round(value / sum(value) OVER (PARTITION BY obs_id, kind, CASE WHEN kind = 'a' THEN -1 ELSE i END), 7) AS value FROM ec WHERE kind IN ('a', 'A', 'B')",
+    "seqs", _FORWARD, _BACKWARD, _GAMMA, _COUNTS2,
+)
+def em_step_60(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two-state model after one step on the first 60 bases, entry by entry."""
+    m = hmm.em_step(_coded(spark, sf_dir, 60), _models(spark, sf_dir, 2))
+    a = m.select("obs_id", F.lit("a").alias("kind"), F.posexplode("initial").alias("i", "value")).withColumn("j", F.lit(0))
+    both = [m.select("obs_id", F.lit(k).alias("kind"), F.posexplode(c).alias("i", "row")).select("obs_id", "kind", "i", F.posexplode("row").alias("j", "value")).withColumn("j", F.col("j") + base) for k, c, base in (("A", "transition", 0), ("B", "emission", 1))]
+    return _wide(a.unionByName(both[0]).unionByName(both[1]).select("obs_id", "kind", "i", "j", F.round("value", 7).alias("value")))
+
+
+def _split_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(obs_id, seq_id, seq, split) of the sampled windows, written once for training and tests."""
+    path = views.shared_path(spark)
+    rows = sampling.split_obs_sets(_samples(spark, sf_dir)).select(F.col("partition").alias("obs_id"), F.xxhash64("seqid", "start").alias("seq_id"), F.col("sequence").alias("seq"), "split")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 @query()
 def train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled windows to trained chains: a grid over states and orders, each chain until it converges."""
-    samples = sampling.split_obs_sets(_samples(spark, sf_dir)).where("split = 'train'")
-    obs = samples.select(F.col("partition").alias("obs_id"), F.xxhash64("seqid", "start").alias("seq_id"), F.col("sequence").alias("seq"))
+    return _trained(spark, _split_samples(spark, sf_dir))
+
+
+def _trained(spark: SparkSession, samples: DataFrame) -> DataFrame:
+    obs = samples.where("split = 'train'").drop("split")
     grid = jobs.job_grid(obs, (1, 2), (0, 1), 1)
     none = spark.createDataFrame([], hmm.STEPS)
-    return hmm.train(grid, coding.code_job_obs(grid, obs), none, jobs.init_models(grid))
+    return hmm.train(grid, coding.code_job_obs(grid, obs), none, jobs.init_models(grid), path=views.shared_path(spark))
 
 
 @query(
@@ -544,12 +637,22 @@ def partition_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def chain_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trained chains over test windows."""
-    steps = train(spark, sf_dir)
-    test = sampling.split_obs_sets(_samples(spark, sf_dir)).where("split = 'test'")
-    obs = test.select(F.col("partition").alias("obs_id"), F.xxhash64("seqid", "start").alias("seq_id"), F.col("sequence").alias("seq"))
+    samples = _split_samples(spark, sf_dir)
+    steps, obs = _trained(spark, samples), samples.where("split = 'test'").drop("split")
     return reports.chain_report(steps, coding.code_job_obs(steps, obs), obs)
 
 
+@query()
+def generate_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each report; the made steps have four symbols, which are those of order 0."""
+    steps = _steps(spark, sf_dir).where("order = 0")
+    letter = F.element_at(F.array(*map(F.lit, "ANR")), (F.pmod("seq_id", F.lit(3)) + 1).cast("int"))
+    obs = views.seqs(spark, sf_dir).withColumn("obs_id", letter)
+    made = reports.generate_reports(steps, coding.code_job_obs(steps.select(*jobs.CHAIN).distinct(), obs), obs)
+    each = [df.agg(F.lit(name).alias("report"), F.count("*").alias("n")) for name, df in made.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
 @query(
     """SELECT b.obs_id, b.K, b."order", b.replicate, s AS state, o AS other, round(sqrt(list_sum(list_transform(list_zip(a.B[s], b.B[o]), lambda x: (x[1] - x[2]) ** 2))), 6) AS distance
     FROM (SELECT * FROM last QUALIFY replicate = min(replicate) OVER (PARTITION BY obs_id, K, "order")) a JOIN last b ON a.obs_id = b.obs_id AND a.K = b.K AND a."order" = b."order" AND a.replicate <> b.replicate, range(1, 5) t(s), range(1, 5) u(o) WHERE s <= a.K AND o <= a.K""",
@@ -594,6 +697,23 @@ def job_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _wide(jobs.job_grid(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("obs_id")), (1, 2, 4), (0, 1, 2), 4))
 
 
+@query(
+    """SELECT l_returnflag AS obs_id, K, o AS "order", r AS replicate, K AS states, (4 ** (o + 1))::BIGINT AS symbols, true AS valid FROM (SELECT DISTINCT l_returnflag FROM lineitem), (VALUES (1::BIGINT), (2), (4)) t(K), (VALUES (0::BIGINT), (1), (2)) u(o), range(1, 5) v(r)"""
+)
+def init_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and validity of the drawn models of a job grid."""
+    models = jobs.validate_models(jobs.init_models(jobs.job_grid(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("obs_id")), (1, 2, 4), (0, 1, 2), 4)))
+    return _wide(models.select(*jobs.CHAIN, F.size("transition").alias("states"), F.size(F.col("emission")[0]).alias("symbols"), (F.size("violations") == 0).alias("valid")))
+
+
+@query(f"SELECT {_CHAIN}, iterate, log_p, delta, converged, K AS states FROM v_steps", _STEPS)
+def chain_step_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps written and read back."""
+    path = views.shared_path(spark)
+    genome.write_chain_steps(_steps(spark, sf_dir), path)
+    return _wide(genome.read_chain_steps(spark, path).select(*jobs.CHAIN, "iterate", "log_p", "delta", "converged", F.size("emission").alias("states")))
+
+
 @query(
     """SELECT l_returnflag AS obs_id, o AS "order" FROM (SELECT DISTINCT l_returnflag FROM lineitem), (VALUES (0::BIGINT), (1), (2)) u(o)"""
 )

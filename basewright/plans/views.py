@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path below ``spark.checkpoint.dir``; a temporary one only where Spark runs on this machine alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="checkpoint-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def seqs(spark: SparkSession, sf_dir: str, to: str = BASES) -> DataFrame:
     """(obs_id, seq_id, seq): documents' letters as bases."""
     letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")

@@ -35,9 +35,9 @@ def read_position_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def tile_scaffolds(scaffolds: DataFrame, tile: int = TILE) -> DataFrame:
     """(seqid, tile, tile_start, seq): ``scaffolds(id, sequence)`` in pieces, so that no chromosome stays one row."""
-    n = F.ceil(F.length("sequence") / tile).cast("long")
-    rows = scaffolds.where(F.length("sequence") > 0).select(F.col("id").alias("seqid"), "sequence", F.explode(F.sequence(F.lit(0), n - 1)).alias("tile"))
-    return rows.select("seqid", "tile", (F.col("tile") * tile + 1).alias("tile_start"), F.substring("sequence", F.col("tile") * tile + 1, F.lit(tile)).alias("seq"))
+    pieces = F.regexp_extract_all("sequence", F.lit(f"(?s).{{1,{tile}}}"), F.lit(0))  # one pass; a substring counts from the start each time
+    rows = scaffolds.select(F.col("id").alias("seqid"), F.posexplode(pieces).alias("tile", "seq")).withColumn("tile", F.col("tile").cast("long"))
+    return rows.select("seqid", "tile", (F.col("tile") * tile + 1).alias("tile_start"), "seq")
 
 
 def write_chain_steps(steps: DataFrame, path: str) -> None:

@@ -92,6 +92,9 @@ def test_fetch_sequence(spark, genome):
     bad = spark.createDataFrame([("1", 1, 5, "?")], regions.schema)
     with pytest.raises(Exception, match="no strand"):
         locate.fetch_sequence(bad, genome["tiles"], tile=64).collect()
+    for off in (("1", 990, 1001, "+"), ("1", 2000, 2001, "+"), ("1", 0, 3, "+"), ("none", 1, 2, "+")):
+        with pytest.raises(Exception, match="off its scaffold"):
+            locate.fetch_sequence(spark.createDataFrame([off], regions.schema), genome["tiles"], tile=64).collect()
 
 
 @pytest.mark.parametrize(("pad", "want"), [(141, (360, 141, 0)), (350, (151, 350, 0)), (600, (1, 500, 100))])
