@@ -239,7 +239,7 @@ def test_binomial_tail(spark):
 def test_rules_are_certified_only_with_enough_labels(spark):
     clean = lambda i: " ".join(f"w{i}x{j}" for j in range(20))
     docs = [(i, clean(i), "big") for i in range(1500)] + [(5000 + i, clean(i) + " # # # #", "big") for i in range(5)] + [(6000, clean(1) + " # # # #", "small"), (7000, None, None), (7001, "too short", "big")]
-    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumn("n_words", F.lit("clash")).drop("n_words")
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumn("n_words", F.lit("clash"))
     labels = spark.createDataFrame([(i, 1) for i in range(1500)] + [(6000, 1), (5000, 0), (None, 1)], "doc_id long, quality int")
     got = {r["doc_id"]: r for r in risk_rules.judge(df, labels).collect()}
     assert len(got) == len(docs) and all(got[i]["kept"] for i in range(1500))
