@@ -10,13 +10,18 @@ at this depth with the target recall; else it goes on to the shortest prefix, at
 meets with 1 - (1 - t^depth)^trees, the target. Pairs are verified exactly by their shingle sets.
 
 Exact copies are one class from the start. A region whose texts all share a whole label in an earlier tree has no
-pairs of its own and is left out. A region heavier than a block is split into blocks by hash, and every pair of
-blocks is a unit of work of its own; within a unit, pairs are counted by matrix products and leave it as one row per
-text (its links and a local root), never as pairs.
+pairs of its own and is left out. Within a unit of work, pairs are counted by matrix products and leave it as one row
+per text (its links and a local root), never as pairs.
+
+A region heavier than a block is split into blocks by hash, and pairs of blocks are units. Before, its large groups
+are verified at once: 1 - Jaccard is a metric, so texts within (1 - t) / 2 of one set, the shingles that most of a
+sample of the region have, all reach t with each other. They are a core: each has the others as links, exactly, and
+only pairs with a text outside the core make units. Which set it is decides the work, never the result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +38,10 @@ RECALL = 0.998
 BLOCK_BYTES = 2 << 20
 #: What a text counts at least, so that a block has at most some 1,000 texts.
 LEAST_WEIGHT = 2048
+#: Texts, and bytes of text, that the set at the middle of a heavy region is taken from (about).
+SAMPLE_TEXTS, SAMPLE_BYTES = 64, 8 << 20
+#: Parts of a core's rows where they are joined to its size.
+SALTS = 256
 
 
 def meeting(similarity: float, depth: int, trees: int = TREES) -> float:
@@ -146,7 +155,7 @@ def _roots(linked: np.ndarray, crossed: bool) -> tuple[np.ndarray, np.ndarray]:
 def verify(units: DataFrame, trees: int, threshold: float, shortest: int, recall: float = RECALL) -> DataFrame:
     """(key, links, root) of the texts with a link, for each unit of ``units`` (sorted by its first four columns).
 
-    units: tree, prefix, low, high, block, key, labels, text.
+    units: tree, prefix, low, high, block, key, labels, core, text. Pairs within one core are left out.
     """
     fields = pa.schema([("key", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
 
@@ -158,6 +167,10 @@ def verify(units: DataFrame, trees: int, threshold: float, shortest: int, recall
         level = meeting_levels(labels[:cut] if crossed else labels, labels[cut:], tree)
         if not crossed:
             np.fill_diagonal(level, 0)
+        names = {}
+        core = np.array([-1 if r[3] is None else names.setdefault(r[3], len(names)) for r in rows])
+        of, to = core[:cut] if crossed else core, core[cut:]
+        level[(of[:, None] == to[None, :]) & (of >= 0)[:, None]] = 0
         hashes, sets = WordHashes(), {}
         linked = np.zeros(level.shape, bool)
         found, least = 0, 1.0
@@ -168,7 +181,7 @@ def verify(units: DataFrame, trees: int, threshold: float, shortest: int, recall
                 continue
             for k in (*i, *(j + cut)):
                 if k not in sets:
-                    sets[k] = shingles(rows[k][3], hashes)
+                    sets[k] = shingles(rows[k][4], hashes)
             like = similarities([sets[k] for k in i], [sets[k + cut] for k in j] if crossed else None)
             near = (like >= threshold - 1e-6) & todo[np.ix_(i, j)]
             linked[np.ix_(i, j)] |= near
@@ -186,19 +199,66 @@ def verify(units: DataFrame, trees: int, threshold: float, shortest: int, recall
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
         for batch in slices(batches):
-            columns = [batch.column(i).to_pylist() for i in range(7)] + [utf8(batch.column(7))]
-            for *now, block, key, labels, text in zip(*columns, strict=True):
+            columns = [batch.column(i).to_pylist() for i in range(8)] + [utf8(batch.column(8))]
+            for *now, block, key, labels, core, text in zip(*columns, strict=True):
                 if now != at:
                     if len(rows) > 1 and (out := unit(at[0], at[2] != at[3], rows)) is not None:
                         yield out
                     at, rows = now, []
-                rows.append((block, key, labels, text))
+                rows.append((block, key, labels, core, text))
         if len(rows) > 1 and (out := unit(at[0], at[2] != at[3], rows)) is not None:
             yield out
 
     return units.mapInArrow(run, "key binary, links long, root binary")
 
 
+def middles(sample: DataFrame) -> DataFrame:
+    """(tree, prefix, middle): the shingles that more than half of each region's sampled texts have, as uint64 bytes.
+
+    sample: tree, prefix, text, sorted by the first two.
+    """
+    fields = pa.schema([("tree", pa.int32()), ("prefix", pa.binary()), ("middle", pa.binary())])
+
+    def middle(at: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+        names, times = np.unique(np.concatenate(sets), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.binary()), pa.array([names[2 * times > len(sets)].tobytes()], pa.binary())], schema=fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, at, sets = WordHashes(), None, []
+        for batch in slices(batches):
+            for *now, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
+                if now != at:
+                    if sets:
+                        yield middle(at, sets)
+                    at, sets = now, []
+                sets.append(shingles(text, hashes))
+        if sets:
+            yield middle(at, sets)
+
+    return sample.mapInArrow(run, "tree int, prefix binary, middle binary")
+
+
+def name_cores(texts: DataFrame, threshold: float) -> DataFrame:
+    """``texts`` with the column middle replaced by core: that set's digest for texts within (1 - threshold) / 2 of it,
+    else null."""
+    names = [c for c in texts.columns if c != "middle"]
+    out = texts.select(*names).withColumn("core", F.lit(None).cast("binary")).schema
+    least = (1 + threshold) / 2 - 1e-9
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in slices(batches):
+            cores = []
+            for text, middle in zip(utf8(batch.column("text")), batch.column("middle").to_pylist(), strict=True):
+                have, want = shingles(text, hashes), np.frombuffer(middle or b"", np.uint64)
+                both = len(np.intersect1d(have, want, assume_unique=True))
+                cores.append(hashlib.md5(middle).digest() if both and both >= least * (len(have) + len(want) - both) else None)
+            kept = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(cores, pa.binary())], names=[*names, "core"])
+
+    return texts.mapInArrow(run, out)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(key, root) with the least key of each connected component, for ``edges(key, root)``.
 
@@ -252,19 +312,49 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, trees: int =
     regions = spots.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.sum("weight").alias("bytes")).where("n > 1")
     met = written(spots.join(regions, ["tree", "prefix"]).join(labels.select("key", "labels"), "key"))
     whole = [F.substring("labels", width * (t + 1) - 7, 8) for t in range(trees)]
-    regions = met.groupBy("tree", "prefix").agg(F.first("bytes").alias("bytes"), *((F.min(x) == F.max(x)).alias(f"same{t}") for t, x in enumerate(whole)))
+    regions = met.groupBy("tree", "prefix").agg(F.first("n").alias("n"), F.first("bytes").alias("bytes"), *((F.min(x) == F.max(x)).alias(f"same{t}") for t, x in enumerate(whole)))
     own = regions.where(~F.exists(F.array(*(F.col(f"same{t}") & (F.col("tree") > t) for t in range(trees))), lambda x: x))
-    own = own.select("tree", "prefix", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("blocks"))
-    spots = met.select("key", "labels", "tree", "prefix").join(own, ["tree", "prefix"]).groupBy("key").agg(F.first("labels").alias("labels"), F.collect_list(F.struct("tree", "prefix", "blocks")).alias("spots"))  # one a tree
-    spots = written(spots.join(classes.select("key", "copy_id"), "key"))
-
+    own = own.select("tree", "prefix", "n", "bytes", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("blocks"))
+    spots = met.select("key", "weight", "labels", "tree", "prefix").join(own, ["tree", "prefix"])
+    spots = spots.groupBy("key").agg(F.first("weight").alias("weight"), F.first("labels").alias("labels"), F.collect_list(F.struct("n", "tree", "prefix", "bytes", "blocks")).alias("spots"))  # one a tree
+    spots = spots.join(classes.select("key", "copy_id"), "key").withColumn("home", F.array_max(F.expr("filter(spots, s -> s.blocks > 1)")))  # of the heavy ones, that of most texts
     one = F.coalesce("doc_id", F.lit(0)) == F.coalesce("copy_id", F.lit(0))  # of a text's copies, the row it is known by
-    units = rows.withColumnRenamed("key", "k").join(spots, (F.col("k") == F.col("key")) & one).select("key", "text", "labels", F.explode("spots").alias("s"))
-    units = units.select("key", "text", "labels", "s.*").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("tree", "prefix", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "labels", "text")
+    texts = written(rows.withColumnRenamed("key", "k").join(spots, (F.col("k") == F.col("key")) & one).select("key", "text", "weight", "labels", "spots", "home"))
+
+    # Cores: each text of a heavy region against the middle of its home.
+    heavy = texts.where("home IS NOT NULL").select("key", "text", "weight", "labels", "spots", "home.*")
+    every = F.greatest(F.lit(1), F.floor(F.col("n") / SAMPLE_TEXTS), F.floor(F.col("bytes") / SAMPLE_BYTES))
+    sample = heavy.where(F.pmod(F.xxhash64("key", F.lit(1)), every) == 0).select("tree", "prefix", "blocks", "text")
+    middle = middles(sample.repartition("tree", "prefix").sortWithinPartitions("tree", "prefix").select("tree", "prefix", "text"))
+    middle = written(middle.join(own.select("tree", "prefix", "blocks"), ["tree", "prefix"]))
+    middle = middle.select("tree", "prefix", "middle", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+    heavy = heavy.withColumn("part", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(middle, ["tree", "prefix", "part"], "left")
+    heavy = written(name_cores(heavy.select("key", "text", "weight", "labels", "spots", "middle"), threshold))
+    members = heavy.where("core IS NOT NULL").select("key", "core").distinct()
+    sizes = members.groupBy("core").agg((F.count("*") - 1).alias("links"), F.min("key").alias("root")).where("links > 0")
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sure = members.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(sizes, ["core", "salt"]).select("key", "links", "root")
+
+    # Units: whole regions, and of heavy ones the pairs of blocks but for those within the region's largest core.
+    spread = heavy.select("weight", "core", F.explode("spots").alias("s")).where("s.blocks > 1")
+    shares = spread.groupBy("s.tree", "s.prefix", "s.blocks", "core").agg(F.sum("weight").alias("w"))
+    dealt = shares.groupBy("tree", "prefix", "blocks").agg(F.max(F.when(F.col("core").isNotNull(), F.struct("w", "core"))).alias("c"), F.sum("w").alias("w"))
+    inner = F.coalesce("c.w", F.lit(0))
+    dealt = dealt.select("tree", "prefix", "blocks", F.col("c.core").alias("main"), *(F.ceil(x / block_bytes).cast("int").alias(c) for c, x in (("outer_blocks", F.col("w") - inner), ("inner_blocks", inner))))
+    dealt = written(dealt).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    row = F.xxhash64("key")
+    units = heavy.select("key", "text", "labels", "core", F.explode("spots").alias("s")).select("key", "text", "labels", "core", "s.tree", "s.prefix", "s.blocks")
+    split = units.where("blocks > 1").withColumn("part", F.pmod(row, F.col("blocks")).cast("int")).join(dealt, ["tree", "prefix", "part"])
+    inside = F.col("core").eqNullSafe(F.col("main")) & F.col("main").isNotNull()
+    split = split.where(F.col("outer_blocks") > 0).withColumn("inside", inside)
+    split = split.withColumn("block", F.when(F.col("inside"), F.col("outer_blocks") + F.pmod(row, F.col("inner_blocks"))).otherwise(F.pmod(row, F.col("outer_blocks"))).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("inside"), F.col("outer_blocks")).otherwise(F.col("outer_blocks") + F.col("inner_blocks")) - 1)))
+    split = split.select("tree", "prefix", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "labels", "core", "text")
+    light = texts.where("home IS NULL").select("key", "text", "labels", F.lit(None).cast("binary").alias("core"), F.explode("spots").alias("s"))
+    light = light.select("key", "text", "labels", "core", "s.tree", "s.prefix").unionByName(units.where("blocks = 1").drop("blocks"))
+    light = light.select("tree", "prefix", *(F.lit(0).alias(c) for c in ("low", "high", "block")), "key", "labels", "core", "text")
     unit = ["tree", "prefix", "low", "high"]
-    links = written(verify(units.repartition(*unit).sortWithinPartitions(*unit), trees, threshold, shortest, recall))
+    links = written(verify(light.unionByName(split).repartition(*unit).sortWithinPartitions(*unit), trees, threshold, shortest, recall).unionByName(sure))
 
     roots = components(links.select("key", "root"))
     linked = links.groupBy("key").agg(F.sum("links").alias("n_links"))
