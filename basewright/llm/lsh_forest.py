@@ -318,8 +318,9 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, trees: int =
     spots = met.select("key", "weight", "labels", "tree", "prefix").join(own, ["tree", "prefix"])
     spots = spots.groupBy("key").agg(F.first("weight").alias("weight"), F.first("labels").alias("labels"), F.collect_list(F.struct("n", "tree", "prefix", "bytes", "blocks")).alias("spots"))  # one a tree
     spots = spots.join(classes.select("key", "copy_id"), "key").withColumn("home", F.array_max(F.expr("filter(spots, s -> s.blocks > 1)")))  # of the heavy ones, that of most texts
-    one = F.coalesce("doc_id", F.lit(0)) == F.coalesce("copy_id", F.lit(0))  # of a text's copies, the row it is known by
-    texts = written(rows.withColumnRenamed("key", "k").join(spots, (F.col("k") == F.col("key")) & one).select("key", "text", "weight", "labels", "spots", "home"))
+    spots = spots.withColumn("id", F.coalesce("copy_id", F.lit(0)))  # of a text's copies, the row it is known by
+    ids = rows.select("key", "text", F.coalesce("doc_id", F.lit(0)).alias("id"))
+    texts = written(ids.join(spots, ["key", "id"]).dropDuplicates(["key", "id"]).select("key", "text", "weight", "labels", "spots", "home"))
 
     # Cores: each text of a heavy region against the middle of its home.
     heavy = texts.where("home IS NOT NULL").select("key", "text", "weight", "labels", "spots", "home.*")
@@ -330,7 +331,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, trees: int =
     middle = middle.select("tree", "prefix", "middle", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
     heavy = heavy.withColumn("part", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(middle, ["tree", "prefix", "part"], "left")
     heavy = written(name_cores(heavy.select("key", "text", "weight", "labels", "spots", "middle"), threshold))
-    members = heavy.where("core IS NOT NULL").select("key", "core").distinct()
+    members = heavy.where("core IS NOT NULL").select("key", "core")
     sizes = members.groupBy("core").agg((F.count("*") - 1).alias("links"), F.min("key").alias("root")).where("links > 0")
     sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     sure = members.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(sizes, ["core", "salt"]).select("key", "links", "root")
