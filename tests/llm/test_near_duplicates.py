@@ -75,48 +75,6 @@ def test_a_large_group_of_near_copies(spark):
     assert 0 <= missed <= 0.005 * sum(w for _, w in want.values())
 
 
-def test_a_core_and_what_lies_around_it(spark):
-    rng = random.Random(8)
-    base = [f"w{i}" for i in range(150)]
-    docs = []
-    for i in range(300):  # most within 0.1 of the base, some farther off, linked to a part of the others
-        copy = base[:]
-        for _ in range(rng.choice([0, 1, 1, 1, 1, 2, 3])):
-            copy[rng.randrange(150)] = f"x{i}{rng.random()}"
-        docs.append((i, " ".join(copy)))
-    docs += [(i + 1000, t) for i, t in docs[:20]] + [(5, docs[5][1]), (None, docs[7][1])]
-    want = brute([d for d in docs if d[0] is not None])
-    got = {}
-    for block in (lsh_forest.BLOCK_BYTES, 20_000):
-        rows = lsh_forest.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), block_bytes=block).collect()
-        got[block] = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows}
-        assert len(rows) == len(docs)
-        assert {i: c for i, (c, _) in got[block].items() if i is not None} == {i: c for i, (c, _) in want.items()}
-        assert all(0 <= want[i][1] - n <= 3 for i, (_, n) in got[block].items() if i is not None)
-    missed = sum(n for _, n in want.values()) - sum(n for i, (_, n) in got[20_000].items() if i is not None)
-    assert missed <= 0.004 * sum(n for _, n in want.values())
-
-
-def test_cores_hold_only_texts_that_all_reach_the_threshold(spark):
-    rng = random.Random(9)
-    base = [f"w{i}" for i in range(100)]
-    docs = []
-    for i in range(120):
-        copy = base[:]
-        for _ in range(rng.randrange(5)):
-            copy[rng.randrange(100)] = f"x{i}{rng.random()}"
-        docs.append(" ".join(copy))
-    texts = spark.createDataFrame([(0, b"p", t) for t in docs], "tree int, prefix binary, text string")
-    middle = lsh_forest.middles(texts.coalesce(1)).collect()
-    assert len(middle) == 1
-    rows = lsh_forest.name_cores(texts.select("text", F.lit(middle[0]["middle"]).alias("middle")), SIMILARITY).collect()
-    inside = [shingle_set(r["text"]) for r in rows if r["core"]]
-    assert 30 < len(inside) < len(docs)
-    assert all(len(x & y) >= SIMILARITY * len(x | y) for x in inside for y in inside)
-    none = lsh_forest.name_cores(texts.select("text", F.lit(None).cast("binary").alias("middle")), SIMILARITY)
-    assert none.where("core IS NOT NULL").count() == 0
-
-
 def test_pairs_belong_to_the_tree_they_meet_deepest_in():
     rng = np.random.default_rng(3)
     values = rng.integers(0, 2, (40, 3, 4))
