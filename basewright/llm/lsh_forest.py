@@ -258,8 +258,9 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, trees: int =
     spots = met.select("key", "labels", "tree", "prefix").join(own, ["tree", "prefix"]).groupBy("key").agg(F.first("labels").alias("labels"), F.collect_list(F.struct("tree", "prefix", "blocks")).alias("spots"))  # one a tree
     spots = written(spots.join(classes.select("key", "copy_id"), "key"))
 
-    one = F.coalesce("doc_id", F.lit(0)) == F.coalesce("copy_id", F.lit(0))  # of a text's copies, the row it is known by
-    units = rows.withColumnRenamed("key", "k").join(spots, (F.col("k") == F.col("key")) & one).select("key", "text", "labels", F.explode("spots").alias("s"))
+    spots = spots.withColumn("id", F.coalesce("copy_id", F.lit(0)))  # of a text's copies, the row it is known by
+    ids = rows.select("key", "text", F.coalesce("doc_id", F.lit(0)).alias("id"))
+    units = ids.join(spots, ["key", "id"]).dropDuplicates(["key", "id"]).select("key", "text", "labels", F.explode("spots").alias("s"))
     units = units.select("key", "text", "labels", "s.*").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = units.select("tree", "prefix", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "labels", "text")

@@ -75,6 +75,22 @@ def test_a_large_group_of_near_copies(spark):
     assert 0 <= missed <= 0.005 * sum(w for _, w in want.values())
 
 
+def test_rows_that_repeat_id_and_text_are_sent_once(spark, monkeypatch):
+    words = [f"w{i}" for i in range(80)]
+    docs = [(None, " ".join(words))] * 500 + [(1, " ".join([*words[:-1], "x"]))] * 300
+    sent = []
+    verify = lsh_forest.verify
+
+    def counted(units, *rest):
+        sent.append(units.groupBy("tree", "prefix", "low", "high").count().agg(F.max("count")).first()[0])
+        return verify(units, *rest)
+
+    monkeypatch.setattr(lsh_forest, "verify", counted)
+    got = lsh_forest.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sent == [2] and len(got) == 800
+    assert {(r["doc_id"], r["class_id"], r["n_copies"], r["n_links"]) for r in got} == {(None, 1, 500, 1), (1, 1, 300, 1)}
+
+
 def test_pairs_belong_to_the_tree_they_meet_deepest_in():
     rng = np.random.default_rng(3)
     values = rng.integers(0, 2, (40, 3, 4))
