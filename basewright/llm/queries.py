@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basewright.llm import revisit, risk_rules, url_filter
+from basewright.llm import reversed_search, revisit, risk_rules, url_filter
 from basewright.llm.brown import op2_brown_score
 from basewright.llm.containment import op10_benchmark_items
 from basewright.llm.extract import op4_main_text
@@ -28,7 +28,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         url_filter.op8_url_filter,
         op9_near_duplicates,
         op10_benchmark_items,
+        reversed_search.op11_reversed_search,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_revisits": revisit.ORACLE_SQL, "op6_quality_rules": risk_rules.ORACLE_SQL, "op8_url_filter": url_filter.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_revisits": revisit.ORACLE_SQL,
+    "op6_quality_rules": risk_rules.ORACLE_SQL,
+    "op8_url_filter": url_filter.ORACLE_SQL,
+    "op11_reversed_search": reversed_search.ORACLE_SQL,
+}
