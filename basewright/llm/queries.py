@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basewright.llm import reversed_search, revisit, risk_rules, url_filter
+from basewright.llm import prefix_trie, repeats, reversed_search, revisit, risk_rules, url_filter
 from basewright.llm.brown import op2_brown_score
 from basewright.llm.containment import op10_benchmark_items
 from basewright.llm.extract import op4_main_text
@@ -29,6 +29,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_near_duplicates,
         op10_benchmark_items,
         reversed_search.op11_reversed_search,
+        repeats.op12_repeated_passages,
+        prefix_trie.op13_conversation_trie,
     )
 }
 
@@ -37,4 +39,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_quality_rules": risk_rules.ORACLE_SQL,
     "op8_url_filter": url_filter.ORACLE_SQL,
     "op11_reversed_search": reversed_search.ORACLE_SQL,
+    "op12_repeated_passages": repeats.ORACLE_SQL,
+    "op13_conversation_trie": prefix_trie.ORACLE_SQL,
 }
