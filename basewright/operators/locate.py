@@ -59,16 +59,19 @@ def orientation(strand: Column, seed: int | None, *key: Column) -> Column:
 def fetch_sequence(regions: DataFrame, tiles: DataFrame, seed: int | None = None, tile: int = TILE) -> DataFrame:
     """``regions(seqid, start, end, strand, ...)`` with sequence and orientation; a region that does not lie within its
     scaffold is an error."""
-    rows = regions.where("start <= end").select(F.monotonically_increasing_id().alias("_region"), F.struct(*regions.columns).alias("_row"), "seqid", "start", "end")
-    spots = rows.withColumn("tile", F.explode(F.sequence(F.floor((F.col("start") - 1) / tile), F.floor((F.col("end") - 1) / tile))))
+    rows = regions.where("start <= end").select(F.struct(*regions.columns).alias("_row"), "seqid", "start", "end")
+    first, last = F.floor((F.col("start") - 1) / tile), F.floor((F.col("end") - 1) / tile)
+    spots = rows.withColumn("tile", F.explode(F.sequence(first, last)))
     joined = spots.join(tiles, ["seqid", "tile"], "left")
-    first = F.greatest(F.col("start"), F.col("tile_start"))
-    piece = F.substring("seq", (first - F.col("tile_start") + 1).cast("int"), (F.col("end") - first + 1).cast("int"))
-    pieces = joined.groupBy("_region").agg(F.first("_row").alias("_row"), F.collect_list(F.struct("tile", piece.alias("piece"))).alias("_pieces"))  # of one region
+    low = F.greatest(F.col("start"), F.col("tile_start"))
+    piece = F.substring("seq", (low - F.col("tile_start") + 1).cast("int"), (F.col("end") - low + 1).cast("int"))
+    # rows alike in all columns are one group, whose pieces are as many as one row's; how often each tile came tells how many rows
+    pieces = joined.groupBy("_row", "seqid", "start", "end").agg(F.collect_set(F.struct("tile", piece.alias("piece"))).alias("_pieces"), F.count("*").alias("_n"))
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), (F.col("_n") / (last - first + 1)).cast("long")))
     whole = F.array_join(F.transform(F.array_sort("_pieces"), lambda p: p["piece"]), "")
     size = F.col("_row.end") - F.col("_row.start") + 1
     off = F.raise_error(F.concat(F.lit("region off its scaffold: "), F.coalesce("_row.seqid", F.lit("null")), F.lit(":"), F.col("_row.start"), F.lit("-"), F.col("_row.end")))
-    out = pieces.select("_row.*", F.when(F.length(whole) == size, whole).otherwise(off).alias("sequence"))
+    out = pieces.withColumn("_copy", copies).select("_row.*", F.when(F.length(whole) == size, whole).otherwise(off).alias("sequence"))
     out = out.withColumn("orientation", orientation(F.col("strand"), seed, F.col("seqid"), F.col("start"), F.col("end")))
     return out.withColumn("sequence", F.when(F.col("orientation") == "-", reverse_complement(F.col("sequence"))).otherwise(F.col("sequence")))
 
@@ -118,13 +121,37 @@ def dense_mask(runs: DataFrame) -> DataFrame:
     return runs.select("pos_id", F.explode(F.sequence("run_start", "run_end")).alias("position"), "partition_code", "strand")
 
 
-def fragment_by_partition(positions: DataFrame, runs: DataFrame) -> DataFrame:
-    """(pos_id, frag_start, frag_end, partition_code, strand, fragment): longest runs of one partition; the fragment is
-    reverse-complemented where the strand at its first base is -1."""
+def _fragments(runs: DataFrame) -> DataFrame:
+    """(pos_id, frag_start, frag_end, partition_code, strand): longest runs of one partition, with the strand of their
+    first base."""
     over = Window.partitionBy("pos_id").orderBy("run_start")
     new = F.coalesce((F.lag("partition_code").over(over) != F.col("partition_code")) | (F.lag("run_end").over(over) + 1 != F.col("run_start")), F.lit(True))
     marked = runs.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(over))
-    frags = marked.groupBy("pos_id", "_run").agg(F.min("run_start").alias("frag_start"), F.max("run_end").alias("frag_end"), F.first("partition_code").alias("partition_code"), F.min_by("strand", "run_start").alias("strand"))
-    out = frags.join(positions.select("pos_id", "sequence"), "pos_id")
+    return marked.groupBy("pos_id", "_run").agg(F.min("run_start").alias("frag_start"), F.max("run_end").alias("frag_end"), F.first("partition_code").alias("partition_code"), F.min_by("strand", "run_start").alias("strand")).drop("_run")
+
+
+def fragment_by_partition(positions: DataFrame, runs: DataFrame) -> DataFrame:
+    """(pos_id, frag_start, frag_end, partition_code, strand, fragment): longest runs of one partition; the fragment is
+    reverse-complemented where the strand at its first base is -1."""
+    out = _fragments(runs).join(positions.select("pos_id", "sequence"), "pos_id")
     piece = F.substring("sequence", F.col("frag_start").cast("int"), (F.col("frag_end") - F.col("frag_start") + 1).cast("int"))
     return out.select("pos_id", "frag_start", "frag_end", "partition_code", "strand", F.when(F.col("strand") == -1, reverse_complement(piece)).otherwise(piece).alias("fragment"))
+
+
+def tiled_fragments(positions: DataFrame, runs: DataFrame, tiles: DataFrame, order: int = 0, size: int = TILE, tile: int = TILE) -> DataFrame:
+    """As ``fragment_by_partition``, but in blocks of ``size`` k-mers in the fragment's orientation, with the ``order``
+    bases that the last of them need, fetched from tiles: with block (from 0), last and block_start. ``positions(pos_id,
+    seqid, pad_start)`` have no sequence, and no row holds one. Fragments of up to ``order`` bases have no k-mer and
+    one block."""
+    rows = _fragments(runs).join(positions.select("pos_id", "seqid", "pad_start"), "pos_id")
+    bases = F.col("frag_end") - F.col("frag_start") + 1
+    last = F.greatest(F.ceil((bases - order) / size), F.lit(1)).cast("int") - 1
+    rows = rows.withColumn("_last", last).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_last")))).withColumn("block_start", F.col("block").cast("long") * size)
+    stop = F.least(bases, F.col("block_start") + size + order)  # of the block's bases, from the fragment's first in its orientation
+    zero = F.col("pad_start") - 1
+    back = F.col("strand") == -1
+    start = zero + F.when(back, F.col("frag_end") - stop + 1).otherwise(F.col("frag_start") + F.col("block_start"))
+    end = zero + F.when(back, F.col("frag_end") - F.col("block_start")).otherwise(F.col("frag_start") + stop - 1)
+    regions = rows.withColumn("_strand", F.col("strand")).select("pos_id", "frag_start", "frag_end", "partition_code", "_strand", "block", (F.col("block") == F.col("_last")).alias("last"), "block_start", "seqid", start.alias("start"), end.alias("end"), F.when(back, "-").otherwise("+").alias("strand"))
+    out = fetch_sequence(regions, tiles, tile=tile)
+    return out.select("pos_id", "frag_start", "frag_end", "partition_code", F.col("_strand").alias("strand"), "block", "last", "block_start", F.col("sequence").alias("fragment"))

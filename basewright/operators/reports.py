@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basewright.functions.numbers import mean_run_length
 from basewright.operators.hmm import set_log_likelihood
 from basewright.operators.jobs import CHAIN
 from basewright.operators.kernels import heidelberger_welch
+from basewright.sources.shared import written
 
 REPSET = ["obs_id", "K", "order"]
 
@@ -110,31 +111,24 @@ def state_distances(steps: DataFrame) -> DataFrame:
 
 def match_states(steps: DataFrame) -> DataFrame:
     """(chain, rank, state, other): states of the first replicate, picked by the least sum of distances to the nearest
-    free state of every other replicate, and the state each of these matches; rank is the order of the picks. A set
-    of one replicate matches itself."""
+    free state of every other replicate (then the least state), and the state each of these matches (of equal ones the
+    least); rank is the order of the picks. A set of one replicate matches itself.
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        reps = sorted(rows["replicate"].unique())
-        n = int(rows["state"].max())
-        d = np.full((len(reps), n, n), np.inf)
-        for r in rows.itertuples():
-            d[reps.index(r.replicate), r.state - 1, r.other - 1] = r.distance
-        free, out = np.ones(n, bool), []
-        for rank in range(1, n + 1):
-            k = int(np.argmin(np.where(free, d.min(2).sum(0), np.inf)))
-            free[k] = False
-            for i, rep in enumerate(reps):
-                j = int(np.argmin(d[i, k]))
-                out.append([*key, rep, rank, k + 1, j + 1])
-                d[i, :, j] = np.inf
-        return pd.DataFrame(out, columns=[*REPSET, "replicate", "rank", "state", "other"])
-
-    schema = "obs_id string, K int, order int, replicate int, rank int, state int, other int"
-    matched = state_distances(steps).groupBy(*REPSET).applyInPandas(lambda k, r: one(k, r)[[*CHAIN, "rank", "state", "other"]], schema)
+    Every pass picks one state of each replicate set: as many passes as the most states.
+    """
+    left, picks = written(state_distances(steps)), []
+    for rank in range(1, (left.agg(F.max("K")).first()[0] or 0) + 1):
+        nearest = left.groupBy(*CHAIN, "state").agg(F.min(F.struct("distance", "other")).alias("near"))
+        sums = nearest.groupBy(*REPSET, "state").agg(F.sum("near.distance").alias("sum"))
+        pick = sums.groupBy(*REPSET).agg(F.min(F.struct("sum", "state")).alias("pick")).select(*REPSET, F.col("pick.state").alias("state"))
+        picked = written(nearest.join(pick, [*REPSET, "state"]).select(*CHAIN, F.lit(rank).alias("rank"), "state", F.col("near.other").alias("other")))
+        picks.append(picked)
+        gone = picked.select(*CHAIN, F.col("state").alias("_state"), F.col("other").alias("_other"))
+        left = written(left.join(gone, CHAIN).where("state != _state AND other != _other").select(*left.columns))
     chains = steps.select(*CHAIN).distinct()
     first = chains.groupBy(*REPSET).agg(F.min("replicate").alias("replicate"), F.count("*").alias("n"))
     alone = first.where("n = 1").select(*CHAIN, F.explode(F.sequence(F.lit(1), F.col("K"))).alias("state"))
-    return matched.unionByName(alone.select(*CHAIN, F.col("state").alias("rank"), "state", F.col("state").alias("other")))
+    return reduce(DataFrame.unionByName, [*picks, alone.select(*CHAIN, F.col("state").alias("rank"), "state", F.col("state").alias("other"))])
 
 
 def rank_symbols(steps: DataFrame, matches: DataFrame) -> DataFrame:
@@ -145,7 +139,7 @@ def rank_symbols(steps: DataFrame, matches: DataFrame) -> DataFrame:
     ones = last.join(first, REPSET).where("replicate = first").select(*REPSET, F.col("own").alias("state"), "s", F.col("p").alias("p1"))
     others = matches.join(last.withColumnRenamed("own", "other"), [*CHAIN, "other"])
     both = others.join(ones, [*REPSET, "state", "s"]).groupBy(*REPSET, "state", (F.col("s") + 1).alias("symbol")).agg(F.sum(F.abs(F.col("p") - F.col("p1"))).alias("distance"))
-    over = Window.partitionBy(*REPSET, "state").orderBy("distance", "symbol")
+    over = Window.partitionBy(*REPSET, "state").orderBy(F.round("distance", 9), "symbol")  # sums of three or more do not have a fixed order
     return both.select(*REPSET, "state", F.row_number().over(over).alias("rank"), "symbol", "distance")
 
 
@@ -179,20 +173,19 @@ def matched_state_coords(steps: DataFrame) -> DataFrame:
     last = latest_step(steps)
     if last.where("K < 3").head(1):
         raise ValueError("states must be three or more")
-    final = last.select(*CHAIN, "emission").collect()  # one row a chain
-    final.sort(key=lambda r: tuple(r[c] for c in CHAIN))
-    references, rows = {}, []
-    for r in final:
-        n = r["obs_id"] in references  # not the first chain of its obs set
-        reference = references.setdefault(r["obs_id"], np.array(r["emission"])[:3])
-        d = np.linalg.norm(reference[:, None, :] - np.array(r["emission"])[None, :, :], axis=2) if n else None
-        picks: list[int] = []
-        for k in range(3):
-            if n:
-                d[k, picks] = np.inf
-            picks.append(int(np.argmin(d[k])) if n else k)
-        rows.append((*(r[c] for c in CHAIN), [p + 1 for p in picks]))
-    picked = steps.sparkSession.createDataFrame(rows, "obs_id string, K int, order int, replicate int, picks array<int>")
+    first = last.groupBy("obs_id").agg(F.min_by(F.struct(*CHAIN, "emission"), F.struct(*CHAIN)).alias("first"))  # K * 4^(order + 1) numbers
+    rows = last.select(*CHAIN, "emission").join(first, "obs_id")
+    squares = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+    def nearest(k: int, *taken: Column) -> Column:
+        """The free state whose emissions are nearest to those of the first chain's state k, of equal ones the least."""
+        each = F.transform("emission", lambda e, i: F.struct(squares(e, F.element_at("first.emission", k)).alias("d"), (i + 1).alias("state")))
+        return F.array_min(F.filter(each, lambda x: reduce(lambda c, t: c & (x["state"] != t), taken, F.lit(True))))["state"]
+
+    for k in (1, 2, 3):
+        rows = rows.withColumn(f"pick{k}", nearest(k, *(F.col(f"pick{i}") for i in range(1, k))))
+    own = reduce(lambda c, x: c & (F.col(x) == F.col(f"first.{x}")), CHAIN, F.lit(True))
+    picked = rows.select(*CHAIN, F.when(own, F.array(*map(F.lit, (1, 2, 3)))).otherwise(F.array("pick1", "pick2", "pick3")).alias("picks"))
     first = lambda i: F.element_at(F.element_at("emission", F.element_at("picks", i)), 1)
     return steps.join(picked, CHAIN).select(*CHAIN, "iterate", first(1).alias("x"), first(2).alias("y"), first(3).alias("z"))
 

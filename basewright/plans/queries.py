@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basewright.functions import numbers, sequences
-from basewright.operators import coding, hmm, intervals, jobs, locate, reports, sampling
+from basewright.operators import blocks, coding, hmm, intervals, jobs, locate, reports, sampling
 from basewright.plans import views
 from basewright.sources import genome
 from basewright.plans.views import VIEW_SQL, table
@@ -196,16 +196,59 @@ def partition_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.groupBy("pos_id").agg(size(3).alias("exon"), size(2).alias("periexonic"), size(1).alias("intergenic"))
 
 
-@query()
+#: Masks give exon before periexonic before intergenic; a base of several of one kind is + if any of them is.
+_RUNS = """hits AS (SELECT pos_id, p."partition" AS part, p.strand, greatest(p."start", pos.s) - pos.s + 1 AS s, least(p."end", pos.e) - pos.s + 1 AS e FROM pos JOIN parts p ON p.seqid = pos.seqid AND p."start" <= pos.e AND p."end" >= pos.s),
+cuts AS (SELECT DISTINCT pos_id, x FROM (SELECT pos_id, s AS x FROM hits UNION ALL SELECT pos_id, e + 1 FROM hits)),
+atoms AS (SELECT pos_id, x AS s, lead(x) OVER (PARTITION BY pos_id ORDER BY x) - 1 AS e FROM cuts),
+coded AS (SELECT a.pos_id, a.s, a.e, max(CASE part WHEN 'exon' THEN 3 WHEN 'periexonic' THEN 2 ELSE 1 END) AS code,
+  CASE max(CASE part WHEN 'exon' THEN 3 WHEN 'periexonic' THEN 2 ELSE 1 END) WHEN 3 THEN max(CASE WHEN part = 'exon' THEN CASE WHEN strand = '+' THEN 1 ELSE -1 END END) WHEN 2 THEN max(CASE WHEN part = 'periexonic' THEN CASE WHEN strand = '+' THEN 1 ELSE -1 END END) ELSE 0 END AS strand
+  FROM atoms a JOIN hits h ON h.pos_id = a.pos_id AND h.s <= a.s AND h.e >= a.e WHERE a.e IS NOT NULL GROUP BY ALL),
+edges AS (SELECT *, CASE WHEN lag(e) OVER o + 1 = s AND lag(code) OVER o = code AND lag(strand) OVER o = strand THEN 0 ELSE 1 END AS new FROM coded WINDOW o AS (PARTITION BY pos_id ORDER BY s)),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY pos_id ORDER BY s) AS n FROM edges),
+runs AS (SELECT pos_id, min(s) AS run_start, max(e) AS run_end, any_value(code)::BIGINT AS partition_code, any_value(strand)::BIGINT AS strand FROM numbered GROUP BY pos_id, n)"""
+_FRAGS = """fedges AS (SELECT *, CASE WHEN lag(run_end) OVER o + 1 = run_start AND lag(partition_code) OVER o = partition_code THEN 0 ELSE 1 END AS new FROM runs WINDOW o AS (PARTITION BY pos_id ORDER BY run_start)),
+fnumbered AS (SELECT *, sum(new) OVER (PARTITION BY pos_id ORDER BY run_start) AS n FROM fedges),
+frags AS (SELECT pos_id, min(run_start) AS frag_start, max(run_end) AS frag_end, any_value(partition_code) AS partition_code, first(strand ORDER BY run_start) AS strand FROM fnumbered GROUP BY pos_id, n),
+cutout AS (SELECT f.*, CASE WHEN strand = -1 THEN translate(reverse(substring(seq, frag_start, frag_end - frag_start + 1)), 'ACGT', 'TGCA') ELSE substring(seq, frag_start, frag_end - frag_start + 1) END AS fragment FROM frags f JOIN v_seqs ON seq_id = pos_id)"""
+_DOC_POS = """pos AS (SELECT seq_id AS pos_id, CAST(seq_id AS VARCHAR) AS seqid, 1 AS s, length(seq) AS e FROM v_seqs)"""
+_NEED_DOCS = ("seqs", "doc_features", "doc_scaffolds", _GENES, _PARTS, _DOC_POS, _RUNS, _FRAGS)
+
+
+@query("SELECT pos_id, run_start, run_end, partition_code, strand FROM runs", *_NEED_PARTS, _POS, _RUNS)
+def partition_mask_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs and strands of positions on scaffolds."""
+    return _wide(locate.partition_mask(_positions(spark, sf_dir), _partitions(spark, sf_dir), strict=False))
+
+
+def _doc_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as positions."""
+    return views.doc_scaffolds(spark, sf_dir).select(F.col("seqid").cast("long").alias("pos_id"), "seqid", F.col("start").alias("pad_start"), "end")
+
+
+def _doc_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = intervals.partition_genome(views.doc_features(spark, sf_dir), views.doc_scaffolds(spark, sf_dir), PAD)
+    return views.written(locate.partition_mask(_doc_positions(spark, sf_dir), parts))
+
+
+@query("SELECT pos_id, frag_start, frag_end, partition_code, strand, md5(fragment) AS digest FROM cutout", *_NEED_DOCS)
 def fragment_by_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fragments of positions whose sequence is that of a document, repeated to length."""
-    positions = _positions(spark, sf_dir)
-    seqs = views.seqs(spark, sf_dir).select((F.col("seq_id")).alias("_id"), F.left("seq", F.lit(1300)).alias("_seq"))
-    ids = seqs.agg(F.max("_id").alias("_most"))
-    rows = positions.join(F.broadcast(ids)).withColumn("_id", F.pmod("pos_id", F.col("_most") + 1)).join(seqs, "_id")
-    rows = rows.withColumn("sequence", F.left(F.repeat("_seq", F.ceil((F.col("end") - F.col("pad_start") + 1) / F.length("_seq")).cast("int")), (F.col("end") - F.col("pad_start") + 1).cast("int")))
-    rows = rows.select("pos_id", "seqid", "pad_start", "end", "sequence")
-    return locate.fragment_by_partition(rows, locate.partition_mask(rows, _partitions(spark, sf_dir), strict=False))
+    """Fragments of whole documents, which are scaffolds that have features."""
+    rows = views.seqs(spark, sf_dir).select(F.col("seq_id").alias("pos_id"), F.col("seq").alias("sequence"))
+    return _wide(locate.fragment_by_partition(rows, _doc_runs(spark, sf_dir)).withColumn("digest", F.md5("fragment")).drop("fragment"))
+
+
+def _doc_blocks(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
+    return locate.tiled_fragments(_doc_positions(spark, sf_dir), _doc_runs(spark, sf_dir), views.doc_tiles(spark, sf_dir, TILE), order, 1024, TILE)
+
+
+@query(
+    """SELECT pos_id, frag_start, frag_end, partition_code, strand, b AS block, b = greatest(ceil((length(fragment) - 2) / 1024), 1) - 1 AS last, b * 1024 AS block_start, md5(substring(fragment, b * 1024 + 1, 1026)) AS digest
+    FROM (SELECT *, unnest(range(greatest(ceil((length(fragment) - 2) / 1024), 1)::BIGINT)) AS b FROM cutout)""",
+    *_NEED_DOCS,
+)
+def tiled_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in blocks of 1,024 3-mers, read from tiles."""
+    return _wide(_doc_blocks(spark, sf_dir, 2).withColumn("digest", F.md5("fragment")).drop("fragment"))
 
 
 # Sampling
@@ -249,6 +292,39 @@ def sample_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _samples(spark, sf_dir)
 
 
+_DRAWS = """bases AS (SELECT obs_id, CAST(seq_id AS VARCHAR) AS seqid, seq, CAST(sum(length(seq)) OVER (PARTITION BY obs_id ORDER BY CAST(seq_id AS VARCHAR)) AS BIGINT) - length(seq) AS before, CAST(sum(length(seq)) OVER (PARTITION BY obs_id) AS BIGINT) AS total FROM v_seqs),
+points AS (SELECT obs_id, d AS draw, 1 + ('0x' || substring(md5(d::VARCHAR), 1, 12))::BIGINT % total AS point FROM (SELECT DISTINCT obs_id, total FROM bases), LATERAL (SELECT unnest(range(0, total // 400 + 1)) AS d)),
+placed AS (SELECT b.obs_id, b.seqid, b.seq, length(b.seq) AS hi, p.draw, p.point - b.before AS pt, row_number() OVER (PARTITION BY b.obs_id, b.seqid ORDER BY draw) AS k FROM points p JOIN bases b ON b.obs_id = p.obs_id AND p.point > b.before AND p.point <= b.before + length(b.seq)),
+taken(obs_id, seqid, k, starts, ends, s, e, draw) AS (
+  SELECT DISTINCT obs_id, seqid, 0::BIGINT, []::BIGINT[], []::BIGINT[], NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM placed
+  UNION ALL SELECT obs_id, seqid, k, CASE WHEN ok THEN list_append(starts, s) ELSE starts END, CASE WHEN ok THEN list_append(ends, e) ELSE ends END, CASE WHEN ok THEN s END, CASE WHEN ok THEN e END, draw
+  FROM (SELECT *, s IS NOT NULL AND NOT (contains(substring(seq, s, e - s + 1), repeat('A', ((e - s + 1) // 10)::INT)) OR contains(substring(seq, s, e - s + 1), repeat('C', ((e - s + 1) // 10)::INT)) OR contains(substring(seq, s, e - s + 1), repeat('G', ((e - s + 1) // 10)::INT)) OR contains(substring(seq, s, e - s + 1), repeat('T', ((e - s + 1) // 10)::INT))) AS ok
+  FROM (SELECT *, CASE WHEN inside THEN NULL WHEN b IS NULL AND a IS NULL AND hi < 300 AND hi > 50 THEN 1 WHEN w < 50 THEN NULL WHEN w > 300 THEN pt - k5 + 1 ELSE st END AS s, CASE WHEN b IS NULL AND a IS NULL AND hi < 300 AND hi > 50 THEN hi WHEN w > 300 THEN pt + k3 - 1 ELSE en END AS e
+  FROM (SELECT *, en - st + 1 AS w, CASE WHEN en - pt + 1 <= 151 THEN 301 - (en - pt + 1) WHEN pt - st + 1 <= 150 THEN pt - st + 1 ELSE 150 END AS k5, CASE WHEN en - pt + 1 <= 151 THEN en - pt + 1 WHEN pt - st + 1 <= 150 THEN 301 - (pt - st + 1) ELSE 151 END AS k3
+  FROM (SELECT *, coalesce(b + 1, 1) AS st, coalesce(a - 1, hi) AS en
+  FROM (SELECT p.obs_id, p.seqid, p.seq, p.hi, p.pt, p.k, p.draw, t.starts, t.ends, list_max(list_filter(t.ends, lambda x: x < p.pt)) AS b, list_min(list_filter(t.starts, lambda x: x > p.pt)) AS a, len(list_filter(t.ends, lambda x: x < p.pt)) + len(list_filter(t.starts, lambda x: x > p.pt)) < len(t.starts) AS inside
+  FROM taken t JOIN placed p ON p.obs_id = t.obs_id AND p.seqid = t.seqid AND p.k = t.k + 1))))))"""
+
+
+@query('SELECT obs_id AS "partition", seqid, s AS "start", e AS "end", draw FROM taken WHERE s IS NOT NULL', "seqs", _DRAWS)
+def windows_at_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 50 to 300 bases round one base in 400, taken in turn and checked."""
+    docs = views.seqs(spark, sf_dir)
+    parts = views.written(intervals.add_metacoordinates(docs.select(F.col("obs_id").alias("partition"), F.col("seq_id").cast("string").alias("seqid"), F.lit(1).cast("long").alias("start"), F.length("seq").cast("long").alias("end"), F.lit(None).cast("string").alias("strand"))))
+    totals = parts.groupBy("partition").agg(F.max("meta_end").alias("total"))
+    points = totals.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("total") / 400))))
+    points = points.select("partition", (1 + F.conv(F.left(F.md5(F.col("draw").cast("string")), F.lit(12)), 16, 10).cast("long") % F.col("total")).alias("point"), "draw")
+    return sampling.windows_at_points(points, parts, views.doc_tiles(spark, sf_dir, TILE), 50, 300, tile=TILE).select("partition", "seqid", "start", "end", "draw")
+
+
+@query()
+def sample_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows at random places of a tenth of each partition's bases."""
+    docs = views.seqs(spark, sf_dir)
+    parts = views.written(intervals.add_metacoordinates(docs.select(F.col("obs_id").alias("partition"), F.col("seq_id").cast("string").alias("seqid"), F.lit(1).cast("long").alias("start"), F.length("seq").cast("long").alias("end"), F.lit(None).cast("string").alias("strand"))))
+    return sampling.sample_points(parts, views.doc_tiles(spark, sf_dir, TILE), 5000, 50, 300, tile=TILE, share=SHARE)
+
+
 @query(
     """SELECT obs_id AS "partition", seq_id, CASE WHEN sum(length(seq)) OVER (PARTITION BY obs_id ORDER BY (seq_id * 31) % 1009, seq_id) <= sum(length(seq)) OVER (PARTITION BY obs_id) // 2 THEN 'train' ELSE 'test' END AS split FROM v_seqs""",
     "seqs",
@@ -270,6 +346,15 @@ def read_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return genome.read_fasta(spark, path).select("id", "description", F.length("sequence").cast("long").alias("n"), F.md5("sequence").alias("digest"))
 
 
+@query(f"SELECT CAST(seq_id AS VARCHAR) AS seqid, 'set ' || obs_id AS description, t AS tile, t * {TILE} + 1 AS tile_start, md5(substring(seq, t * {TILE} + 1, {TILE})) AS digest FROM (SELECT *, unnest(range((length(seq) + {TILE - 1}) // {TILE})) AS t FROM v_seqs)", "seqs")
+def read_fasta_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same file read by lines into tiles, whatever the splits' bounds."""
+    path = views.shared_path(spark)
+    lines = F.regexp_replace(F.lower("seq"), "(.{80})", "$1\n")
+    views.seqs(spark, sf_dir).select(F.concat(F.lit(">"), F.col("seq_id"), F.lit(" set "), F.col("obs_id"), F.lit("\n"), lines).alias("value")).write.text(path)
+    return genome.read_fasta_tiles(spark, path, TILE).withColumn("digest", F.md5("seq")).drop("seq")
+
+
 @query('SELECT seqid, type, strand, count(*) AS n, sum("start")::BIGINT AS starts, sum("end")::BIGINT AS ends FROM v_features GROUP BY ALL', "features")
 def read_gff3(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = views.shared_path(spark)
@@ -302,7 +387,11 @@ def mask_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("obs_id").agg(F.count("*").alias("n"), F.count_if(sequences.mask_check(F.col("s"))).alias("accepted"))
 
 
-@query()
+@query(
+    """SELECT obs_id, count(*) AS n, count(*) FILTER (WHERE NOT contains(s, 'N') AND NOT (contains(s, repeat('A', k)) OR contains(s, repeat('C', k)) OR contains(s, repeat('G', k)) OR contains(s, repeat('T', k)))) AS accepted
+    FROM (SELECT obs_id, s, (length(s) // 10)::INT AS k FROM (SELECT obs_id, substring(seq, i, 50) AS s FROM (SELECT obs_id, seq, unnest(range(1, greatest(2, length(seq) - 48))) AS i FROM v_seqs_n))) GROUP BY 1""",
+    "seqs_n",
+)
 def mask_check_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Acceptance of every window of 50 bases of each sequence; a shorter sequence is one window."""
     rows = views.seqs(spark, sf_dir, views.BASES_N)
@@ -362,15 +451,15 @@ def _models(spark: SparkSession, sf_dir: str, states: int) -> DataFrame:
       SELECT obs_id, seq_id, substring(seq, 1, 60) AS s, 1 AS t, 0.6e0 * (0.5e0 - 0.1e0 * instr('ACGT', seq[1])) AS f1, 0.4e0 * (0.1e0 * instr('ACGT', seq[1])) AS f2, 0.0::DOUBLE AS lp FROM v_seqs
       UNION ALL SELECT obs_id, seq_id, s, t + 1, (f1 * 0.9e0 + f2 * 0.2e0) / (f1 + f2) * (0.5e0 - 0.1e0 * instr('ACGT', s[t + 1])), (f1 * 0.1e0 + f2 * 0.8e0) / (f1 + f2) * (0.1e0 * instr('ACGT', s[t + 1])), lp + ln(f1 + f2) FROM fw WHERE t < length(s))""",
 )
-def obs_log_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+def obs_log_likelihood_60(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the first 60 bases, a window's length, of each sequence."""
     out = hmm.obs_log_likelihood(_coded(spark, sf_dir, 60), _models(spark, sf_dir, 2))
     return out.select("obs_id", "seq_id", F.round("log_p", 6).alias("log_p"))
 
 
 @query()
-def obs_log_likelihood_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each whole sequence."""
+def obs_log_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each whole sequence, with two states."""
     return hmm.obs_log_likelihood(_coded(spark, sf_dir), _models(spark, sf_dir, 2)).select("obs_id", "seq_id", "log_p")
 
 
@@ -462,6 +551,62 @@ def em_step_60(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _wide(a.unionByName(both[0]).unionByName(both[1]).select("obs_id", "kind", "i", "j", F.round("value", 7).alias("value")))
 
 
+# Two states over all bases: sequences in pieces of 700, which are more than one stretch of the kernels
+
+_PIECES = """pieces AS (SELECT obs_id, seq_id * 1000 + i AS seq_id, substring(seq, i * 700 + 1, 700) AS s FROM (SELECT *, unnest(range((length(seq) + 699) // 700)) AS i FROM v_seqs))"""
+_E1, _E2 = "(0.5e0 - 0.1e0 * instr('ACGT', {0}))", "(0.1e0 * instr('ACGT', {0}))"
+_PIECES_FORWARD = f"""fw AS (
+      SELECT seq_id, 1 AS t, 0.6e0 * {_E1.format("s[1]")} AS f1, 0.4e0 * {_E2.format("s[1]")} AS f2, 0.0::DOUBLE AS lp FROM pieces
+      UNION ALL SELECT seq_id, t + 1, (f1 * 0.9e0 + f2 * 0.2e0) / (f1 + f2) * {_E1.format("s[t + 1]")}, (f1 * 0.1e0 + f2 * 0.8e0) / (f1 + f2) * {_E2.format("s[t + 1]")}, lp + ln(f1 + f2) FROM fw JOIN pieces USING (seq_id) WHERE t < length(s))"""
+_PIECES_BACKWARD = f"""bw AS (
+      SELECT seq_id, length(s) AS t, 0.5e0 AS b1, 0.5e0 AS b2 FROM pieces
+      UNION ALL SELECT seq_id, t - 1, (0.9e0 * e1 * b1 + 0.1e0 * e2 * b2) / (1.1e0 * e1 * b1 + 0.9e0 * e2 * b2), (0.2e0 * e1 * b1 + 0.8e0 * e2 * b2) / (1.1e0 * e1 * b1 + 0.9e0 * e2 * b2)
+      FROM (SELECT seq_id, t, b1, b2, {_E1.format("s[t]")} AS e1, {_E2.format("s[t]")} AS e2 FROM bw JOIN pieces USING (seq_id) WHERE t > 1))"""
+_PIECES_GAMMA = f"""ga AS (SELECT obs_id, seq_id, t, length(s) AS len, s[t] AS x, f1, f2, lp, b1, b2, {_E1.format("s[t]")} AS e1, {_E2.format("s[t]")} AS e2, f1 * b1 / (f1 * b1 + f2 * b2) AS g1 FROM fw JOIN bw USING (seq_id, t) JOIN pieces USING (seq_id))"""
+_NEED_PIECES = ("seqs", _PIECES, _PIECES_FORWARD, _PIECES_BACKWARD, _PIECES_GAMMA)
+
+
+def _coded_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") + 699) / 700).cast("int") - 1))
+    rows = views.seqs(spark, sf_dir).withColumn("_i", at)
+    rows = rows.select("obs_id", F.lit(0).alias("order"), (F.col("seq_id") * 1000 + F.col("_i")).alias("seq_id"), F.col("seq").substr(F.col("_i") * 700 + 1, F.lit(700)).alias("seq"))
+    return coding.code_sequences(rows)
+
+
+@query("SELECT obs_id, seq_id, round(lp + ln(f1 + f2), 5) AS log_p FROM fw JOIN pieces USING (seq_id) WHERE t = length(s)", "seqs", _PIECES, _PIECES_FORWARD)
+def obs_log_likelihood_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.obs_log_likelihood(_coded_pieces(spark, sf_dir), _models(spark, sf_dir, 2)).select("obs_id", "seq_id", F.round("log_p", 5).alias("log_p"))
+
+
+@query("SELECT obs_id, seq_id, round(lp + ln(f1 + f2), 5) AS log_p FROM fw JOIN pieces USING (seq_id) WHERE t = length(s)", "seqs", _PIECES, _PIECES_FORWARD)
+def obs_log_likelihood_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by products over blocks of 128 codes."""
+    rows = blocks.cut_blocks(_coded_pieces(spark, sf_dir), 128)
+    return hmm.obs_log_likelihood(rows, _models(spark, sf_dir, 2)).select("obs_id", "seq_id", F.round("log_p", 5).alias("log_p"))
+
+
+@query("SELECT obs_id, kind, i, j, round(value, 3) AS value FROM ec", *_NEED_PIECES, _COUNTS2)
+def expected_counts_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hmm.expected_counts(_coded_pieces(spark, sf_dir), _models(spark, sf_dir, 2))
+    return _wide(out.select("obs_id", "kind", "i", "j", F.round("value", 3).alias("value")))
+
+
+@query("SELECT obs_id, kind, i, j, round(value, 3) AS value FROM ec", *_NEED_PIECES, _COUNTS2)
+def expected_counts_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in blocks of 128 codes, each a row, that take up the messages at their edges."""
+    out = hmm.expected_counts(blocks.cut_blocks(_coded_pieces(spark, sf_dir), 128), _models(spark, sf_dir, 2))
+    return _wide(out.select("obs_id", "kind", "i", "j", F.round("value", 3).alias("value")))
+
+
+@query("SELECT obs_id, seq_id, (t - 1) // 128 AS block, round(sum(g1 * (1 + t % 7)), 5) AS weighted FROM ga GROUP BY ALL", *_NEED_PIECES)
+def state_posteriors_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors of the first state in blocks of 128 codes, summed with weights by place."""
+    out = hmm.state_posteriors(blocks.cut_blocks(_coded_pieces(spark, sf_dir), 128), _models(spark, sf_dir, 2))
+    t = lambda i: F.col("block") * 128 + i + 1
+    total = F.aggregate(F.transform("gamma", lambda g, i: g[0] * (1 + t(i) % 7)), F.lit(0.0), lambda s, x: s + x)
+    return _wide(out.select("obs_id", "seq_id", "block", F.round(total, 5).alias("weighted")))
+
+
 def _split_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(obs_id, seq_id, seq, split) of the sampled windows, written once for training and tests."""
     path = views.shared_path(spark)
@@ -494,14 +639,36 @@ def positional_log_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("obs_id", "seq_id", F.size("log_lh").cast("long").alias("n"), F.round(total, 5).alias("total"))
 
 
+def _partition_models(spark: SparkSession, states: int) -> DataFrame:
+    """A model for each partition; those of one state have emissions of their own."""
+    names = spark.createDataFrame([(p, c) for p, c in intervals.PARTITIONS.items()], "obs_id string, code int")
+    lit = lambda x: F.lit(x) if not isinstance(x, list) else F.array(*map(lit, x))
+    one = F.array(F.array(*(F.element_at(F.array(*map(F.lit, p)), F.col("code")) for p in zip(*_B1, strict=True))))
+    a, moves, emissions = (lit(_A2), lit(_MOVES2), lit(_B2)) if states == 2 else (lit([1.0]), lit([[1.0]]), one)
+    return names.select("obs_id", F.lit(states).alias("K"), F.lit(0).alias("order"), F.lit(1).alias("replicate"), a.alias("initial"), moves.alias("transition"), emissions.alias("emission"))
+
+
+_B1 = [[0.4, 0.3, 0.2, 0.1], [0.1, 0.2, 0.3, 0.4], [0.25, 0.35, 0.15, 0.25]]
+_COMPLEMENT = "CASE WHEN strand = -1 THEN translate(c, 'ACGT', 'TGCA') ELSE c END"
+
+
+@query(
+    f"""SELECT pos_id, count(*) AS n, round(sum(ln(list_extract(list_extract({[[float(x) for x in p] for p in _B1]}, partition_code), instr('ACGT', {_COMPLEMENT})))), 4) AS log_lh, round(sum(p * ln(list_extract(list_extract({[[float(x) for x in p] for p in _B1]}, partition_code), instr('ACGT', {_COMPLEMENT})))) / sum(p), 6) AS weighted
+    FROM (SELECT pos_id, partition_code, strand, p, seq[p] AS c FROM (SELECT pos_id, partition_code, strand, seq, unnest(range(frag_start, frag_end + 1)) AS p FROM frags JOIN v_seqs ON seq_id = pos_id)) GROUP BY 1""",
+    *_NEED_DOCS,
+)
+def background_likelihood_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every base of every document scored from tiles under its partition's model of one state; summed by document, and
+    with its position as weight."""
+    scored = hmm.background_likelihood(_doc_blocks(spark, sf_dir, 0), _partition_models(spark, 1))
+    p = F.col("position").cast("double")
+    return scored.groupBy("pos_id").agg(F.count("*").alias("n"), F.round(F.sum("log_lh"), 4).alias("log_lh"), F.round(F.sum(p * F.col("log_lh")) / F.sum(p), 6).alias("weighted"))
+
+
 @query()
 def background_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every base scored under its partition's model, summed by position."""
-    lit = lambda x: F.lit(x) if not isinstance(x, list) else F.array(*map(lit, x))
-    frags = fragment_by_partition(spark, sf_dir)
-    names = spark.createDataFrame([(p,) for p in intervals.PARTITIONS], "obs_id string")
-    models = names.select("obs_id", F.lit(2).alias("K"), F.lit(0).alias("order"), F.lit(1).alias("replicate"), lit(_A2).alias("initial"), lit(_MOVES2).alias("transition"), lit(_B2).alias("emission"))
-    scored = hmm.background_likelihood(frags, models)
+    """The same with two states, from tiles, in blocks that take up the messages at their edges."""
+    scored = hmm.background_likelihood(_doc_blocks(spark, sf_dir, 0), _partition_models(spark, 2))
     return scored.groupBy("pos_id").agg(F.count("*").alias("n"), F.round(F.sum("log_lh"), 4).alias("log_lh"))
 
 
@@ -662,25 +829,65 @@ def state_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _wide(reports.state_distances(_steps(spark, sf_dir)).withColumn("distance", F.round("distance", 6)))
 
 
-@query()
+_SET = 'obs_id, K, "order"'
+_SQUARES = " + ".join(f"(a.B[s][{i}] - b.B[o][{i}]) * (a.B[s][{i}] - b.B[o][{i}])" for i in range(1, 5))
+_PASSES = [
+    f"""d0 AS (SELECT b.obs_id, b.K, b."order", b.replicate, s AS state, o AS other, sqrt({_SQUARES}) AS distance
+    FROM (SELECT * FROM last QUALIFY replicate = min(replicate) OVER (PARTITION BY {_SET})) a JOIN last b ON a.obs_id = b.obs_id AND a.K = b.K AND a."order" = b."order" AND a.replicate <> b.replicate, range(1, 5) t(s), range(1, 5) u(o) WHERE s <= a.K AND o <= a.K)"""
+]
+for _r in range(1, 5):  # as many passes as the made steps have states
+    _PASSES += [
+        f"n{_r} AS (SELECT * FROM d{_r - 1} QUALIFY row_number() OVER (PARTITION BY {_CHAIN}, state ORDER BY distance, other) = 1)",
+        f"p{_r} AS (SELECT {_SET}, state FROM (SELECT {_SET}, state, sum(distance) AS total FROM n{_r} GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY {_SET} ORDER BY total, state) = 1)",
+        f"m{_r} AS (SELECT {_CHAIN}, {_r}::BIGINT AS rank, state, other FROM n{_r} JOIN p{_r} USING ({_SET}, state))",
+        f"d{_r} AS (SELECT d.* FROM d{_r - 1} d JOIN m{_r} m USING ({_CHAIN}) WHERE d.state <> m.state AND d.other <> m.other)",
+    ]
+_ALONE = f"""matches AS ({" UNION ALL ".join(f"SELECT {_CHAIN}, rank, state, other FROM m{r}" for r in range(1, 5))}
+    UNION ALL SELECT {_CHAIN}, s, s, s FROM (SELECT * FROM last QUALIFY count(*) OVER (PARTITION BY {_SET}) = 1), range(1, 5) t(s) WHERE s <= K)"""
+_MATCHES = (_STEPS, _LAST, *_PASSES, _ALONE)
+
+
+@query(f"SELECT {_CHAIN}, rank, state, other FROM matches", *_MATCHES)
 def match_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.match_states(_steps(spark, sf_dir))
+    return _wide(reports.match_states(_steps(spark, sf_dir)))
 
 
-@query()
+@query(
+    f"""SELECT {_SET}, state, row_number() OVER (PARTITION BY {_SET}, state ORDER BY round(distance, 9), symbol) AS rank, symbol, round(distance, 6) AS distance FROM (
+    SELECT m.obs_id, m.K, m."order", m.state, x AS symbol, sum(abs(l.B[m.other][x] - f.B[m.state][x])) AS distance FROM matches m JOIN last l USING ({_CHAIN})
+    JOIN (SELECT * FROM last QUALIFY replicate = min(replicate) OVER (PARTITION BY {_SET})) f ON f.obs_id = m.obs_id AND f.K = m.K AND f."order" = m."order", range(1, 5) u(x) GROUP BY ALL)""",
+    *_MATCHES,
+)
 def rank_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = _steps(spark, sf_dir)
-    return reports.rank_symbols(steps, reports.match_states(steps))
+    return _wide(reports.rank_symbols(steps, reports.match_states(steps)).withColumn("distance", F.round("distance", 6)))
 
 
-@query()
+@query(
+    f"""SELECT v.obs_id, v.K, v."order", v.replicate, iterate, rank, state, round(A[o][o], 6) AS autotransition, round(B[o][1], 6) AS first FROM (
+    SELECT m.obs_id, m.K, m."order", m.replicate, rank, state, other AS o FROM matches m UNION ALL SELECT DISTINCT m.obs_id, m.K, m."order", f.replicate, rank, state, state FROM matches m
+    JOIN (SELECT {_CHAIN} FROM last QUALIFY replicate = min(replicate) OVER (PARTITION BY {_SET})) f ON f.obs_id = m.obs_id AND f.K = m.K AND f."order" = m."order" WHERE m.replicate <> f.replicate) w JOIN v_steps v USING ({_CHAIN})""",
+    *_MATCHES,
+)
 def replicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.replicate_reports(_steps(spark, sf_dir))
+    rows = reports.replicate_reports(_steps(spark, sf_dir))
+    return _wide(rows.select(*jobs.CHAIN, "iterate", "rank", "state", F.round("autotransition", 6).alias("autotransition"), F.round(F.col("emissions")[0], 6).alias("first")))
 
 
-@query()
+_COORDS = (
+    "many AS (SELECT * FROM last WHERE K >= 3)",
+    f"firsts AS (SELECT obs_id, K AS fk, \"order\" AS fo, replicate AS fr, B AS fb FROM many QUALIFY row_number() OVER (PARTITION BY obs_id ORDER BY {_CHAIN}) = 1)",
+    f"""far AS (SELECT {_CHAIN}, ref, o, sqrt({" + ".join(f"(fb[ref][{i}] - B[o][{i}]) * (fb[ref][{i}] - B[o][{i}])" for i in range(1, 5))}) AS d, K = fk AND "order" = fo AND replicate = fr AS own FROM many JOIN firsts USING (obs_id), range(1, 4) t(ref), range(1, 5) u(o) WHERE o <= many.K)""",
+    f"c1 AS (SELECT {_CHAIN}, own, CASE WHEN own THEN 1 ELSE o END AS o1 FROM far WHERE ref = 1 QUALIFY row_number() OVER (PARTITION BY {_CHAIN} ORDER BY d, o) = 1)",
+    f"c2 AS (SELECT {_CHAIN}, o1, CASE WHEN far.own THEN 2 ELSE o END AS o2 FROM far JOIN c1 USING ({_CHAIN}) WHERE ref = 2 AND o <> o1 QUALIFY row_number() OVER (PARTITION BY {_CHAIN} ORDER BY d, o) = 1)",
+    f"c3 AS (SELECT {_CHAIN}, o1, o2, CASE WHEN own THEN 3 ELSE o END AS o3 FROM far JOIN c2 USING ({_CHAIN}) WHERE ref = 3 AND o <> o1 AND o <> o2 QUALIFY row_number() OVER (PARTITION BY {_CHAIN} ORDER BY d, o) = 1)",
+)
+
+
+@query(f"SELECT {_CHAIN}, iterate, round(B[o1][1], 6) AS x, round(B[o2][1], 6) AS y, round(B[o3][1], 6) AS z FROM v_steps JOIN c3 USING ({_CHAIN})", _STEPS, _LAST, *_COORDS)
 def matched_state_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.matched_state_coords(_steps(spark, sf_dir).where("K >= 3"))
+    rows = reports.matched_state_coords(_steps(spark, sf_dir).where("K >= 3"))
+    return _wide(rows.select(*jobs.CHAIN, "iterate", *(F.round(c, 6).alias(c) for c in "xyz")))
 
 
 @query(

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basewright.sources.shared import shared_path, written  # noqa: F401
+
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 BASES = "ACGTACGTACGTACGTACGTACGTAC"
 BASES_N = "".join("N" if c in "qxz" else b for c, b in zip(LETTERS, BASES, strict=True))
@@ -17,16 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``; a temporary one only where Spark runs on this machine alone."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="checkpoint-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def seqs(spark: SparkSession, sf_dir: str, to: str = BASES) -> DataFrame:
     """(obs_id, seq_id, seq): documents' letters as bases."""
     letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
@@ -60,6 +49,21 @@ def doc_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("seqid"), start.cast("long").alias("start"), end.cast("long").alias("end"), F.when(F.col("l_linestatus") == "O", "+").otherwise("-").alias("strand"))
 
 
+def doc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seqid, type, start, end, strand): features on documents as scaffolds, those of ``doc_regions``."""
+    docs = seqs(spark, sf_dir).select(F.col("seq_id").alias("l_partkey"), F.length("seq").alias("n"))
+    kind = F.when(F.col("l_returnflag") == "A", "gene").when(F.col("l_returnflag") == "R", "CDS").otherwise("exon")
+    start = 1 + (F.col("l_suppkey") * 37) % F.col("n")
+    end = F.least(F.col("n"), start + F.col("l_quantity").cast("long"))
+    strand = F.when(F.col("l_linestatus") == "O", "+").otherwise("-")
+    return table(spark, sf_dir, "lineitem").join(docs, "l_partkey").select(F.col("l_partkey").cast("string").alias("seqid"), kind.alias("type"), start.cast("long").alias("start"), end.cast("long").alias("end"), strand.alias("strand"))
+
+
+def doc_scaffolds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seqid, start, end): documents as scaffolds."""
+    return seqs(spark, sf_dir).select(F.col("seq_id").cast("string").alias("seqid"), F.lit(1).cast("long").alias("start"), F.length("seq").cast("long").alias("end"))
+
+
 def doc_tiles(spark: SparkSession, sf_dir: str, tile: int) -> DataFrame:
     from basewright.sources.genome import tile_scaffolds
 
@@ -77,4 +81,8 @@ _V_SCAFFOLDS = """v_scaffolds AS (
 _V_SEQS = f"""v_seqs AS (
   SELECT lang AS obs_id, doc_id AS seq_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{LETTERS}', '{BASES}') AS seq FROM documents
   WHERE length(regexp_replace(lower(text), '[^a-z]', '', 'g')) > 0)"""
-VIEW_SQL = {"features": _V_FEATURES, "scaffolds": _V_SCAFFOLDS, "seqs": _V_SEQS, "seqs_n": _V_SEQS.replace("v_seqs", "v_seqs_n").replace(BASES, BASES_N)}
+_DOC_FEATURES = """v_features AS (
+  SELECT CAST(l_partkey AS VARCHAR) AS seqid, CASE l_returnflag WHEN 'A' THEN 'gene' WHEN 'R' THEN 'CDS' ELSE 'exon' END AS type, 1 + (l_suppkey * 37) % length(seq) AS "start",
+         least(length(seq), 1 + (l_suppkey * 37) % length(seq) + CAST(l_quantity AS BIGINT)) AS "end", CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand FROM lineitem JOIN v_seqs ON seq_id = l_partkey)"""
+_DOC_SCAFFOLDS = """v_scaffolds AS (SELECT CAST(seq_id AS VARCHAR) AS seqid, CAST(1 AS BIGINT) AS "start", length(seq) AS "end" FROM v_seqs)"""
+VIEW_SQL = {"doc_features": _DOC_FEATURES, "doc_scaffolds": _DOC_SCAFFOLDS, "features": _V_FEATURES, "scaffolds": _V_SCAFFOLDS, "seqs": _V_SEQS, "seqs_n": _V_SEQS.replace("v_seqs", "v_seqs_n").replace(BASES, BASES_N)}
