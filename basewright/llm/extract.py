@@ -4,7 +4,9 @@ A page becomes a tree of its block elements; text between two block boundaries i
 in. Segments pass points for their length and commas to their block and its ancestors, less with each level, and a
 block's points are discounted by its share of link text. The best block, or the container of the text that it lies
 in, is kept whole, and those siblings that score near it or are prose; menus, headers, footers, notices, adverts, forms,
-comments and the like are left out by tag, role or name, but no name leaves out an element around the best block.
+comments and the like are left out by tag, role or name. Names that are also ordinary words only lower points: within
+the container, a section, or an element with a heading, that has a paragraph of prose stays whatever it is called. No
+name leaves out an element around the best block, and lists of dated entries by readers are told by their structure.
 """
 
 from __future__ import annotations
@@ -27,16 +29,23 @@ OUT = frozenset("head nav footer menu dialog".split())
 #: Left out unless the best block lies within.
 OUT_UNLESS_BEST = frozenset("aside form fieldset".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-OUT_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion outbrain taboola"
-    " nav navbar navigation menu breadcrumb breadcrumbs pagination pager masthead toolbar topbar"
-    " footer sidebar aside widget related recommended"
-    " comment comments commentlist disqus respond replies discussion"
-    " cookie cookies consent gdpr notice popup modal overlay alert disclaimer"
-    " share sharing social newsletter subscribe subscription signup login form".split()
+#: Names that leave out an element whatever else its class or id says.
+SURE_NAMES = frozenset("comment comments commentlist disqus adsense outbrain taboola sidebar navbar navigation breadcrumb breadcrumbs pagination newsletter gdpr advertisement advertising adverts".split())
+#: Names that do so if there are but these and qualifiers, as they may be parts of others.
+OUT_NAMES = frozenset("ad ads adv advert banner sponsor sponsored promo nav pager masthead topbar aside cookie cookies consent rail login".split())
+#: As OUT_NAMES, but ordinary words, which may name a part of an article.
+MAYBE_NAMES = frozenset("promotion menu toolbar footer widget related recommended respond replies discussion notice popup modal overlay alert disclaimer share sharing social subscribe subscription signup form".split())
+#: What may stand beside them, so that "form-factor" or "share-price" do not count.
+QUALIFIERS = frozenset(
+    "left right top bottom main site page global primary secondary inner outer list area box container wrapper wrap section block item items bar button buttons link links unit slot content post posts article articles story stories the"
+    " this now more reading reader user trail card info law thread google news sign up in".split()
 )
-#: A class or id counts if its parts are names of OUT_NAMES and of these only, so "form-factor" or "has-sidebar" do not.
-QUALIFIERS = frozenset("left right top bottom main site page global primary secondary inner outer list area box container wrapper wrap section block item items bar button buttons link links unit slot content posts articles stories the".split())
+#: Parts that turn a name into its opposite.
+DENIALS = frozenset("has no with without not non is".split())
+#: Characters of a paragraph of prose.
+PROSE = 80
+_DATED = re.compile(r"\b\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b|\b\d{1,2}:\d{2}\b|\b\d+ \w+ ago\b")
+_ENDS = (".", "!", "?", "…", "。")
 #: What points of text within a named element are multiplied by.
 NAMED = 0.1
 #: What starts an element ends an open one of these.
@@ -50,14 +59,19 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+
+
 class Block:
-    __slots__ = ("chars", "inside", "link_chars", "named", "out", "parent", "points", "tag", "within")
+    __slots__ = ("chars", "dated", "headed", "inside", "link_chars", "named", "others", "out", "parent", "points", "prose", "tag", "within")
 
-    def __init__(self, tag: str, parent: Block | None, out: bool, named: bool = False):
-        self.tag, self.parent, self.out, self.named = tag, parent, out, named
+    def __init__(self, tag: str, parent: Block | None, out: bool, named: int = 0):
+        self.tag, self.parent, self.out, self.named = tag, parent, out, named  # named: 1 by an ordinary word, 2 surely
         self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
-        self.within = named + (0 if parent is None else parent.within)  # named elements around, itself included
+        self.within = (named > 0) + (0 if parent is None else parent.within)  # named elements around, itself included
         self.points, self.chars, self.link_chars = 0.0, 0, 0
+        self.prose = self.headed = False  # has a paragraph of prose, a heading
+        self.dated = self.others = 0  # segments that are short and dated, and others
 
 
 def _names(value: str) -> Iterator[set[str]]:
@@ -65,23 +79,32 @@ def _names(value: str) -> Iterator[set[str]]:
         yield {x.lower() for x in _NAME.findall(token)}
 
 
-def _left_out(tag: str, attributes: str, parent: Block) -> tuple[bool, bool]:
-    """Whether an element is left out in any case, and whether it is unless the best block lies within."""
+def _named(parts: set[str], inside: bool) -> int:
+    if parts & DENIALS:
+        return 0
+    if parts & SURE_NAMES:
+        return 2
+    names = parts & (OUT_NAMES | MAYBE_NAMES)
+    if names and parts <= names | QUALIFIERS:
+        return 2 if names & OUT_NAMES else 1
+    return 2 if "header" in parts and parts <= QUALIFIERS | {"header"} and not inside else 0
+
+
+def _left_out(tag: str, attributes: str, parent: Block) -> tuple[bool, int]:
+    """Whether an element is left out in any case, and how surely its name, tag or role leaves it out otherwise."""
     if tag in OUT or (tag == "header" and not parent.inside):
-        return True, False
-    named = tag in OUT_UNLESS_BEST
+        return True, 0
+    named = 2 if tag in OUT_UNLESS_BEST else 0
     if not attributes or tag in ("html", "body", "article", "main"):
         return False, named
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
-            return True, False
+            return True, 0
         if name == "role" and value.lower() in OUT_ROLES:
-            named = True
+            named = 2
         if name in ("class", "id"):
-            for parts in _names(value):
-                if (parts & OUT_NAMES and parts <= OUT_NAMES | QUALIFIERS) or ("header" in parts and parts <= QUALIFIERS | {"header"} and not parent.inside):
-                    named = True
+            named = max([named, *(_named(parts, parent.inside) for parts in _names(value))])
     return False, named
 
 
@@ -182,25 +205,30 @@ def _container(best: Block) -> Block:
     return top
 
 
-HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-
-
 def main_text(page: str) -> str:
     """Blocks of the main text, joined by an empty line; empty if there is none."""
     found = segments(page)
     if not found:
         return ""
     scored: dict[int, Block] = {}
+    every: dict[int, Block] = {}
     for block, text, links in found:
         points = (1 if len(text) >= 25 else 0) + min(len(text) / 100, 3) + 0.5 * (text.count(",") + text.count("、") + text.count("，"))
         points *= (1 - links / len(text)) * NAMED ** min(block.within, 4)
         at, level = block, 0
+        prose, headed = len(text) >= PROSE and text.endswith(_ENDS) and links < 0.25 * len(text), block.tag in HEADINGS
+        dated = len(text) <= 60 and _DATED.search(text) is not None
         while at is not None:
             at.chars += len(text)
             at.link_chars += links
+            at.prose |= prose
+            at.headed |= headed
+            at.dated += dated
+            at.others += not dated
             if level < 6:  # farther ancestors get nothing that matters
                 at.points += points / (1, 1, 2, 4, 8, 16)[level]
                 scored[id(at)] = at
+            every[id(at)] = at
             at, level = at.parent, level + 1
     containers = [b for b in scored.values() if b.tag not in ("p", *HEADINGS, "li", "html")] or list(scored.values())
     bonus = {"article": 25.0, "main": 15.0}
@@ -209,10 +237,34 @@ def main_text(page: str) -> str:
         return (b.points + bonus.get(b.tag, 0.0) * NAMED ** min(b.within, 4)) * (1 - b.link_chars / b.chars)
 
     best = max(containers, key=score)  # of equals the first, which is the inner one
+    around: set[int] = set()
     at: Block | None = best
     while at is not None:  # no name leaves out the best block
-        at.named, at = False, at.parent
+        around.add(id(at))
+        at.named, at = 0, at.parent
     top = _container(best)
+    lists: dict[int, list[Block]] = {}
+    known = {id(top): True}
+
+    def lies_in(b: Block) -> bool:
+        """Whether a block lies in the container."""
+        path = []
+        while b is not None and id(b) not in known:
+            path.append(id(b))
+            b = b.parent
+        found = b is not None and known[id(b)]
+        known.update(dict.fromkeys(path, found))
+        return found
+
+    for b in every.values():
+        if b.parent is not None and b.tag in ("li", "div", "article", "section", "dd"):
+            lists.setdefault(id(b.parent), []).append(b)
+        if b.named == 1 and b.prose and (b.headed or b.tag == "section") and b.link_chars < 0.25 * b.chars and lies_in(b):
+            b.named = 0  # a part of the article with such a title
+    for b in every.values():  # entries of a name and a date and something said, several of a kind
+        entries = lists.get(id(b), [])
+        if id(b) not in around and len(entries) >= 2 and all(x.dated == 1 and 1 <= x.others <= 6 and not x.headed for x in entries):
+            b.named = 2
     whole, near = top.tag in ("article", "main"), 0.2 * score(best)
     kept = {id(top)}
     last: dict[int, str] = {}
@@ -225,7 +277,7 @@ def main_text(page: str) -> str:
     for b in scored.values():
         if b is top or b.parent is not top.parent or b.tag == "html" or b.named or b.link_chars >= 0.25 * b.chars:
             continue
-        ends = last.get(id(b), "").endswith((".", "!", "?", "…", "。"))
+        ends = last.get(id(b), "").endswith(_ENDS)
         prose = b.tag in ("section", "blockquote", "pre", "table", "ul", "ol", *HEADINGS) or (b.tag in ("p", "div") and ends)
         if score(b) >= near or b.tag == "h1" or (prose and not whole) or (b.tag in ("p", "h2") and b.chars > 80):
             kept.add(id(b))

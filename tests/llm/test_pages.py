@@ -49,6 +49,39 @@ def test_names_leave_out_no_article_text():
     assert text(f"<article>{p}<p>a <math><mi>x</mi></math> and <button>press</button></p></article>")[-1] == "a x and press"
 
 
+PARA = "A sentence with words, commas, and more words that go on and on, until it is long enough to count. " * 3
+
+
+def test_side_matter_by_names_with_other_words():
+    said = "I do not agree with this at all, said a reader, and went on for a while about other things."
+    names = "reader-comments article-comments post-comments user-comments comment-thread google-ads article-sidebar cookie-law-info related-reading share-this subscribe-now breadcrumb-trail promo-card left-rail qwertz-comments"
+    for name in names.split():
+        side = f"<div class='{name}'><p>{said}</p></div>"
+        for page in (f"<article><p>{PARA}</p>{side}<p>{PARA}</p></article>", f"<body><div><p>{PARA}</p><p>{PARA}</p></div>{side}</body>"):
+            assert extract.main_text(page).split("\n\n") == [PARA.strip()] * 2, name
+
+
+def test_parts_of_an_article_with_such_names_stay():
+    for name in "discussion respond notice share menu related signup alert footer social".split():
+        part = f"<section id='{name}'><p>{PARA}</p></section>"
+        assert extract.main_text(f"<article><p>{PARA}</p>{part}</article>").split("\n\n") == [PARA.strip()] * 2, name
+        part = f"<div class='{name}'><h2>A part</h2><p>{PARA}</p></div>"
+        assert extract.main_text(f"<article><p>{PARA}</p>{part}<p>End.</p></article>").split("\n\n") == [PARA.strip(), "A part", PARA.strip(), "End."], name
+    for name in "no-sidebar has-ads without-comments cookie-recipe rail-transport share-price form-factor".split():
+        assert extract.main_text(f"<article><p>{PARA}</p><div class='{name}'><p>{PARA}</p></div></article>").split("\n\n") == [PARA.strip()] * 2, name
+
+
+def test_entries_of_readers_by_structure():
+    rng = random.Random(3)
+    for _ in range(40):
+        word = "".join(rng.choice("bcdfghjklm") for _ in range(7))
+        entries = "".join(f"<div class='{word}'><p>{rng.choice(['Ann', 'Bo'])} {rng.choice(['2021-03-04', 'at 12:30', '3 days ago'])}</p><p>I think, {rng.choice(['well', 'hm'])}, that this is right.</p></div>" for _ in range(rng.randrange(2, 6)))
+        page = f"<article><h1>Title</h1><p>{PARA}</p><p>{PARA}</p><div class='{word}x'>{entries}</div></article>"
+        assert extract.main_text(page).split("\n\n") == ["Title", *[PARA.strip()] * 2]
+    events = "".join(f"<li>1{i}:30 opening of part {i}</li>" for i in range(4))
+    assert len(extract.main_text(f"<article><p>{PARA}</p><ul>{events}</ul></article>").split("\n\n")) == 5
+
+
 def random_page(rng):
     """A page and its main text."""
     sentence = lambda: " ".join(rng.choice(["word", "other", "thing", "more"]) + rng.choice(["", "", ","]) for _ in range(rng.randrange(6, 20))).rstrip(",") + "."
@@ -64,9 +97,9 @@ def random_page(rng):
         inner += "".join(block("p", " ".join(sentence() for _ in range(rng.randrange(1, 5)))) for _ in range(rng.randrange(1, 5)))
         if rng.random() < 0.3:
             inner += "<ul>" + "".join(block("li", sentence()) for _ in range(3)) + "</ul>"
-        body.append(rng.choice(["{}", "<section>{}</section>", "<div class='part share-price'>{}</div>"]).format(inner))
+        body.append(rng.choice(["{}", "<section>{}</section>", "<div class='part share-price'>{}</div>", "<div class='%s'>{}</div>" % "".join(rng.choice("bcdfgh") for _ in range(6))]).format(inner))
         if rng.random() < 0.4:
-            name = rng.choice(["ad", "comments", "share-buttons", "related-posts", "newsletter signup", "sidebar-right"])
+            name = rng.choice(["ad", "comments", "share-buttons", "related-posts", "newsletter signup", "sidebar-right", "%s-comments" % "".join(rng.choice("bcdfgh") for _ in range(6))])
             body.append(f"<div class='{name}'><p>{sentence()}</p></div>")
         if rng.random() < 0.2:
             body.append(rng.choice(["<form><p>{}</p></form>", "<aside>{}</aside>", "<script>{}</script>", "<nav>{}</nav>"]).format(sentence()))
@@ -199,7 +232,7 @@ def test_page_queries_against_sql(spark):
     if not os.path.isdir(d):
         pytest.skip("no test tables")
     c = duckdb.connect()
-    for t in ("pages", "documents", "labels"):
+    for t in ("pages", "documents", "labels", "benchmark", "conversations"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     for name in ORACLE_SQL:
         df, want = QUERIES[name](spark, d), c.sql(ORACLE_SQL[name])
