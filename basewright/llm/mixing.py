@@ -3,9 +3,12 @@
 A softmax classifier over hashed words and character patterns, fitted on a bounded sample of labelled rows, gives
 every document posteriors over domains. Document rates r >= 0 are fitted so that the expected tokens of each domain,
 sum of r * tokens * posterior, meet targets: the least sum of the squared deviations, each relative to what the
-domain holds, plus RIDGE times the token-weighted squared distance of the rates from 1. At the optimum a rate is
-1 - (posterior . deviations) / RIDGE within its bounds, so only one number per domain is sought, by Newton steps on
-the dual: a step needs a few sums per domain over all documents, and nothing but these numbers is kept between steps.
+domain holds, plus RIDGE times the token-weighted squared distance of the rates from 1.
+
+The fit is projected gradient descent, spread over the documents: a step takes from every rate its gradient, which needs
+the domains' deviations only, times a step size, and sets what falls below 0 to 0. Step sizes are spectral (Barzilai and
+Borwein's) with a non-monotone search. A rate follows from the steps made, a few numbers each, so nothing is kept for
+the documents between steps, and a step sends a few sums a task.
 """
 
 from __future__ import annotations
@@ -25,17 +28,18 @@ from basewright.llm.common import slices, table, text_or_empty, utf8, written
 MOST_LABELLED = 20_000
 BUCKETS = 1 << 15
 DOMAINS = ("clean", "toxic", "low", "low_toxic")
-#: Target tokens of each domain, as shares of what the corpus is expected to hold. With rates of MAX_RATE at most clean
-#: text cannot grow, and as posteriors are never 0, some of it goes with the rest, and some of each domain stays.
+#: Target tokens of each domain, as shares of what the corpus is expected to hold. As posteriors are never 0, some clean
+#: text goes with the rest, and some of each domain stays.
 TARGETS = {"clean": 0.98, "toxic": 0.25, "low": 0.25, "low_toxic": 0.1}
-MAX_RATE = 1.0
 RIDGE = 0.002
-#: Newton steps at most; some ten are needed.
-STEPS = 200
-#: The fit ends when no domain's relative deviation differs by more from the one its rates were made of (KKT residual).
+#: Steps at most; sharp posteriors need some ten, domains that overlap a hundred.
+STEPS = 400
+#: The fit ends when no document's rate would be moved by more by a step of size 1.
 TOLERANCE = 1e-6
-#: Shares of a Newton step that are tried in the same pass.
-SHARES = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 1e-3, 1e-4)
+#: Shares of a step's size that are tried in the same pass.
+SHARES = (1.0, 0.25, 0.06, 0.01, 1e-3)
+#: A step may not make the objective greater than the greatest of the last so many.
+MEMORY = 10
 
 _KINDS = bytes(97 if c >= 128 or 97 <= c <= 122 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
 
@@ -137,72 +141,85 @@ def posteriors(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def rate_after(deviations: list[np.ndarray], step: float, ridge: float, max_rate: float | None) -> Column:
-    """The rate after the steps whose domain deviations are given, from a rate of 1, as a function of _posterior."""
-    if not deviations:
+Steps = list[tuple[float, np.ndarray]]
+
+
+def rate_after(past: Steps, ridge: float, max_rate: float | None) -> Column:
+    """The rate after the steps whose sizes and domain deviations are given, from a rate of 1, as a function of
+    _posterior."""
+    if not past:
         return F.lit(1.0)
 
-    def move(r: Column, d: Column) -> Column:
-        dot = sum((F.col("_posterior")[i] * d[i] for i in range(1, len(deviations[0]))), F.col("_posterior")[0] * d[0])
-        r = F.greatest(F.lit(0.0), r * (1 - step * ridge) + step * ridge - step * dot)
+    def move(r: Column, x: Column) -> Column:
+        dot = sum((F.col("_posterior")[i] * x[i + 1] for i in range(1, len(past[0][1]))), F.col("_posterior")[0] * x[1])
+        r = F.greatest(F.lit(0.0), r - x[0] * (dot + ridge * (r - 1)))
         return r if max_rate is None else F.least(F.lit(float(max_rate)), r)
 
-    return F.aggregate(F.lit([d.tolist() for d in deviations]), F.lit(1.0), move)
+    return F.aggregate(F.lit([[size, *d.tolist()] for size, d in past]), F.lit(1.0), move)
 
 
-def _sums(members: DataFrame, tries: list[np.ndarray], ridge: float, max_rate: float | None, n: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """For each of the domain deviations tried: expected domain tokens at the rates they make, these tokens by pairs of
-    domains for rates between their bounds, and the documents' part of the dual. A row of sums comes from each task."""
-    most, width = np.inf if max_rate is None else max_rate, n + n * n + 1
+def _tried(members: DataFrame, past: Steps, deviations: np.ndarray, sizes: list[float], ridge: float, max_rate: float | None) -> tuple[list[tuple[np.ndarray, float, float]], float]:
+    """For a step of each size after ``past``: expected domain tokens, and the token-weighted squares of what rates move
+    by and of their distance from 1; and the most that a step of size 1 would move a rate. A row of sums a task and size."""
+    most, n = np.inf if max_rate is None else max_rate, len(deviations)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(tries), width))
+        total, far = np.zeros((len(sizes), n + 2)), 0.0
         for batch in batches:
             tokens, p = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, n)
-            for out, d in zip(total, tries, strict=True):
-                dot = p @ d
-                free = 1 - dot / ridge
-                r = np.clip(free, 0, most)
-                out[:n] += (r * tokens) @ p
-                inside = p[(free > 0) & (free < most)]
-                out[n:-1] += (inside.T @ (inside * tokens[(free > 0) & (free < most), None])).ravel()
-                out[-1] += tokens @ (r * dot + ridge / 2 * (r - 1) ** 2)
-        yield pa.RecordBatch.from_arrays([pa.array(range(total.size), pa.int32()), pa.array(total.ravel())], ["d", "s"])
-
-    out = np.zeros((len(tries), width))
-    for d, s in members.select("_tokens", "_posterior").mapInArrow(run, "d int, s double").groupBy("d").agg(F.sum("s")).collect():
-        out.ravel()[d] = s
-    return [(x[:n], x[n:-1].reshape(n, n), x[-1]) for x in out]
-
-
-def fit_rates(members: DataFrame, present: np.ndarray, targets: np.ndarray, ridge: float = RIDGE, max_rate: float | None = None, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], float, np.ndarray]:
-    """(deviations that make the rates, one row; step size; expected domain tokens reached) for ``members(_tokens, _posterior)``.
-
-    Minimises sum_d (S_d - T_d)^2 / (2 P_d) + ridge / 2 * sum_i n_i (r_i - 1)^2 over rates between 0 and max_rate,
-    with S_d the expected tokens of domain d, and P_d those at rates of 1 (``present``); ridge > 0. The rates are
-    those of the deviations y, and it is their optimum where y_d = (S_d - T_d) / P_d: the maximum of the dual, which
-    is concave. A fit that does not come within the tolerance is an error.
-    """
-    n = len(targets)
-    scale = np.maximum(present, 1e-9)
+            r = np.ones(len(tokens))
+            for size, d in past:
+                r = np.clip(r - size * (p @ d + ridge * (r - 1)), 0, most)
+            gradient = p @ deviations + ridge * (r - 1)
+            far = max(far, np.abs(np.clip(r - gradient, 0, most) - r).max(initial=0))
+            for out, size in zip(total, sizes, strict=True):
+                new = np.clip(r - size * gradient, 0, most)
+                out[:n] += (new * tokens) @ p
+                out[n] += tokens @ (new - r) ** 2
+                out[n + 1] += tokens @ (new - 1) ** 2
+        yield pa.RecordBatch.from_arrays([pa.array(range(total.size + 1), pa.int32()), pa.array([*total.ravel(), far])], ["d", "s"])
+
+    out, far = np.zeros((len(sizes), n + 2)), 0.0
+    for d, total, most_ in members.select("_tokens", "_posterior").mapInArrow(run, "d int, s double").groupBy("d").agg(F.sum("s"), F.max("s")).collect():
+        if d < out.size:
+            out.ravel()[d] = total
+        else:
+            far = most_
+    return [(x[:n], x[n], x[n + 1]) for x in out], far
 
-    def tried(tries: list[np.ndarray]) -> list[tuple]:
-        """(dual, residual, y, S, Hessian) of each."""
-        found = zip(tries, _sums(members, tries, ridge, max_rate, n), strict=True)
-        return [(part - y @ targets - scale @ y**2 / 2, np.abs(y - (s - targets) / scale).max(), y, s, np.diag(scale) + pairs / ridge) for y, (s, pairs, part) in found]
 
-    (now,) = tried([np.zeros(n)])
+def expected_tokens(members: DataFrame, n: int) -> np.ndarray:
+    """Tokens by domain at rates of 1."""
+    return _tried(members, [], np.zeros(n), [0.0], 0.0, None)[0][0][0]
+
+
+def fit_rates(members: DataFrame, present: np.ndarray, targets: np.ndarray, ridge: float = RIDGE, max_rate: float | None = None, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[Steps, np.ndarray]:
+    """(steps that make the rates, expected domain tokens reached) for ``members(_tokens, _posterior)``.
+
+    Minimises sum_d (S_d - T_d)^2 / (2 P_d) + ridge / 2 * sum_i n_i (r_i - 1)^2 over rates of 0 and more (max_rate at
+    most, if given), with S_d the expected tokens of domain d, and P_d those at rates of 1 (``present``); ridge > 0. A
+    fit that does not come within the tolerance is an error.
+    """
+    scale = np.maximum(present, 1e-9)
+    value = lambda s, q: float(((s - targets) ** 2 / (2 * scale)).sum() + ridge / 2 * q)
+    past: Steps = []
+    reached, values, size = present, [value(present, 0.0)], 1.0
     for _ in range(steps):
-        _, residual, y, reached, hessian = now
-        if residual < tolerance:
-            break
-        move = np.linalg.solve(hessian, reached - targets - scale * y)
-        each = tried([y + share * move for share in SHARES])
-        best = max(x[0] for x in each)
-        now = min((x for x in each if x[0] >= best - 1e-13 * (abs(best) + scale.sum() * ridge)), key=lambda x: x[1])
-    if now[1] >= tolerance:
-        raise ArithmeticError(f"rates not fitted within {steps} steps: residual {now[1]}")
-    return [now[2]], 1 / ridge, now[3]
+        deviations = (reached - targets) / scale
+        sizes = [size * share for share in SHARES]
+        tried, far = _tried(members, past, deviations, sizes, ridge, max_rate)
+        if far < tolerance:
+            return past, reached
+        limit = max(values[-MEMORY:]) + 1e-12 * abs(values[0])
+        good = [i for i, (s, moved, q) in enumerate(tried) if value(s, q) <= limit - 1e-4 / sizes[i] * moved]
+        at = good[0] if good else len(sizes) - 1
+        new, moved, q = tried[at]
+        bend = float(((new - reached) ** 2 / scale).sum() + ridge * moved)
+        past.append((sizes[at], deviations))
+        size = min(max(moved / bend, 1e-3), 1 / ridge) if bend > 0 else 1.0
+        reached = new
+        values.append(value(new, q))
+    raise ArithmeticError(f"rates not fitted within {steps} steps: a step of size 1 would move one by {far}")
 
 
 def label_domains(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
@@ -214,11 +231,11 @@ def label_domains(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
     return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "domain")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float | None = MAX_RATE, ridge: float = RIDGE, steps: int = STEPS, keep_text: bool = True) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float | None = None, ridge: float = RIDGE, steps: int = STEPS, keep_text: bool = True) -> DataFrame:
     """``docs(doc_id, text, ...)`` (its text only if ``keep_text``) with n_tokens (words), posterior, rate, expected_share and target_share.
 
-    targets: for each domain, its tokens wanted as a share of those expected at a rate of 1. max_rate None: only
-    rates >= 0, as for corpora that may repeat documents. Null text has no tokens and the classifier's constant
+    targets: for each domain, its tokens wanted as a share of those expected at a rate of 1. max_rate: a bound of the
+    rates, as 1 for corpora that may not repeat documents; none but 0 below if null. Null text has no tokens and the classifier's constant
     posterior. Without labels all domains are equally likely. Namesakes among the other columns are replaced,
     and _tokens and _posterior dropped; repeated rows have their own rates, equal ones; an empty table stays empty.
     """
@@ -227,12 +244,12 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     whole = posteriors(docs, weights)
     whole = written(whole if keep_text else whole.drop("text"))
     members = whole.select("_tokens", "_posterior")
-    present = _sums(members, [np.zeros(len(DOMAINS))], ridge, None, len(DOMAINS))[0][0]
+    present = expected_tokens(members, len(DOMAINS))
     wanted = present * np.array([targets[d] for d in DOMAINS])
-    past, step, reached = fit_rates(members, present, wanted, ridge, max_rate, steps)
+    past, reached = fit_rates(members, present, wanted, ridge, max_rate, steps)
     total = max(present.sum(), 1.0)
     return whole.select(
-        *(c for c in docs.columns if keep_text or c != "text"), F.col("_tokens").alias("n_tokens"), F.col("_posterior").alias("posterior"), rate_after(past, step, ridge, max_rate).alias("rate"),
+        *(c for c in docs.columns if keep_text or c != "text"), F.col("_tokens").alias("n_tokens"), F.col("_posterior").alias("posterior"), rate_after(past, ridge, max_rate).alias("rate"),
         F.lit((reached / total).tolist()).alias("expected_share"), F.lit((wanted / total).tolist()).alias("target_share"),
     )
 

@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_main_text,
         op5_quality,
         risk_rules.op6_quality_rules,
+        risk_rules.quality_rules_loose,
         op7_mixing,
         url_filter.op8_url_filter,
         op9_near_duplicates,
@@ -37,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_revisits": revisit.ORACLE_SQL,
     "op6_quality_rules": risk_rules.ORACLE_SQL,
+    "quality_rules_loose": risk_rules.LOOSE_SQL,
     "op8_url_filter": url_filter.ORACLE_SQL,
     "op11_reversed_search": reversed_search.ORACLE_SQL,
     "op12_repeated_passages": repeats.ORACLE_SQL,

@@ -77,7 +77,7 @@ def test_nodes_against_all_prefixes(spark, segment, shard_turns):
 def test_tree_is_searched_in_few_steps():
     tree = prefix_trie.Tree()
     for i in prefix_trie.medians(1000):
-        tree.insert(["", i], [0, 1], [i], True, (0, 0, 0))
+        tree.insert(["", i], [0, 1], [i], [i], (0, 0, 0))
     depth = {0: 0}
     for node in range(len(tree.value)):
         for link in (tree.less, tree.more, tree.down):

@@ -256,12 +256,13 @@ def test_rates_meet_targets(spark):
     members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "_tokens long, _posterior array<double>")
     present = (n[:, None] * p).sum(0)
     targets = present * np.array([1.5, 0.5, 0.2])
-    past, step, reached = mixing.fit_rates(members, present, targets, ridge=1e-4, max_rate=None, steps=150, tolerance=1e-9)
+    past, reached = mixing.fit_rates(members, present, targets, ridge=1e-4, tolerance=1e-7)
     assert np.allclose(reached, targets, rtol=0.02)
     r = np.ones(400)
-    for d in past:
-        r = np.maximum(0, r * (1 - step * 1e-4) + step * 1e-4 - step * p @ d)
-    got = np.array([x[0] for x in members.select(mixing.rate_after(past, step, 1e-4, None)).collect()])
+    for size, d in past:
+        r = np.maximum(0, r - size * (p @ d + 1e-4 * (r - 1)))
+    got = np.array([x[0] for x in members.select(mixing.rate_after(past, 1e-4, None)).collect()])
+    assert r.max() > 1  # no bound but 0
     assert np.allclose(np.sort(got), np.sort(r)) and (got >= 0).all()
 
 
@@ -273,14 +274,16 @@ def test_rates_meet_targets_with_production_parameters(spark):
     members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "_tokens long, _posterior array<double>")
     present = (n[:, None] * p).sum(0)
     targets = (n * np.where(own == 0, 0.95, 0.4)) @ p  # met by rates within the bounds
-    past, step, reached = mixing.fit_rates(members, present, targets, max_rate=mixing.MAX_RATE)
+    past, reached = mixing.fit_rates(members, present, targets, max_rate=1.0)
     r = np.ones(2000)
-    for d in past:
-        r = np.clip(r * (1 - step * mixing.RIDGE) + step * mixing.RIDGE - step * p @ d, 0, mixing.MAX_RATE)
+    for size, d in past:
+        r = np.clip(r - size * (p @ d + mixing.RIDGE * (r - 1)), 0, 1)
     assert np.allclose(reached, (r * n) @ p) and np.allclose(reached, targets, rtol=0.01)  # RIDGE holds the rest back
     deviation = (reached - targets) / present
     gradient = p @ deviation + mixing.RIDGE * (r - 1)
-    assert np.abs(np.clip(r - gradient, 0, mixing.MAX_RATE) - r).max() < 1e-5
+    assert np.abs(np.clip(r - gradient, 0, 1) - r).max() < 1e-5
+    with pytest.raises(ArithmeticError):
+        mixing.fit_rates(members, present, targets, max_rate=1.0, steps=2)
 
 
 def test_mixing_reaches_its_targets(spark):
@@ -299,12 +302,12 @@ def test_mixing_and_applying(spark):
     docs = [(i, " ".join(word() for _ in range(30)) + (" idiot trash" if i % 4 == 0 else "")) for i in range(400)] + [(900, None), (901, "")]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("rate", F.lit("clash"))
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(0, 400, 2)] + [(None, 1, 1), (3, None, 0)], "doc_id long, quality int, toxic int")
-    got = {r["doc_id"]: r for r in mixing.mix(df, labels).collect()}
+    got = {r["doc_id"]: r for r in mixing.mix(df, labels, max_rate=1.0).collect()}
     rest = [i for i in range(1, 400, 2)]
     assert len(got) == 402 and np.mean([got[i]["rate"] for i in rest]) > 0.95
     assert np.mean([got[i]["rate"] for i in range(0, 400, 4)]) < 0.5
     assert got[900]["n_tokens"] == 0
-    kept = mixing.apply_rates(mixing.mix(df, labels)).select("doc_id", "text").collect()
+    kept = mixing.apply_rates(mixing.mix(df, labels, max_rate=1.0)).select("doc_id", "text").collect()
     assert len({r["doc_id"] for r in kept}) == len(kept) < 402
     flat = mixing.mix(df, labels.limit(0)).select("posterior").first()[0]
     assert np.allclose(flat, 0.25)
