@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,3 +59,19 @@ def code_job_obs(jobs: DataFrame, obs: DataFrame) -> DataFrame:
     need = jobs.select("obs_id", "order").distinct()
     rows = obs.where(~F.col("seq").rlike("[^ACGT]")).join(need, "obs_id").where(F.length("seq") > F.col("order"))
     return code_sequences(rows.select("obs_id", "order", "seq_id", "seq"))
+
+
+def balanced(coded: DataFrame, parts: int | None = None, buckets: int = 4096) -> DataFrame:
+    """``coded(seq_id, codes, ...)`` in partitions of about equal numbers of codes, whatever the sequences' lengths:
+    sequences go by a hash into many small buckets, and these, in order, into partitions by running sums of their codes.
+    Where ``parts`` is not given there are as many as a shuffle has. A sequence longer than a partition's share stays
+    whole; ``blocks.cut_blocks`` cuts such."""
+    parts = parts or int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = coded.withColumn("_bucket", F.pmod(F.xxhash64(*(c for c in ("obs_id", "order", "seq_id", "block") if c in coded.columns)), F.lit(buckets)))
+    sums = rows.groupBy("_bucket").agg(F.sum(F.coalesce(F.size("codes"), F.lit(0)).cast("long") + 1).alias("_sum"))  # a row a bucket
+    over = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    middle = F.sum("_sum").over(over) - F.col("_sum") / 2
+    total = F.sum("_sum").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    part = F.least(F.floor(middle * parts / total), F.lit(parts - 1)).cast("int")
+    placed = rows.join(F.broadcast(sums.select("_bucket", part.alias("_part"))), "_bucket")
+    return placed.repartitionById(parts, F.col("_part")).select(*coded.columns)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basewright.operators import kernels
+from basewright.operators.coding import balanced, code_sequences
 from basewright.operators.jobs import CHAIN, plan_training
 from basewright.sources.genome import STEPS, begin_run, read_chain_steps, write_iteration
 
@@ -239,7 +240,7 @@ def train(jobs: DataFrame, obs: DataFrame, steps: DataFrame, initial: DataFrame,
         at[chain], last[chain] = (0, None) if new else (r["iterate"], r["log_p"])
         if at[chain] >= max_iterates:
             raise ValueError(f"{chain} has {at[chain]} steps already")
-    obs = obs.persist()
+    obs = balanced(obs).persist()
     log = None if path is None else begin_run(spark, path, steps)
     out, made = [], set()
     while models:
@@ -293,8 +294,6 @@ def background_likelihood(fragments: DataFrame, models: DataFrame | Models, orde
     error. The k-mer is scored at its first base in the fragment's orientation; its last ``order`` bases have no row. A
     single last base of a sequence is scored as any other.
     """
-    from basewright.operators.coding import code_sequences
-
     keys = list(models) if isinstance(models, dict) else [tuple(r) for r in models.select(*CHAIN).collect()]
     live, blocks = collected(models), "block" in fragments.columns
     names = F.when(F.col("partition_code") == 1, "intergenic").when(F.col("partition_code") == 2, "periexonic").otherwise("exon")

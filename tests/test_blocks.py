@@ -84,6 +84,16 @@ def test_models_go_in_packs(spark, monkeypatch):
     assert hmm.obs_log_likelihood(obs, ms).count() == 6
 
 
+def test_partitions_hold_like_numbers_of_codes(spark):
+    rng = np.random.default_rng(2)
+    rows = [("x", 0, i, [1] * int(n)) for i, n in enumerate(np.minimum(2000, rng.pareto(0.8, 3000) * 5))]
+    df = spark.createDataFrame(rows, OBS).repartition(1)
+    out = coding.balanced(df, 8)
+    sums = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.sum(F.size("codes")).alias("n")).collect()]
+    assert len(sums) == 8 and max(sums) < 2 * np.median(sums)
+    assert rounded(out.collect(), "seq_id", "codes") == rounded(df.collect(), "seq_id", "codes")
+
+
 def test_a_killed_run_leaves_no_step_twice(spark, tmp_path):
     obs = spark.createDataFrame([("p", 0, 1, [4, 3, 3, 2, 3, 2, 1, 1, 2, 3, 3]), ("p", 0, 2, [1, 2, 3, 4, 1, 2])], OBS)
     grid = jobs.job_grid(obs.select("obs_id"), (1, 2), (0,), 1)
