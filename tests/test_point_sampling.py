@@ -80,7 +80,7 @@ def test_samples_at_points_reach_the_budget_or_all_there_is(spark):
         assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False)) and all(20 <= b - a + 1 <= 120 for a, b in spans)
     sums = {p: sum(r["end"] - r["start"] + 1 for r in got if r["partition"] == p) for p in ("big", "small")}
     assert 500 <= sums["big"] < 620 and 200 < sums["small"] <= 400
-    assert len({r["start"] % 60 for r in got}) > 5  # not at fixed places
+    assert len({r["start"] % 120 for r in got}) > 2  # not at fixed places
 
 
 @pytest.mark.parametrize("kind", ["far", "tied"])
