@@ -8,6 +8,9 @@ with probability c and is then the least of its block as well with at least 1/3,
 document its shingles stand, and 32 functions miss it with (1 - 0.8/3)^32 < 5e-5 at c = 0.8. Comparing whole long
 documents would need thousands.
 
+Items of fewer than five words have no such shingle. They are runs of one to four words, looked up at every place of
+a document by their own length.
+
 Keys of both sides, (size class, function, value), are joined, and every candidate is verified by exact containment
 over the whole document. Documents are read and cut into shingles once, however many items there are: a Bloom filter
 of the items' keys, of bounded size, is all that is broadcast, and only documents with keys in it leave the scan.
@@ -23,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewright.llm.common import SIMILARITY, WordHashes, mix, shingles, slices, table, text_or_empty, utf8, window_hashes, written
+from basewright.llm.common import SHINGLE_WORDS, SIMILARITY, WordHashes, mix, shingles, slices, table, text_or_empty, utf8, window_hashes, written
 
 FUNCTIONS = 32
 #: Bits of the filter as powers of two: 64 a key, within these; a full filter costs speed, not results.
 LEAST_BITS, MOST_BITS = 22, 28
 PROBES = 3
+#: Items of n < SHINGLE_WORDS words have the size class -n, and as keys' class this and n, which no other has.
+RUNS = 64
 
 
 def _functions(n: int) -> np.ndarray:
@@ -44,7 +49,7 @@ def _key(low: np.ndarray, size_class: int, function: int) -> np.ndarray:
     return mix(low + np.uint64(size_class << 16 | function))
 
 
-def item_sets(items: DataFrame, functions: int) -> DataFrame:
+def item_sets(items: DataFrame, functions: int, least_run: int = 1) -> DataFrame:
     """(item_id, text_key, size_class, sets, keys) of the items with words: shingle set and keys, as uint64 bytes."""
     multipliers = _functions(functions)
     fields = pa.schema([("item_id", pa.int64()), ("text_key", pa.binary()), ("size_class", pa.int32()), ("sets", pa.binary()), ("keys", pa.list_(pa.int64()))])
@@ -54,9 +59,10 @@ def item_sets(items: DataFrame, functions: int) -> DataFrame:
         for batch in slices(batches):
             out = []
             for i, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+                n = len(text.split())
                 if len(s := shingles(text, hashes)):
-                    c = len(s).bit_length()
-                    keys = np.array([_key(_least(s, m).min()[None], c, f)[0] for f, m in enumerate(multipliers)], np.uint64)
+                    c = -n if least_run <= n < SHINGLE_WORDS else len(s).bit_length()
+                    keys = _key(s, RUNS + n, 0) if c < 0 else np.array([_key(_least(s, m).min()[None], c, f)[0] for f, m in enumerate(multipliers)], np.uint64)
                     out.append((i, hashlib.md5(text).digest(), c, s.tobytes(), keys.view(np.int64).tolist()))
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, fields, strict=True)], schema=fields)
@@ -111,8 +117,9 @@ def document_keys(h: np.ndarray, counts: np.ndarray, classes: list[int], multipl
     return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.empty(0, np.int64), np.empty(0, np.uint64))
 
 
-def _hits(rows: DataFrame, classes: list[int], functions: int, sent_filter: Filter) -> DataFrame:
-    """(row, doc_id, text_key, sets, keys) of the documents with keys in the filter."""
+def _hits(rows: DataFrame, classes: list[int], runs: list[int], functions: int, sent_filter: Filter) -> DataFrame:
+    """(row, doc_id, text_key, sets, keys) of the documents with keys in the filter: of blocks of the classes, and of
+    runs of so many words; ``sets`` has the five-word windows and the runs with a key."""
     multipliers = _functions(functions)
     sent = rows.sparkSession.sparkContext.broadcast(sent_filter)
     fields = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.binary()), ("sets", pa.binary()), ("keys", pa.list_(pa.int64()))])
@@ -121,11 +128,20 @@ def _hits(rows: DataFrame, classes: list[int], functions: int, sent_filter: Filt
         hashes = WordHashes()
         for batch in slices(batches):
             texts = utf8(batch.column(1))
-            windows = [window_hashes(hashes.of(text.split())) for text in texts]
+            words = [hashes.of(text.split()) for text in texts]
+            windows = [window_hashes(h) for h in words]
             filled = [k for k, x in enumerate(windows) if len(x)]
             if not filled:
                 continue
             owner, keys = document_keys(np.concatenate([windows[k] for k in filled]), np.array([len(windows[k]) for k in filled], np.int64), classes, multipliers, sent.value)
+            for i, k in enumerate(filled):
+                for n in runs:
+                    if len(words[k]) >= n:
+                        found = np.unique(window_hashes(words[k], n))
+                        run_keys = _key(found, RUNS + n, 0)
+                        if (hit := sent.value.holds(run_keys)).size:
+                            owner, keys = np.append(owner, np.full(hit.size, i)), np.append(keys, run_keys[hit])
+                            windows[k] = np.append(windows[k], found[hit])
             out = []
             if owner.size:
                 doc_ids, row_ids = batch.column(0).to_pylist(), batch.column(2).to_pylist()
@@ -164,22 +180,24 @@ def _verified(units: DataFrame, threshold: float) -> DataFrame:
     return units.mapInArrow(run, "doc_id long, item_id long, n_shared long, n_item long, containment double, text_key binary")
 
 
-def contained_items(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY, functions: int = FUNCTIONS, most_bits: int = MOST_BITS) -> DataFrame:
+def contained_items(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY, functions: int = FUNCTIONS, most_bits: int = MOST_BITS, least_run: int = 1) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment, text_key) for every item of which a document has the threshold.
 
-    Shingles are five words; an item of fewer words is one shingle and is found only in a document of the same
-    words (in longer ones it says nothing of where they come from); an item or document without words has none. Null
+    Shingles are five words; an item of fewer words is one shingle of all of them and is found wherever a document has
+    these words in a row, or, if they are fewer than ``least_run``, only in a document of just these words (in longer
+    ones a word or two say nothing of where they come from); an item or document without words has none. Null
     text is empty; null ids are returned as they are. A repeated document row gives its rows again (text_key, the
     digest of its text, tells rows of one id apart), equal items of different ids each give a row. No items or no
     documents: no rows. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     small = items.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).distinct()
-    index = written(item_sets(small, functions))
+    index = written(item_sets(small, functions, least_run))
     sizes = {r["size_class"]: r["n"] for r in index.groupBy("size_class").agg(F.count("*").alias("n")).collect()}
     keys = index.select("item_id", F.col("text_key").alias("item_key"), F.explode("keys").alias("key"))
     bits = min(most_bits, max(min(LEAST_BITS, most_bits), (64 * functions * sum(sizes.values())).bit_length()))
-    found = written(_hits(rows, sorted(sizes) or [1], functions, Filter.of(keys, bits)))
+    classes, runs = sorted(c for c in sizes if c > 0), sorted(-c for c in sizes if c < 0)
+    found = written(_hits(rows, classes or [1], runs, functions, Filter.of(keys, bits)))
     pairs = found.select("row", F.explode("keys").alias("key")).join(keys, "key").select("row", "item_id", "item_key").distinct()
     sets = index.select(F.col("item_id").alias("id"), F.col("text_key").alias("item_key"), "sets")
     near = pairs.join(sets, F.col("item_id").eqNullSafe(F.col("id")) & (pairs["item_key"] == sets["item_key"])).select("row", F.lit(True).alias("is_item"), "id", pairs["item_key"].alias("text_key"), "sets")

@@ -283,13 +283,11 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: that of its class_id (rows that repeat its id and text fall to one).
 
-    Null text is empty, and all empty texts are one class. A class whose ids are all null keeps one row. Columns of
-    the names _text_key, _key and _id are an error; all others pass. An empty table stays empty.
+    Null text is empty, and all empty texts are one class. A class whose ids are all null keeps one row. All columns
+    pass, whatever their names. An empty table stays empty.
     """
-    if clash := {"_text_key", "_key", "_id"} & set(docs.columns):
-        raise ValueError(f"columns in use: {sorted(clash)}")
     classes = near_duplicates(docs.select("doc_id", "text"))
-    best = classes.where("key = class_key AND doc_id <=> class_id").select(F.col("key").alias("_key"), F.col("doc_id").alias("_id")).distinct()
-    rows = docs.withColumn("_text_key", F.unhex(F.md5(text_or_empty())))
-    kept = rows.join(best, (F.col("_text_key") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return kept.dropDuplicates(["_key", "_id"]).select(*docs.columns)
+    best = classes.where("key = class_key AND doc_id <=> class_id").select("key", F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), F.unhex(F.md5(text_or_empty())).alias("text_key"), F.col("doc_id").cast("long").alias("row_id"))
+    kept = rows.join(best, (F.col("text_key") == F.col("key")) & F.col("row_id").eqNullSafe(F.col("id")))
+    return kept.dropDuplicates(["key", "id"]).select("row.*")

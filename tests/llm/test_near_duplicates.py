@@ -131,7 +131,10 @@ def test_depth_and_edges(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (7, "a b c d e f"), (None, "only null"), (7, "a b c d e f")], "doc_id long, text string")
     got = lsh_forest.near_duplicates(docs).collect()
     assert len(got) == 5 and {r["class_id"] for r in got} == {7, None}
-    assert sorted((r["doc_id"] or 0, r["text"]) for r in lsh_forest.keep_one(docs).collect()) == [(0, "only null"), (7, "a b c d e f")]
+    clashing = docs.withColumns({c: F.lit(c) for c in ("_text_key", "_key", "_id", "key", "id", "row", "row_id", "text_key", "a.b")})
+    kept = lsh_forest.keep_one(clashing)
+    assert kept.columns == clashing.columns
+    assert sorted((r["doc_id"] or 0, r["text"], r["row"], r["a.b"]) for r in kept.collect()) == [(0, "only null", "row", "a.b"), (7, "a b c d e f", "row", "a.b")]
     assert lsh_forest.near_duplicates(docs.limit(0)).count() == 0 and lsh_forest.keep_one(docs.limit(0)).count() == 0
 
 
@@ -141,12 +144,14 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(1, 21), 0), 41: 40}
 
 
-def contained(docs, items):
+def contained(docs, items, least_run=1):
     out = set()
     for i, t in docs:
-        own = shingle_set(t)
+        w = (t or "").encode().split()
         for j, x in items:
             item = shingle_set(x)
+            n = len((x or "").encode().split())
+            own = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if least_run <= n < 5 else shingle_set(t)
             if item and len(item & own) >= 0.8 * len(item):
                 out.add((i, j, len(item & own), len(item)))
     return out
@@ -171,6 +176,14 @@ def test_containment_against_all_pairs(spark):
     for bits in (containment.MOST_BITS, 8):  # and with a filter that holds nearly everything
         got = [(r["doc_id"], r["item_id"], r["n_shared"], r["n_item"]) for r in containment.contained_items(d, b, most_bits=bits).collect()]
         assert len(got) == len(set(got)) and set(got) == contained(docs, items)
+    short = [(20, "a"), (21, "b  c"), (22, "one"), (23, "nowhere to be"), (24, "one two three four"), *items]
+    more = [*docs, (200, "one two three four"), (201, "x one two\tthree four y one"), (202, "one"), (203, "two one"), (204, "b c"), (205, "c b c a"), (206, "one two three")]
+    d2, b2 = spark.createDataFrame(more, "doc_id long, text string").repartition(3), spark.createDataFrame(short, "item_id long, text string")
+    for least in (1, 3, 5):
+        for some in (b2, b2.where("item_id >= 20")):
+            got = [(r["doc_id"], r["item_id"], r["n_shared"], r["n_item"]) for r in containment.contained_items(d2, some, least_run=least).collect()]
+            want = contained(more, [x for x in short if some is b2 or x[0] >= 20], least)
+            assert len(got) == len(set(got)) and set(got) == want and {(202, 22, 1, 1), (200, 24, 1, 1)} < want
     again = spark.createDataFrame([(None, items[5][1]), (None, items[5][1]), (None, "clean " * 20), (7, items[6][1]), (7, "clean " * 20)], "doc_id long, text string").withColumn("row", F.lit(1))
     twins = spark.createDataFrame([(None, items[5][1]), (8, items[5][1]), (8, items[6][1])], "item_id long, text string")
     got = sorted(str((r["doc_id"], r["item_id"])) for r in containment.contained_items(again, twins).collect())
