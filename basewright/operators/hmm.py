@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from basewright.operators import kernels
 from basewright.operators.coding import balanced, code_sequences
+from basewright.operators.intervals import PARTITIONS
 from basewright.operators.jobs import CHAIN, plan_training
 from basewright.sources.genome import STEPS, begin_run, read_chain_steps, write_iteration
 
@@ -299,9 +300,10 @@ def background_likelihood(fragments: DataFrame, models: DataFrame | Models, orde
     names = F.when(F.col("partition_code") == 1, "intergenic").when(F.col("partition_code") == 2, "periexonic").otherwise("exon")
     place = ["pos_id", "frag_start", "frag_end", "strand", *(["block", "last", "block_start"] if blocks else [])]
     rows = fragments.where(F.length("fragment") > order).withColumn("obs_id", names)
-    count = reduce(lambda c, k: c + F.when((F.col("obs_id") == k[0]) & F.lit(k[2] == order), 1).otherwise(0), keys, F.lit(0))
-    wrong = F.raise_error(F.concat(count.cast("string"), F.lit(" models for "), "obs_id", F.lit(f" of order {order}, one is needed")))
-    rows = rows.withColumn("obs_id", F.when(count == 1, F.col("obs_id")).otherwise(wrong))
+    count = {p: sum(k[0] == p and k[2] == order for k in keys) for p in PARTITIONS}
+    # which row fails first is chance, so the error says all
+    wrong = F.raise_error(F.lit(", ".join(f"{n} models for {p}" for p, n in count.items()) + f" of order {order}, one is needed for each that occurs"))
+    rows = rows.withColumn("obs_id", F.when(F.col("obs_id").isin([p for p, n in count.items() if n == 1]), F.col("obs_id")).otherwise(wrong))
     coded = code_sequences(rows.select("obs_id", F.lit(order).alias("order"), F.struct(*place).alias("seq_id"), F.col("fragment").alias("seq"), *place))
     if blocks:  # a fragment's blocks are told by where it stands
         coded = coded.withColumn("seq_id", F.struct("pos_id", "frag_start"))

@@ -123,11 +123,11 @@ def dense_mask(runs: DataFrame) -> DataFrame:
 
 def _fragments(runs: DataFrame) -> DataFrame:
     """(pos_id, frag_start, frag_end, partition_code, strand): longest runs of one partition, with the strand of their
-    first base."""
-    over = Window.partitionBy("pos_id").orderBy("run_start")
-    new = F.coalesce((F.lag("partition_code").over(over) != F.col("partition_code")) | (F.lag("run_end").over(over) + 1 != F.col("run_start")), F.lit(True))
-    marked = runs.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(over))
-    return marked.groupBy("pos_id", "_run").agg(F.min("run_start").alias("frag_start"), F.max("run_end").alias("frag_end"), F.first("partition_code").alias("partition_code"), F.min_by("strand", "run_start").alias("strand")).drop("_run")
+    first base. Runs of a mask are disjoint, so a fragment starts where a run of its own does."""
+    pieces = runs.select("pos_id", "partition_code", F.col("run_start").alias("start"), F.col("run_end").alias("end"))
+    whole = coalesce_runs(pieces, ["pos_id", "partition_code"]).withColumnsRenamed({"start": "frag_start", "end": "frag_end"})
+    first = runs.select("pos_id", F.col("run_start").alias("frag_start"), "strand")
+    return whole.join(first, ["pos_id", "frag_start"]).select("pos_id", "frag_start", "frag_end", "partition_code", "strand")
 
 
 def fragment_by_partition(positions: DataFrame, runs: DataFrame) -> DataFrame:
