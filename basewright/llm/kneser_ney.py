@@ -18,16 +18,17 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basewright.llm.common import mix, slices, table, text_or_empty, written
+from basewright.llm.containment import Filter
 
 ORDER = 5
 START, END = "\x02", "\x03"
-#: Trusted documents the model and the thresholds are fitted on, at most, chosen by a hash of their ids.
-MOST_TRUSTED = 20_000
+#: Bits of the filter of trusted ids, as a power of two, at most: 16 an id below that; a full filter costs speed.
+MOST_ID_BITS = 26
 #: Entries of the model that are broadcast, at most.
 MOST_SENT = 1 << 20
 #: Weight, in characters, of the trusted text's mean in a document's mean: short texts judge themselves less.
@@ -35,6 +36,8 @@ PRIOR_CHARS = 100
 QUANTILE = 0.995
 #: Languages with fewer trusted documents use the quantiles of all.
 LEAST_TRUSTED = 50
+#: Cells a nat in which values are counted before a quantile is looked up.
+CELLS = 1 << 13
 
 #: Powers of an odd base modulo 2^64.
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 2**64)) for k in range(16)]
@@ -320,10 +323,30 @@ def score_texts(docs: DataFrame, model: Model, order: int = ORDER) -> DataFrame:
     return whole.withColumn("log_p", F.col("log_p") + F.coalesce("_more", F.lit(0.0))).drop("_row", "_keys", "_times", "_more")
 
 
+def quantiles(values: DataFrame, share: float) -> DataFrame:
+    """(every, lang, n, lowest) for ``values(lang, value)``: the exact quantile, interpolated, of each language, and of
+    all in the row with ``every``. Values are counted by cells, and only those of a cell that holds a rank are ordered."""
+    both = F.array(F.struct(F.lit(False).alias("every"), "lang"), F.struct(F.lit(True).alias("every"), F.lit("").alias("lang")))
+    each = values.select(F.inline(both), "value").groupBy("every", "lang", "value").agg(F.count("*").alias("c"))
+    each = written(each.withColumn("cell", F.floor(F.col("value") * CELLS)))
+    by = Window.partitionBy("every", "lang")
+    cells = each.groupBy("every", "lang", "cell").agg(F.sum("c").alias("m"))
+    cells = cells.withColumns({"before": F.sum("m").over(by.orderBy("cell")) - F.col("m"), "n": F.sum("m").over(by)})
+    cells = cells.withColumn("at", (F.col("n") - 1) * F.lit(share))
+    cells = cells.where((F.col("before") <= F.ceil("at")) & (F.col("before") + F.col("m") > F.floor("at")))
+    ranked = each.join(F.broadcast(cells), ["every", "lang", "cell"])  # two cells a language at most
+    end = F.col("before") + F.sum("c").over(Window.partitionBy("every", "lang", "cell").orderBy("value"))
+    ranked = ranked.withColumn("end", end)
+    below, above = (F.max(F.when((F.col("end") - F.col("c") <= r) & (F.col("end") > r), F.col("value"))) for r in (F.floor("at"), F.ceil("at")))
+    ends = ranked.groupBy("every", "lang", "n", "at").agg(below.alias("below"), above.alias("above"))
+    share_above = F.col("at") - F.floor("at")
+    return ends.select("every", "lang", "n", ((1 - share_above) * F.col("below") + share_above * F.col("above")).alias("lowest"))
+
+
 def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, most_sent: int = MOST_SENT) -> DataFrame:
     """``docs(doc_id, text, lang, ...)`` with perplexity, judged, limit and kept.
 
-    trusted(text, lang): trusted rows, a bounded number. Half of them (by a hash of the text) train the model, the
+    trusted(text, lang): trusted rows, all of which are used. Half of them (by a hash of the text) train the model, the
     other half set the limits. judged: the perplexity with PRIOR_CHARS characters of the trusted mean added; kept: it is
     at most the limit, the quantile of its language, or of all where the language has fewer than LEAST_TRUSTED
     documents or is null. Nothing trusted: everything is kept. Namesakes among the other columns, and those of
@@ -334,22 +357,33 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, mo
     held = written(score_texts(trusted.where(~even).select(text_or_empty().alias("text"), F.coalesce("lang", F.lit("")).alias("lang")), model).select("lang", "log_p", "n_symbols_scored"))
     mean = held.agg(F.sum("log_p") / F.sum("n_symbols_scored")).first()[0] or 0.0
     judged = (F.col("log_p") + PRIOR_CHARS * mean) / (F.col("n_symbols_scored") + PRIOR_CHARS)
-    lowest = F.percentile(judged, F.lit(1 - quantile)).alias("lowest")
-    every = held.agg(lowest).first()[0]
-    limits = held.groupBy("lang").agg(F.count("*").alias("n"), lowest).where(F.col("n") >= LEAST_TRUSTED)
+    found = written(quantiles(held.select("lang", judged.alias("value")), 1 - quantile))
+    every = next((r["lowest"] for r in found.where("every").collect()), None)
+    limits = found.where(~F.col("every") & (F.col("n") >= LEAST_TRUSTED))
     limits = limits.select(F.col("lang").alias("_lang"), F.col("lowest").alias("_lowest"))
     out = score_texts(docs.drop("perplexity", "judged", "limit", "kept", "_lang", "_lowest"), model)
-    out = out.join(F.broadcast(limits), F.col("lang") == F.col("_lang"), "left")  # a row for each language of a bounded sample
+    out = out.join(F.broadcast(limits), F.col("lang") == F.col("_lang"), "left")  # a row for every LEAST_TRUSTED held texts at most
     least = F.coalesce("_lowest", F.lit(every).cast("double"))
     out = out.withColumns({"perplexity": F.exp(-F.col("log_p") / F.col("n_symbols_scored")), "judged": F.exp(-judged), "limit": F.exp(-least), "kept": F.coalesce(judged >= least, F.lit(True))})
     return out.drop("_lang", "_lowest", "log_p", "n_symbols_scored")
 
 
-def trusted_documents(docs: DataFrame, labels: DataFrame, most: int = MOST_TRUSTED) -> DataFrame:
-    """Documents labelled good and not toxic: ``most`` ids at most, those with the least hashes."""
-    ids = labels.where("quality = 1 AND toxic = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(ids), "doc_id", "left_semi").select("text", "lang")
+def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, lang) of all documents labelled good and not toxic. A filter of bounded size keeps most others out of the
+    shuffle of the exact join."""
+    ids = labels.where("quality = 1 AND toxic = 0").select(F.col("doc_id").cast("long").alias("doc_id"))
+    ids = written(ids.where("doc_id IS NOT NULL").distinct())
+    bits = min(MOST_ID_BITS, max(16, (16 * ids.count()).bit_length()))
+    sent = docs.sparkSession.sparkContext.broadcast(Filter.of(ids.select(F.xxhash64("doc_id").alias("key")), bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            at = sent.value.holds(batch.column(3).to_numpy().view(np.uint64))
+            yield batch.select(range(3)).take(pa.array(at))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    maybe = rows.withColumn("key", F.xxhash64("doc_id")).mapInArrow(run, rows.schema)
+    return maybe.join(ids, "doc_id", "left_semi").select("text", "lang")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

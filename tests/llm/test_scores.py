@@ -208,6 +208,27 @@ def test_classifier_separates_and_keeps(spark):
     assert kneser_ney.quality(df.limit(0), labels).count() == 0
 
 
+def test_all_trusted_documents_are_used(spark):
+    n = 20_500
+    docs = [(i, f"t{i}", "x") for i in range(n)] + [(7, "again", None), (n, "bad", "x"), (n + 1, "toxic", "x"), (n + 2, "none", "x"), (None, "null", "x")]
+    labels = [(i, 1, 0) for i in range(n)] + [(3, 1, 0), (n, 0, 0), (n + 1, 1, 1), (None, 1, 0), (n + 9, 1, 0)]
+    df = spark.createDataFrame(docs, "doc_id int, text string, lang string").repartition(4)
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = Counter((r["text"], r["lang"]) for r in kneser_ney.trusted_documents(df, frame).collect())
+    assert got == Counter((t, g) for _, t, g in docs[: n + 1])
+    assert kneser_ney.trusted_documents(df, frame.limit(0)).count() == 0
+
+
+def test_quantiles_against_sorted_values(spark):
+    rng = random.Random(4)
+    groups = {"a": [-rng.random() * 6 for _ in range(900)], "b": [-0.25] * 70 + [-3.0], "": [-1.5], "c": [-rng.randrange(9) / 4 for _ in range(401)], "d": [-2 - i / 1e7 for i in range(333)]}
+    rows = spark.createDataFrame([(g, v) for g, x in groups.items() for v in x], "lang string, value double").repartition(5)
+    for share in (0.005, 0.5, 0.0, 1.0):
+        got = {(r["every"], r["lang"]): (r["n"], r["lowest"]) for r in kneser_ney.quantiles(rows, share).collect()}
+        want = {(False, g): x for g, x in groups.items()} | {(True, ""): sum(groups.values(), [])}
+        assert got == {g: (len(x), pytest.approx(np.quantile(x, share), abs=1e-12)) for g, x in want.items()}
+
+
 def rule_stats(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     win = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
