@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewright.llm.common import SHINGLE_WORDS, SIMILARITY, WordHashes, mix, shingles, slices, table, text_or_empty, utf8, window_hashes, written
+from basewright.llm.common import SHINGLE_WORDS, SIMILARITY, WordHashes, mix, shingles, slices, small_batches, table, text_or_empty, utf8, window_hashes, written
 
 FUNCTIONS = 32
 #: Bits of the filter as powers of two: 64 a key, within these; a full filter costs speed, not results.
@@ -197,7 +197,8 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = SIMILA
     keys = index.select("item_id", F.col("text_key").alias("item_key"), F.explode("keys").alias("key"))
     bits = min(most_bits, max(min(LEAST_BITS, most_bits), (64 * functions * sum(sizes.values())).bit_length()))
     classes, runs = sorted(c for c in sizes if c > 0), sorted(-c for c in sizes if c < 0)
-    found = written(_hits(rows, classes or [1], runs, functions, Filter.of(keys, bits)))
+    with small_batches(docs.sparkSession):
+        found = written(_hits(rows, classes or [1], runs, functions, Filter.of(keys, bits)))
     pairs = found.select("row", F.explode("keys").alias("key")).join(keys, "key").select("row", "item_id", "item_key").distinct()
     sets = index.select(F.col("item_id").alias("id"), F.col("text_key").alias("item_key"), "sets")
     near = pairs.join(sets, F.col("item_id").eqNullSafe(F.col("id")) & (pairs["item_key"] == sets["item_key"])).select("row", F.lit(True).alias("is_item"), "id", pairs["item_key"].alias("text_key"), "sets")

@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from basewright.llm import containment, lsh_forest
+from basewright.llm import common, containment, lsh_forest
 from basewright.llm.common import SIMILARITY
 
 
@@ -189,3 +190,22 @@ def test_containment_against_all_pairs(spark):
     got = sorted(str((r["doc_id"], r["item_id"])) for r in containment.contained_items(again, twins).collect())
     assert got == ["(7, 8)", "(None, 8)", "(None, 8)", "(None, None)", "(None, None)"]
     assert containment.contained_items(d, b.limit(0)).count() == 0 and containment.contained_items(d.limit(0), b).count() == 0
+
+
+def test_texts_are_handed_to_python_in_small_batches(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen, inner = spark.conf.get(name), [], common.written
+    monkeypatch.setattr(containment, "written", lambda df: seen.append(int(spark.conf.get(name).rstrip("b"))) or inner(df))
+    docs = spark.createDataFrame([(i, f"one two three four five six seven {i}") for i in range(20)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
+    assert containment.contained_items(docs, items).count() == 20
+    assert seen[-1] <= 1 << 21 and spark.conf.get(name) == before
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    with common.small_batches(spark):
+        texts = spark.range(0, 100, 1, 1).select(F.expr("repeat('x', 100000)"))
+        got = [r["n"] for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert len(got) >= 4 and max(got) < 1 << 22 and spark.conf.get(name) == before
