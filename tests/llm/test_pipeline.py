@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_near_duplicates import brute, shingle_set
 
 import corpus_pipeline
-from basewright.llm import containment, lsh_forest, tokens
+from basewright.llm import containment, kneser_ney, lsh_forest, tokens
 from basewright.llm.common import written
 
 DIR = "/root/testdata/sf0.001"
@@ -84,3 +84,16 @@ def test_planted_cases_by_brute_force(spark, tmp_path):
     assert sorted(str(r["doc_id"]) for r in out) == sorted(str(r["doc_id"]) for r in had.values())
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_quality_is_fitted_on_all_trusted_documents(spark, tmp_path, monkeypatch):
+    n, seen = 20_300, []
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.lit("en").alias("lang"))
+    docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+
+    def classify(docs, trusted):
+        seen.append(trusted.distinct().count())
+        return docs.withColumn("kept", F.lit(True))
+
+    monkeypatch.setattr(kneser_ney, "classify", classify)
+    assert corpus_pipeline.quality(spark, docs, str(tmp_path)).count() == n and seen == [n]
