@@ -1,7 +1,8 @@
 """Mixing to target weights with soft memberships.
 
-A softmax classifier over hashed words and character patterns, fitted on a bounded sample of labelled rows, gives
-every document posteriors over domains. Document rates r >= 0 are fitted so that the expected tokens of each domain,
+A softmax classifier over hashed words and character patterns, fitted on all labelled rows, gives every document
+posteriors over domains. The fit is L-BFGS: a step is a pass over the labelled rows' features, which sends a loss and a
+gradient a task. Document rates r >= 0 are fitted so that the expected tokens of each domain,
 sum of r * tokens * posterior, meet targets: the least sum of the squared deviations, each relative to what the
 domain holds, plus RIDGE times the token-weighted squared distance of the rates from 1.
 
@@ -14,7 +15,8 @@ the documents between steps, and a step sends a few sums a task.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +26,17 @@ from pyspark.sql import types as T
 
 from basewright.llm.common import slices, table, text_or_empty, utf8, written
 
-#: Labelled rows the classifier is fitted on, at most, chosen by a hash of their ids.
-MOST_LABELLED = 20_000
 BUCKETS = 1 << 15
 DOMAINS = ("clean", "toxic", "low", "low_toxic")
 #: Target tokens of each domain, as shares of what the corpus is expected to hold. As posteriors are never 0, some clean
 #: text goes with the rest, and some of each domain stays.
 TARGETS = {"clean": 0.98, "toxic": 0.25, "low": 0.25, "low_toxic": 0.1}
 RIDGE = 0.002
+#: Weight of half the classifier's squared weights beside the mean loss of a row.
+DECAY = 1e-4
+#: The classifier's fit ends when a step promises less, in nats a row; some thirty to sixty steps do, so many at most.
+LEAST_GAIN = 1e-4
+FIT_STEPS = 500
 #: Steps at most; sharp posteriors need some ten, domains that overlap a hundred.
 STEPS = 400
 #: The fit ends when no document's rate would be moved by more by a step of size 1.
@@ -68,77 +73,161 @@ class Features(dict):
         return np.concatenate([found, kinds, [BUCKETS - 1]]), np.concatenate([np.ones(len(found)), 8 * n / max(1, len(each)), [1 + 4 * repeated]])
 
 
-def fit_classifier(labelled: DataFrame, n_domains: int, epochs: int = 15, rate: float = 0.1, decay: float = 1e-4) -> np.ndarray:
-    """Weights [BUCKETS, n_domains] of a softmax regression, by AdaGrad on ``labelled(text, domain)``.
+def text_features(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Words of a text, its buckets (16 bits each), and the weights (32 bits each) of the last of them; others have 1."""
+    features = Features()
+    for column in texts:
+        tokens, at, weight = [], [], []
+        for text in utf8(column):
+            buckets, weights = features.of(text)
+            words = int(np.searchsorted(buckets[:-1], BUCKETS - 1024))
+            tokens.append(len(text.split()))
+            at.append(buckets.astype(np.uint16).tobytes())
+            weight.append(weights[words:].astype(np.float32).tobytes())
+        yield pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), pa.array(at, pa.binary()), pa.array(weight, pa.binary())], ["tokens", "at", "weight"])
 
-    A bounded number of rows: their features, not their texts, come to the driver. Without rows all weights are 0.
+
+def _flat(at: pa.Array, weight: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, weights) of some texts in one, and where each begins; a text has one bucket at least."""
+    each, last = at.to_pylist(), weight.to_pylist()
+    sizes, given = np.array([len(x) >> 1 for x in each], np.int64), np.array([len(x) >> 2 for x in last], np.int64)
+    value = np.ones(sizes.sum())
+    value[np.repeat(np.cumsum(sizes) - np.cumsum(given), given) + np.arange(given.sum())] = np.frombuffer(b"".join(last), np.float32)
+    return np.frombuffer(b"".join(each), np.uint16).astype(np.int64), value, np.cumsum(sizes) - sizes
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def _told(labelled: DataFrame, n_domains: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """How much each bucket counts, its mean square over rows (by which steps are scaled), and the number of rows.
+
+    Words count by how much their presence tells one domain from the others, and not at all where that is little.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
+        sums = np.zeros((n_domains + 1, BUCKETS))
         for batch in slices(batches):
-            pairs = [features.of(t) for t in utf8(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([a.astype(np.int32).tobytes() for a, _ in pairs], pa.binary()), pa.array([w.astype(np.float32).tobytes() for _, w in pairs], pa.binary())], ["domain", "at", "weight"])
-
-    found = labelled.select("text", "domain").mapInArrow(run, "domain int, at binary, weight binary").toArrow()
-    weights, squares = np.zeros((BUCKETS, n_domains)), np.full((BUCKETS, n_domains), 1e-8)
-    if not found.num_rows:
-        return weights
-    cells = [np.frombuffer(x, kind) for name, kind in (("at", np.int32), ("weight", np.float32)) for x in found[name].to_pylist()]
-    domain = found["domain"].to_numpy()
-    rows = len(domain)
-    order = sorted(range(rows), key=lambda i: (zlib.crc32(cells[i].tobytes()), domain[i]))  # whatever the partitions
-    at, value, domain = [cells[i] for i in order], [cells[rows + i] for i in order], domain[order]
-    del found, cells
-    # words count by how much their presence tells one domain from the others, and not at all where that is little
-    seen = np.zeros((BUCKETS, n_domains))
-    for a, d in zip(at, domain, strict=True):
-        seen[a, d] += 1
-    n = np.bincount(domain, minlength=n_domains)
+            at, value, starts = _flat(batch.column(1), batch.column(2))
+            owner = np.repeat(batch.column(0).to_numpy(), np.diff(starts, append=len(at)))
+            for d in range(n_domains):
+                sums[d] += np.bincount(at[owner == d], minlength=BUCKETS)
+            sums[-1] += np.bincount(at, value**2, BUCKETS)
+        some = np.flatnonzero(sums[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(x[some]) for x in sums)], names)
+
+    names = ["at", *(f"s{d}" for d in range(n_domains + 1))]
+    found = labelled.mapInArrow(run, "at int, " + ", ".join(f"{x} double" for x in names[1:])).groupBy("at").agg(*(F.sum(x).alias(x) for x in names[1:])).toArrow()
+    sums = np.zeros((n_domains + 1, BUCKETS))
+    sums[:, found["at"].to_numpy()] = [found[x].to_numpy() for x in names[1:]]
+    seen, n = sums[:-1].T, sums[:-1, BUCKETS - 1]  # the constant is in every row
     ratio = np.log((seen + 3) / (n + 6)) - np.log((seen.sum(1, keepdims=True) - seen + 3) / (n.sum() - n + 6))
     told = np.where(n >= 10, np.abs(ratio), 0).max(1)
     told[told < 0.7] = 0
     told[BUCKETS - 1024 :] = 1
-    kept = [told[a] > 0 for a in at]
-    value = [(v[k] * told[a[k]]).astype(np.float32) for a, v, k in zip(at, value, kept, strict=True)]
-    at = [a[k] for a, k in zip(at, kept, strict=True)]
-    for epoch in range(epochs):
-        order = np.random.default_rng(epoch).permutation(rows)
-        for i in range(0, rows, 64):
-            some = order[i : i + 64]
-            flat = np.concatenate([at[k] for k in some])
-            x = np.concatenate([value[k] for k in some])
-            owner = np.repeat(np.arange(len(some)), [len(at[k]) for k in some])
-            z = np.stack([np.bincount(owner, x * weights[flat, d], len(some)) for d in range(n_domains)], 1)
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(some)), domain[some]] -= 1
-            used, place = np.unique(flat, return_inverse=True)
-            g = np.stack([np.bincount(place, x * p[owner, d], len(used)) for d in range(n_domains)], 1) / len(some) + decay * weights[used]
-            squares[used] += g**2
-            weights[used] -= rate * g / np.sqrt(squares[used])
-    return weights * told[:, None]
+    return told, told**2 * sums[-1] / max(1, n.sum()), int(n.sum())
 
 
-def posteriors(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """``docs`` with _tokens (words) and _posterior (array of doubles) from its text; other columns pass."""
-    sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-    place = docs.columns.index("text")
-    schema = T.StructType([*docs.schema, T.StructField("_tokens", T.LongType()), T.StructField("_posterior", T.ArrayType(T.DoubleType()))])
+def _loss(rows: DataFrame, weights: np.ndarray) -> tuple[float, np.ndarray]:
+    """The summed loss of ``rows(domain, at, value)`` and its gradient. A row of sums a task and bucket."""
+    sent, (size, n) = rows.sparkSession.sparkContext.broadcast(weights), weights.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, total = np.ascontiguousarray(sent.value.T), np.zeros((n, size + 1))
+        for batch in slices(batches):
+            domain, each = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            at = np.frombuffer(b"".join(each), np.uint16).astype(np.int64)
+            value = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float32).astype(np.float64)
+            sizes = np.array([len(x) >> 1 for x in each])
+            starts, nth = np.cumsum(sizes) - sizes, np.arange(len(sizes))
+            p = _softmax(np.stack([np.add.reduceat(value * w[d].take(at), starts) for d in range(n)], 1))
+            total[0, size] -= np.log(np.maximum(p[nth, domain], 1e-300)).sum()
+            p[nth, domain] -= 1
+            for d in range(n):
+                total[d, :size] += np.bincount(at, value * np.repeat(p[:, d], sizes), size)
+        yield pa.RecordBatch.from_arrays([pa.array(range(size + 1), pa.int32()), *(pa.array(x) for x in total)], names)
+
+    names = ["at", *(f"s{d}" for d in range(n))]
+    found = rows.mapInArrow(run, "at int, " + ", ".join(f"{x} double" for x in names[1:])).groupBy("at").agg(*(F.sum(x).alias(x) for x in names[1:])).toArrow()
+    out = np.zeros((size + 1, n))
+    out[found["at"].to_numpy()] = np.stack([found[x].to_numpy() for x in names[1:]], 1)
+    sent.unpersist()
+    return float(out[size, 0]), out[:size]
+
+
+def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], scale: np.ndarray, least_gain: float = LEAST_GAIN, steps: int = FIT_STEPS) -> np.ndarray:
+    """Where ``f``, which gives a convex function's value and gradient, is least, by L-BFGS from 0. ``scale``: roughly
+    the inverse second derivatives. A fit that does not come to ``least_gain`` is an error."""
+    x, past = np.zeros(scale.shape), deque(maxlen=MEMORY)
+    value, gradient = f(x)
+    for _ in range(steps):
+        move, back = -gradient, []
+        for s, y in reversed(past):
+            back.append((s * move).sum() / (s * y).sum())
+            move = move - back[-1] * y
+        move = move * scale * ((past[-1][0] * past[-1][1]).sum() / (past[-1][1] ** 2 * scale).sum() if past else 1.0)
+        for (s, y), a in zip(past, reversed(back), strict=True):
+            move = move + (a - (y * move).sum() / (s * y).sum()) * s
+        slope = (gradient * move).sum()
+        if -slope / 2 < least_gain and (gradient**2 * scale).sum() / 2 < 100 * least_gain:
+            return x
+        size = 1.0
+        while (new := f(x + size * move))[0] > value + 1e-4 * size * slope and size > 1e-6:
+            size /= 4
+        if ((new[1] - gradient) * move).sum() > 0:
+            past.append((size * move, new[1] - gradient))
+        x, (value, gradient) = x + size * move, new
+    raise ArithmeticError(f"classifier not fitted within {steps} steps: one promises {-slope / 2} nats a row")
+
+
+def fit_classifier(labelled: DataFrame, n_domains: int, decay: float = DECAY) -> np.ndarray:
+    """Weights [BUCKETS, n_domains] of a softmax regression on all rows of ``labelled(domain, at, weight)``: the mean
+    loss of a row and ``decay`` times half the squared weights of what counts are least. Without rows all are 0."""
+    told, squares, n_rows = _told(labelled, n_domains)
+    if not n_rows:
+        return np.zeros((BUCKETS, n_domains))
+    some = np.flatnonzero((told > 0) & (squares > 0))
+    nth = np.full(BUCKETS, -1)
+    nth[some] = np.arange(len(some))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, w = Features(), sent.value
         for batch in slices(batches):
-            tokens, out = [], []
-            for text in utf8(batch.column(place)):
-                at, value = features.of(text)
-                z = value @ w[at]
-                p = np.exp(z - z.max())
-                tokens.append(len(text.split()))
-                out.append((p / p.sum()).tolist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, pa.int64()), pa.array(out, pa.list_(pa.float64()))], [*batch.schema.names, "_tokens", "_posterior"])
+            at, value, starts = _flat(batch.column(1), batch.column(2))
+            kept, value = nth[at] >= 0, value * told[at]
+            sizes = np.add.reduceat(kept, starts, dtype=np.int64)
+            cells, ends = (nth[at[kept]].astype(np.uint16), value[kept].astype(np.float32)), np.cumsum(sizes)
+            parts = ([x[e - k : e].tobytes() for e, k in zip(ends, sizes, strict=True)] for x in cells)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.binary()) for x in parts)], ["domain", "at", "value"])
+
+    rows = written(labelled.mapInArrow(run, "domain int, at binary, value binary"))
+
+    def mean_loss(weights: np.ndarray) -> tuple[float, np.ndarray]:
+        loss, gradient = _loss(rows, weights)
+        return loss / n_rows + decay / 2 * (weights**2).sum(), gradient / n_rows + decay * weights
+
+    weights = np.zeros((BUCKETS, n_domains))
+    weights[some] = minimise(mean_loss, np.repeat(1 / (squares[some, None] / n_domains + decay), n_domains, 1))
+    return weights * told[:, None]
+
+
+def posterior_of(weights: np.ndarray, spark: SparkSession) -> Column:
+    """The posterior (array of doubles) by _features."""
+    sent = spark.sparkContext.broadcast(weights)
+
+    @F.arrow_udf("array<double>")
+    def posterior(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        w = sent.value
+        for at, weight in parts:
+            found = [np.empty((0, w.shape[1]))]
+            for i in range(0, len(at), 256):
+                flat, value, starts = _flat(at.slice(i, 256), weight.slice(i, 256))
+                found.append(_softmax(np.add.reduceat(value[:, None] * w[flat], starts)))
+            p = np.concatenate(found)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * w.shape[1], pa.int32()), pa.array(p.ravel()))
 
-    return docs.mapInArrow(run, schema)
+    return posterior.asNondeterministic()("_features.at", "_features.weight")  # so that a filter by it makes it once only
 
 
 Steps = list[tuple[float, np.ndarray]]
@@ -222,13 +311,11 @@ def fit_rates(members: DataFrame, present: np.ndarray, targets: np.ndarray, ridg
     raise ArithmeticError(f"rates not fitted within {steps} steps: a step of size 1 would move one by {far}")
 
 
-def label_domains(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """(text, domain) of labelled documents, ``most`` at most: 0 clean, 1 toxic, 2 low quality, 3 both."""
+def label_domains(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(domain, at, weight) of all ``rows(doc_id, _features)`` with labels: 0 clean, 1 toxic, 2 low quality, 3 both."""
     one = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-    chosen = one.agg((F.min("quality") == 0).cast("int").alias("low"), F.max("toxic").alias("toxic")).select("doc_id", (F.col("low") * 2 + F.col("toxic")).cast("int").alias("domain"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "domain")
+    domains = one.agg((F.min("quality") == 0).cast("int").alias("low"), F.max("toxic").alias("toxic")).select("doc_id", (F.col("low") * 2 + F.col("toxic")).cast("int").alias("domain"))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "_features").join(domains, "doc_id").select("domain", "_features.at", "_features.weight")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float | None = None, ridge: float = RIDGE, steps: int = STEPS, keep_text: bool = True) -> DataFrame:
@@ -237,13 +324,14 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     targets: for each domain, its tokens wanted as a share of those expected at a rate of 1. max_rate: a bound of the
     rates, as 1 for corpora that may not repeat documents; none but 0 below if null. Null text has no tokens and the classifier's constant
     posterior. Without labels all domains are equally likely. Namesakes among the other columns are replaced,
-    and _tokens and _posterior dropped; repeated rows have their own rates, equal ones; an empty table stays empty.
+    and _tokens, _posterior and _features dropped; repeated rows have their own rates, equal ones; an empty table stays empty.
     """
-    docs = docs.drop("n_tokens", "posterior", "rate", "expected_share", "target_share", "_tokens", "_posterior")
-    weights = fit_classifier(label_domains(docs, labels), len(DOMAINS))
-    whole = posteriors(docs, weights)
-    whole = written(whole if keep_text else whole.drop("text"))
-    members = whole.select("_tokens", "_posterior")
+    docs = docs.drop("n_tokens", "posterior", "rate", "expected_share", "target_share", "_tokens", "_posterior", "_features")
+    rows = docs.withColumn("_features", F.arrow_udf(text_features, "tokens long, at binary, weight binary")("text"))
+    rows = written(rows if keep_text else rows.drop("text"))
+    weights = fit_classifier(written(label_domains(rows, labels)), len(DOMAINS))
+    whole = rows.withColumns({"_tokens": F.col("_features.tokens"), "_posterior": posterior_of(weights, docs.sparkSession)})
+    members = written(whole.select("_tokens", "_posterior"))
     present = expected_tokens(members, len(DOMAINS))
     wanted = present * np.array([targets[d] for d in DOMAINS])
     past, reached = fit_rates(members, present, wanted, ridge, max_rate, steps)

@@ -1,12 +1,13 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_near_duplicates import brute, shingle_set
 
 import corpus_pipeline
-from basewright.llm import containment, kneser_ney, lsh_forest, tokens
+from basewright.llm import containment, kneser_ney, lsh_forest, mixing, tokens
 from basewright.llm.common import written
 
 DIR = "/root/testdata/sf0.001"
@@ -97,3 +98,19 @@ def test_quality_is_fitted_on_all_trusted_documents(spark, tmp_path, monkeypatch
 
     monkeypatch.setattr(kneser_ney, "classify", classify)
     assert corpus_pipeline.quality(spark, docs, str(tmp_path)).count() == n and seen == [n]
+
+
+def test_mixing_is_fitted_on_all_labelled_documents(spark, tmp_path, monkeypatch):
+    n, seen = 20_300, []
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    docs = docs.union(spark.createDataFrame([(None, "null"), (n + 5, "no label")], "doc_id long, text string"))
+    labels = docs.where("doc_id IS NULL OR doc_id < 20300").select("doc_id", F.expr("int(doc_id % 3 > 0)").alias("quality"), F.lit(0).alias("toxic"))
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+
+    def fit_classifier(labelled, n_domains):
+        seen.append({r["domain"]: r["count"] for r in labelled.groupBy("domain").count().collect()})
+        return np.zeros((mixing.BUCKETS, n_domains))
+
+    monkeypatch.setattr(mixing, "fit_classifier", fit_classifier)
+    corpus_pipeline.mix(spark, docs, str(tmp_path))
+    assert seen == [{0: n - 6767, 2: 6767}]

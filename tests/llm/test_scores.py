@@ -335,3 +335,25 @@ def test_mixing_and_applying(spark):
     assert mixing.mix(df.limit(0), labels).count() == 0
     twice = spark.createDataFrame([(1, "a", 2.0), (2, "b", 0.0), (3, "c", 1.0)], "doc_id long, text string, rate double")
     assert sorted(r["doc_id"] for r in mixing.apply_rates(twice).collect()) == [1, 1, 3]
+
+
+def test_loss_and_its_least_value(spark):
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((300, 12)) < 0.3, rng.random((300, 12)), 0).astype(np.float32)
+    x[:, 11] = 1
+    domain = rng.integers(0, 3, 300)
+    rows = [(int(d), np.flatnonzero(r).astype(np.uint16).tobytes(), r[r > 0].tobytes()) for d, r in zip(domain, x, strict=True)]
+    rows = spark.createDataFrame(rows, "domain int, at binary, value binary").repartition(3).cache()
+
+    def plain(w):
+        p = np.exp(x @ w) / np.exp(x @ w).sum(1, keepdims=True)
+        return -np.log(p[np.arange(300), domain]).sum(), x.T @ (p - np.eye(3)[domain])
+
+    w = rng.normal(size=(12, 3))
+    for got, want in zip(mixing._loss(rows, w), plain(w), strict=True):
+        assert np.allclose(got, want, rtol=1e-5, atol=1e-5)
+    whole = lambda w: (plain(w)[0] / 300 + 0.005 * (w**2).sum(), plain(w)[1] / 300 + 0.01 * w)
+    least = mixing.minimise(whole, np.full((12, 3), 1.0), 1e-12)
+    assert np.abs(whole(least)[1]).max() < 1e-5
+    with pytest.raises(ArithmeticError):
+        mixing.minimise(whole, np.full((12, 3), 1.0), 1e-12, steps=2)
