@@ -27,7 +27,7 @@ from basewright.llm.containment import Filter
 
 ORDER = 5
 START, END = "\x02", "\x03"
-#: Bits of the filter of trusted ids, as a power of two, at most: 16 an id below that; a full filter costs speed.
+#: Bits of the filters of ids, as a power of two, at most: 16 an id below that; a full filter costs speed.
 MOST_ID_BITS = 26
 #: Entries of the model that are broadcast, at most.
 MOST_SENT = 1 << 20
@@ -368,26 +368,48 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, mo
     return out.drop("_lang", "_lowest", "log_p", "n_symbols_scored")
 
 
+def _id_filter(ids: DataFrame) -> Any:
+    """A broadcast Bloom filter of ``ids(doc_id)``."""
+    bits = min(MOST_ID_BITS, max(min(16, MOST_ID_BITS), (16 * ids.count()).bit_length()))
+    return ids.sparkSession.sparkContext.broadcast(Filter.of(ids.select(F.xxhash64("doc_id").alias("key")), bits))
+
+
 def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, lang) of all documents labelled good and not toxic. A filter of bounded size keeps most others out of the
-    shuffle of the exact join."""
+    """(text, lang) of all documents labelled good and not toxic, written.
+
+    Texts are not shuffled: a filter of the trusted ids, of bounded size, takes rows, and an exact join of the ids it
+    takes finds the others among them, which a second filter holds. Rows that only the first holds are trusted for
+    certain; those that both hold, a few unless a filter is full, are joined exactly.
+    """
     ids = labels.where("quality = 1 AND toxic = 0").select(F.col("doc_id").cast("long").alias("doc_id"))
     ids = written(ids.where("doc_id IS NOT NULL").distinct())
-    bits = min(MOST_ID_BITS, max(16, (16 * ids.count()).bit_length()))
-    sent = docs.sparkSession.sparkContext.broadcast(Filter.of(ids.select(F.xxhash64("doc_id").alias("key")), bits))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    first = _id_filter(ids)
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select([0]).take(pa.array(first.value.holds(batch.column(1).to_numpy().view(np.uint64))))
+
+    some = rows.select("doc_id", F.xxhash64("doc_id").alias("key")).mapInArrow(taken, "doc_id long")
+    second = _id_filter(written(some.distinct().join(ids, "doc_id", "left_anti")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            at = sent.value.holds(batch.column(3).to_numpy().view(np.uint64))
-            yield batch.select(range(3)).take(pa.array(at))
+            keys = batch.column(3).to_numpy().view(np.uint64)
+            at = first.value.holds(keys)
+            sure = np.ones(len(at), bool)
+            sure[second.value.holds(keys[at])] = False
+            columns = [*batch.select(range(3)).take(pa.array(at)).columns, pa.array(sure)]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:3], "sure"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    maybe = rows.withColumn("key", F.xxhash64("doc_id")).mapInArrow(run, rows.schema)
-    return maybe.join(ids, "doc_id", "left_semi").select("text", "lang")
+    schema = T.StructType([*rows.schema.fields, T.StructField("sure", T.BooleanType())])
+    found = written(rows.withColumn("key", F.xxhash64("doc_id")).mapInArrow(run, schema))
+    joined = written(found.where("NOT sure").join(ids, "doc_id", "left_semi").select("text", "lang"))
+    return found.where("sure").select("text", "lang").unionByName(joined)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return classify(docs, written(trusted_documents(docs, labels)))
+    return classify(docs, trusted_documents(docs, labels))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

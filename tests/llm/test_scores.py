@@ -219,6 +219,25 @@ def test_all_trusted_documents_are_used(spark):
     assert kneser_ney.trusted_documents(df, frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most_bits", [26, 10, 6])  # sparse filters, crowded ones, and full ones
+def test_trusted_texts_are_not_shuffled(spark, monkeypatch, most_bits):
+    monkeypatch.setattr(kneser_ney, "MOST_ID_BITS", most_bits)
+    docs = [(i, f"t{i}", "x" if i % 2 else None) for i in range(600)] + [(4, "again", "x"), (5, "again", "x"), (None, "null", "x"), (2, None, "x")]
+    df = spark.createDataFrame(docs, "doc_id int, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 == 1), 0) for i in range(600)] + [(2, 1, 0), (7, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = kneser_ney.trusted_documents(df, labels)
+        got = Counter((r["text"], r["lang"]) for r in found.collect())
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    trusted = {i for i in range(600) if i % 3 == 1} | {2}
+    assert got == Counter((t, g) for i, t, g in docs if i in trusted)
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_quantiles_against_sorted_values(spark):
     rng = random.Random(4)
     groups = {"a": [-rng.random() * 6 for _ in range(900)], "b": [-0.25] * 70 + [-3.0], "": [-1.5], "c": [-rng.randrange(9) / 4 for _ in range(401)], "d": [-2 - i / 1e7 for i in range(333)]}
