@@ -14,7 +14,6 @@ the documents between steps, and a step sends a few sums a task.
 
 from __future__ import annotations
 
-import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -24,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basewright.llm.common import mix as mix_bits
 from basewright.llm.common import slices, table, text_or_empty, utf8, written
 
 BUCKETS = 1 << 15
@@ -46,45 +46,113 @@ SHARES = (1.0, 0.25, 0.06, 0.01, 1e-3)
 #: A step may not make the objective greater than the greatest of the last so many.
 MEMORY = 10
 
-_KINDS = bytes(97 if c >= 128 or 97 <= c <= 122 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
-
-
-class Features(dict):
-    """Hash buckets of words, their lower-cased forms and their kinds of characters."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        if word.isalpha():
-            kind = b"a" if word.islower() else b"Aa" if not word.isupper() else b"A"
-        else:
-            kind = bytes(sorted(set(word.translate(_KINDS))))
-        bare = word.lower().strip(b".,;:!?\"'()")
-        value = self[word] = zlib.crc32(bare) % (BUCKETS - 1024) << 32 | (BUCKETS - 1024 + zlib.crc32(kind) % 1023)
-        return value
-
-    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(buckets, weights) of a text: words by presence, kinds by their share of the words; the last is constant."""
-        each = text.split()
-        both = np.fromiter(map(self.__getitem__, each), np.int64, len(each))
-        found = np.unique(both >> 32)
-        kinds, n = np.unique(both & 0xFFFFFFFF, return_counts=True)
-        repeated = 1 - len(found) / len(each) if each else 0.0
-        return np.concatenate([found, kinds, [BUCKETS - 1]]), np.concatenate([np.ones(len(found)), 8 * n / max(1, len(each)), [1 + 4 * repeated]])
+#: Bytes of text that are hashed at a time; a word is not cut.
+PIECE = 1 << 18
+#: Texts whose buckets are sorted together, at most.
+TOGETHER = 64
+
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_MARK = np.isin(np.arange(256), list(b".,;:!?\"'()"))
+_LOWER = mix_bits(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + np.uint64(1))
+#: A bit for each kind of byte: small letters and all beyond ASCII, capitals, digits, and each other byte but white space.
+_KIND = np.zeros(256, np.uint64)
+_KIND[~_SPACE] = np.uint64(1) << np.unique([97 if c >= 128 or 97 <= c <= 122 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in np.flatnonzero(~_SPACE)], return_inverse=True)[1].astype(np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+
+
+class Features:
+    """Hash buckets of words, lower-cased and without outer marks, and of their kinds of characters."""
+
+    def __init__(self):
+        self._grow(PIECE)
+
+    def _grow(self, n: int) -> None:
+        """Powers of an odd base, and of its inverse, modulo 2^64."""
+        factors = np.full((2, n + 1), [[_BASE], [pow(_BASE, -1, 2**64)]], np.uint64)
+        factors[:, 0] = 1
+        self.up, self.down = np.cumprod(factors, 1)
+
+    def _hashed(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket of the word, bucket of its kinds) for words of ``data`` (bytes), differences of running sums."""
+        if len(data) >= len(self.up):
+            self._grow(2 * len(data))
+        kinds = mix_bits(np.bitwise_or.reduceat(_KIND.take(data), starts)) % np.uint64(1023)  # white space has no bit
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_LOWER.take(data) * self.up[: len(data)], out=sums[1:])
+        marks, starts, ends = _MARK.take(data), starts.copy(), ends.copy()
+        left = np.flatnonzero(marks[starts])
+        while left.size:
+            starts[left] += 1
+            left = left[starts[left] < ends[left]]
+            left = left[marks[starts[left]]]
+        left = np.flatnonzero((starts < ends) & marks[ends - 1])
+        while left.size:
+            ends[left] -= 1
+            left = left[marks[ends[left] - 1]]  # the first byte is none
+        words = mix_bits((sums[ends] - sums[starts]) * self.down[starts]) % np.uint64(BUCKETS - 1024)
+        return words.astype(np.int64), kinds.astype(np.int64) + (BUCKETS - 1024)
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(texts' numbers of words, of buckets, the buckets, their weights) of TOGETHER texts at most.
+
+        A text's buckets ascend: words by presence, kinds by eight times their share of the words; the last is constant
+        but for the share of repeated words.
+        """
+        data, n = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8), len(texts)
+        turns = np.flatnonzero(np.diff(_SPACE.take(data)))  # a word's first byte is after a turn, its last byte at one
+        starts, ends = turns[::2] + 1, turns[1::2] + 1
+        owner = np.searchsorted(np.cumsum([len(x) + 1 for x in texts]), starts, "right")
+        cuts = [*np.flatnonzero(np.diff(starts // PIECE, prepend=-1)), len(starts)]
+        parts = [(np.empty(0, np.int64),) * 2]
+        parts += [self._hashed(data[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i]) for i, j in zip(cuts, cuts[1:])]
+        words, kinds = map(np.concatenate, zip(*parts, strict=True))
+        n_words = np.bincount(owner, minlength=n)
+        every = np.sort(np.concatenate([owner * BUCKETS + words, np.arange(n) * BUCKETS + BUCKETS - 1]).astype(np.int32))
+        shares = np.bincount(owner * 1024 + kinds - (BUCKETS - 1024), minlength=n * 1024)
+        some = np.flatnonzero(shares)
+        at = np.sort(np.concatenate([every[np.flatnonzero(np.diff(every, prepend=-1))], (some >> 10) * BUCKETS + BUCKETS - 1024 + (some & 1023)]))
+        of, at = at // BUCKETS, at % BUCKETS
+        weights = np.ones(len(at))
+        kind, last = np.flatnonzero((at >= BUCKETS - 1024) & (at < BUCKETS - 1)), np.flatnonzero(at == BUCKETS - 1)
+        weights[kind] = 8 * shares[some] / n_words[of[kind]]
+        n_found = np.bincount(of[at < BUCKETS - 1024], minlength=n)
+        weights[last] = 1 + 4 * np.where(n_words > 0, 1 - n_found / np.maximum(n_words, 1), 0.0)
+        return n_words, np.bincount(of, minlength=n), at, weights
+
+
+def _together(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """``texts`` in runs of TOGETHER or some PIECE bytes at most, one at least."""
+    group, size = [], 0
+    for text in texts:
+        if group and (len(group) == TOGETHER or size + len(text) > PIECE):
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text)
+    if group:
+        yield group
+
+
+def _binary(values: list[np.ndarray], sizes: list[np.ndarray]) -> pa.Array:
+    """Rows of so many of the values each, as bytes."""
+    flat, n = np.concatenate(values), np.concatenate([[0], *sizes])
+    return pa.Array.from_buffers(pa.large_binary(), len(n) - 1, [None, pa.py_buffer(np.cumsum(n) * flat.itemsize), pa.py_buffer(flat)]).cast(pa.binary())
 
 
 def text_features(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Words of a text, its buckets (16 bits each), and the weights (32 bits each) of the last of them; others have 1."""
     features = Features()
     for column in texts:
-        tokens, at, weight = [], [], []
-        for text in utf8(column):
-            buckets, weights = features.of(text)
-            words = int(np.searchsorted(buckets[:-1], BUCKETS - 1024))
-            tokens.append(len(text.split()))
-            at.append(buckets.astype(np.uint16).tobytes())
-            weight.append(weights[words:].astype(np.float32).tobytes())
-        yield pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), pa.array(at, pa.binary()), pa.array(weight, pa.binary())], ["tokens", "at", "weight"])
+        tokens, sizes, given, at, weight = [np.empty(0, np.int64)], [], [], [np.empty(0, np.uint16)], [np.empty(0, np.float32)]
+        for group in _together(utf8(column)):
+            n_words, n, buckets, weights = features.of(group)
+            late = buckets >= BUCKETS - 1024
+            tokens.append(n_words)
+            sizes.append(n)
+            given.append(np.bincount(np.repeat(np.arange(len(n)), n)[late], minlength=len(n)))
+            at.append(buckets.astype(np.uint16))
+            weight.append(weights[late].astype(np.float32))
+        yield pa.StructArray.from_arrays([pa.array(np.concatenate(tokens)), _binary(at, sizes), _binary(weight, given)], ["tokens", "at", "weight"])
 
 
 def _flat(at: pa.Array, weight: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

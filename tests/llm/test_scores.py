@@ -2,10 +2,12 @@ import functools
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,6 +291,42 @@ def test_rules_are_certified_only_with_enough_labels(spark):
     assert risk_rules.judge(df.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("piece", [1 << 18, 40])
+def test_features_against_plain_words(monkeypatch, piece):
+    monkeypatch.setattr(mixing, "PIECE", piece)
+    rng = random.Random(11)
+    words = ["a", "A", "(a)", "Kat,", "kat", "...", "...a", "x1-y", "X1-Y!", "Él", "él", "\x00", "漢字", "don't", "q" * 90, "\x1f\x85", "?"]
+    some = [None, "", " \n", *words, *(rng.choice(["", " "]) + "".join(rng.choice(words) + rng.choice([" ", "\t", "\r\n ", "\x0b\x0c"]) for _ in range(rng.randrange(1, 80))) for _ in range(150))]
+    rows = [x for part in mixing.text_features(iter([pa.array(some[:100]), pa.array([], pa.string()), pa.array(some[100:])])) for x in part.to_pylist()]
+    bare = lambda w: w.lower().strip(b".,;:!?\"'()")
+    kind = lambda w: frozenset("a" if c >= 128 or 97 <= c <= 122 else "A" if 65 <= c <= 90 else "0" if 48 <= c <= 57 else c for c in w)
+    last = mixing.BUCKETS - 1024
+    of = {t: np.frombuffer(r["at"], np.uint16).tolist() for t, r in zip(some, rows)}
+    word_at, kind_at = ({f(w.encode()): of[w][i] for w in words} for f, i in ((bare, 0), (kind, 1)))
+    assert len(set(word_at.values())) == len(word_at) and len(set(kind_at.values())) == len(kind_at)
+    for t, r in zip(some, rows, strict=True):
+        each = (t or "").encode().split()
+        assert r["tokens"] == len(each)
+        shares = Counter(kind_at[kind(w)] for w in each)
+        found = {word_at[bare(w)] for w in each}
+        assert np.frombuffer(r["at"], np.uint16).tolist() == [*sorted(found), *sorted(shares), mixing.BUCKETS - 1]
+        assert max(found, default=0) < last <= min(shares, default=last)
+        want = [*(8 * shares[k] / len(each) for k in sorted(shares)), 1 + 4 * (1 - len(found) / len(each) if each else 0)]
+        assert np.allclose(np.frombuffer(r["weight"], np.float32), want, rtol=1e-6)
+
+
+def test_features_take_no_python_call_a_word():
+    rows = pa.array([" ".join(f"w{i}x{k}" for k in range(100)) for i in range(500)])
+    calls = Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        out = list(mixing.text_features(iter([rows])))
+    finally:
+        sys.setprofile(None)
+    assert sum(x["tokens"] for x in out[0].to_pylist()) == 50_000
+    assert calls["call"] + calls["c_call"] < 10_000
+
+
 def test_rates_meet_targets(spark):
     rng = np.random.default_rng(0)
     p = rng.dirichlet([0.3] * 3, 400)
