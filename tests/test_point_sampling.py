@@ -110,6 +110,18 @@ def test_cuts_with_skewed_keys(spark, kind, monkeypatch):
     assert {tuple(r)[:-1]: r["split"] for r in sampling.split_obs_sets(df, key=F.col("k")).collect()} == want
 
 
+def test_split_of_tied_keys_follows_numbers(spark):
+    rows = [("p" if i % 3 else None, i, 1, 1 + 7 * i % 50, i % 2) for i in range(90, 130)] + [("p", 101, 1, 33, 1), ("p", None, 1, 9, None)]
+    df = spark.createDataFrame(rows, "partition string, seqid long, start long, end long, k int").repartition(3)
+    want = set()
+    for p in ("p", None):
+        some = [r for r in rows if r[0] == p]
+        at = lambda r: (r[4] is None, r[4] or 0, r[1] or 0)
+        half = sum(r[3] for r in some) // 2
+        want |= {(*r, "train" if sum(x[3] for x in some if at(x) <= at(r)) <= half else "test") for r in some}  # noqa: B023
+    assert set(map(tuple, sampling.split_obs_sets(df, key=F.col("k")).collect())) == want
+
+
 def test_regions_that_repeat_are_fetched_as_often(spark):
     tiles = tile_scaffolds(spark.createDataFrame([("s", "ACGTACGTAC" * 3)], "id string, sequence string"), 8)
     regions = spark.createDataFrame([("s", 3, 21, "+")] * 3 + [("s", 5, 6, "-"), ("s", 5, 6, "-"), ("s", 4, 4, "+")], "seqid string, start long, end long, strand string")
