@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basewright.operators import intervals as iv
-from basewright.operators import locate
+from basewright.operators import locate, sampling
 from basewright.sources.genome import read_fasta, read_gff3, read_position_fasta, tile_scaffolds
 from tests.genome import GOLDEN, SEQ, fasta, gff, runs
 
@@ -123,3 +123,19 @@ def test_empty_inputs(spark):
     empty = spark.createDataFrame([], "seqid string, start long, end long, strand string")
     assert iv.merge_intervals(empty).count() == 0
     assert iv.add_metacoordinates(empty.withColumn("partition", F.lit("x"))).count() == 0
+
+
+def test_joins_of_growing_tables_stay_out_of_the_driver(spark):
+    parts = spark.createDataFrame([("exon", "1", 1, 50, "+"), ("intergenic", "1", 51, 90, None)], "partition string, seqid string, start long, end long, strand string")
+    positions = spark.createDataFrame([(1, "1", 10, 70), (2, "1", 60, 90)], "pos_id long, seqid string, pad_start long, end long")
+    metas = iv.add_metacoordinates(parts)
+    points = spark.createDataFrame([("exon", 7, 0), ("intergenic", 3, 1)], "partition string, point long, draw long")
+    tiles = spark.createDataFrame([("1", 0, 1, "ACGT" * 25)], "seqid string, tile long, tile_start long, seq string")
+    taken = parts.select("partition", "seqid", F.col("start").alias("lo"), "start", "end")
+    near = points.select("partition", F.lit("1").alias("seqid"), F.lit(1).cast("long").alias("lo"), "point", "draw")
+    runs = locate.partition_mask(positions, parts)
+    made = [metas, runs, locate.locate_metacoord(points, metas), locate.fetch_sequence(parts.fillna("+"), tiles), locate.tiled_fragments(positions, runs, tiles), sampling._beside(near, taken, 20, 64)]
+    for df in made:
+        assert df.count() > 0 or df is made[-1]
+        df.collect()
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
