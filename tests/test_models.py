@@ -261,3 +261,33 @@ def test_train_query_goes_on_to_convergence_on_a_share_of_the_bases(spark, monke
     taken = dict(queries._samples(spark, dir_).groupBy("partition").agg(F.sum(F.length("sequence"))).collect())
     assert all(taken[k] >= 0.1 * n for k, n in bases.items()) and max(taken.values()) > 20_000
     assert all(taken[k] <= max(5000, 0.1 * n) + 301 for k, n in bases.items())
+
+
+def test_few_partial_counts_are_summed_without_a_shuffle(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(p, o, i, rng.integers(1, 5, 30).tolist()) for p in "pq" for o in (0, 1) for i in range(8)]
+    obs = spark.createDataFrame(rows, "obs_id string, order int, seq_id long, codes array<int>")
+    live = {(p, k, 0, 1): kernels.Model.of(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(4), k)) for p in "pq" for k in (1, 2)}
+    few = hmm._step_counts(obs, live)
+    assert "Exchange" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(hmm, "MOST_PARTIAL_ROWS", 0)
+    many = hmm._step_counts(obs, live)
+    assert "Exchange" in many._jdf.queryExecution().executedPlan().toString()
+    a, b = hmm._assembled(few, live), hmm._assembled(many, live)
+    assert a.keys() == b.keys() == live.keys()
+    for c in live:
+        assert np.isclose(a[c][1], b[c][1]) and all(np.allclose(getattr(a[c][0], x), getattr(b[c][0], x)) for x in "aAB")
+
+    def broken(step, log):
+        raise OSError("no space")
+
+    monkeypatch.setattr(hmm, "write_iteration", broken)  # a commit that fails beside the next iteration ends the run
+    grid = jobs.job_grid(obs.select("obs_id"), (1,), (0,), 1)
+    with pytest.raises(OSError, match="no space"):
+        hmm.train(grid, obs, spark.createDataFrame([], hmm.STEPS), jobs.init_models(grid), path=str(tmp_path / "steps"))
+
+
+def test_a_state_has_its_numbers_side_by_side():
+    m = kernels.Model.of([0.6, 0.4], [[0.9, 0.1], [0.2, 0.8]], [[0.4, 0.3, 0.2, 0.1], [0.1, 0.2, 0.3, 0.4]])
+    s = kernels.Stretches(m, [np.array([1, 2, 3]), np.array([4] * 600)])
+    assert [x[3].shape[1] for x in s.messages()] == [2]  # [steps, K, stretches]
