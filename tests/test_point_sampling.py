@@ -110,6 +110,15 @@ def test_cuts_with_skewed_keys(spark, kind, monkeypatch):
     assert {tuple(r)[:-1]: r["split"] for r in sampling.split_obs_sets(df, key=F.col("k")).collect()} == want
 
 
+def test_budget_goes_through_all_rows_before_its_cut_only(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(sampling, "written", lambda df, f=sampling.written: kept.append(f(df)) or kept[-1])
+    rows = [("p", "s", 10 * i, 10 * i + 9, None, float(i * 7919 % 4001)) for i in range(4000)]
+    taken = sampling.take_budget(spark.createDataFrame(rows, f"{PARTS}, k double"), 1000, F.col("k")).collect()
+    assert sorted(map(tuple, taken)) == sorted(sorted(rows, key=lambda r: r[5])[:100])
+    assert [df.count() for df in kept][0] == 4000 and max(df.count() for df in kept[1:]) < 400
+
+
 def test_split_of_tied_keys_follows_numbers(spark):
     rows = [("p" if i % 3 else None, i, 1, 1 + 7 * i % 50, i % 2) for i in range(90, 130)] + [("p", 101, 1, 33, 1), ("p", None, 1, 9, None)]
     df = spark.createDataFrame(rows, "partition string, seqid long, start long, end long, k int").repartition(3)
