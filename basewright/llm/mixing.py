@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basewright.llm.common import mix as mix_bits
-from basewright.llm.common import slices, table, text_or_empty, utf8, written
+from basewright.llm.common import slices, small_batches, table, text_or_empty, utf8, written
 
 BUCKETS = 1 << 15
 DOMAINS = ("clean", "toxic", "low", "low_toxic")
@@ -396,8 +396,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     """
     docs = docs.drop("n_tokens", "posterior", "rate", "expected_share", "target_share", "_tokens", "_posterior", "_features")
     rows = docs.withColumn("_features", F.arrow_udf(text_features, "tokens long, at binary, weight binary")("text"))
-    rows = written(rows if keep_text else rows.drop("text"))
-    weights = fit_classifier(written(label_domains(rows, labels)), len(DOMAINS))
+    with small_batches(docs.sparkSession):
+        rows = written(rows if keep_text else rows.drop("text"))
+        weights = fit_classifier(written(label_domains(rows, labels)), len(DOMAINS))
     whole = rows.withColumns({"_tokens": F.col("_features.tokens"), "_posterior": posterior_of(weights, docs.sparkSession)})
     members = written(whole.select("_tokens", "_posterior"))
     present = expected_tokens(members, len(DOMAINS))
